@@ -124,7 +124,7 @@ def mapping_sql(d: Dialect) -> dict[str, str]:
               CONCAT('OM2 ', CAST(l_suppkey AS {d.text})) AS name
             FROM {{lineitem}} WHERE l_linenumber = 1 AND l_returnflag = 'A'""",
         "sic": """
-            SELECT mgr AS cik, sic, CONCAT('INDUSTRY ', sic) AS sicdescription
+            SELECT mgr AS cik, sic, CASE WHEN sic IS NOT NULL THEN CONCAT('INDUSTRY ', sic) END AS sicdescription
             FROM (SELECT mgr, CASE WHEN mgr % 5 = 0 THEN NULL ELSE MIN(CASE c_mktsegment
                     WHEN 'FURNITURE' THEN '2511' WHEN 'MACHINERY' THEN '3531' WHEN 'BUILDING' THEN '1521'
                     WHEN 'AUTOMOBILE' THEN '3711' ELSE '5700' END) END AS sic
