@@ -154,9 +154,12 @@ def reference_audit(table, references: list[Reference] = REFERENCES) -> DataFram
     """Rows per foreign key whose non-NULL reference has no parent.  ``table`` maps a name to a DataFrame."""
     checks = []
     for r in references:
-        child = table(r.child).select(*r.columns).dropna()
-        parent = table(r.parent).select(*[F.col(p).alias(c) for c, p in zip(r.columns, r.parent_columns)]).distinct()
-        orphans = child.join(parent, list(r.columns), "left_anti").agg(F.count("*").alias("violations"))
+        # keys repeat in the child, so they are counted before anything is exchanged
+        child = table(r.child).select(*r.columns).dropna().groupBy(*r.columns).agg(F.count("*").alias("n"))
+        parent = table(r.parent).select(*[F.col(p).alias(c) for c, p in zip(r.columns, r.parent_columns)])
+        orphans = child.join(parent, list(r.columns), "left_anti").agg(
+            F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("violations")
+        )
         checks.append(
             orphans.select(
                 F.lit(r.child).alias("child_table"), F.lit(",".join(r.columns)).alias("child_columns"),

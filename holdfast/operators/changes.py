@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from holdfast.functions import values as v
 from holdfast.schemas import RELATIONSHIP_KEY
 
+CHANGE_COLUMNS = [
+    *RELATIONSHIP_KEY, "from_quarter_id", "to_quarter_id", "prior_value_usd", "current_value_usd", "value_change_usd",
+    "prior_reported_amount", "current_reported_amount", "amount_change", "amount_change_percent", "action",
+    "is_comparable", "noncomparable_reason", "value_quality_status",
+]
 BOUGHT, SOLD = ("NEW", "ADDED"), ("REDUCED", "EXITED")
 
 
@@ -58,6 +63,7 @@ def _side(positions: DataFrame, name: str, quarter: Column, pair: str) -> DataFr
         F.col("value_usd").alias(f"{name}_value_usd"),
         F.col("reported_amount").alias(f"{name}_reported_amount"),
         F.col("value_quality_status").alias(f"{name}_quality"),
+        F.col("portfolio_weight").alias(f"{name}_portfolio_weight"),
         F.col(pair).alias(f"{name}_pair"),
     )
 
@@ -78,6 +84,7 @@ def quarter_changes(positions: DataFrame) -> DataFrame:
         v.previous_quarter("to_quarter_id").alias("from_quarter_id"),
         "to_quarter_id",
         *change_columns(F.coalesce("current_pair", "prior_pair")),
+        "current_portfolio_weight",
     )
 
 
@@ -165,9 +172,12 @@ def security_activity(action_activity: DataFrame) -> DataFrame:
     )
 
 
-def exited_positions(changes: DataFrame, positions: DataFrame) -> DataFrame:
-    """Change rows without a position in their closing quarter."""
-    held = positions.select(*RELATIONSHIP_KEY, F.col("quarter_id").alias("to_quarter_id"))
-    return changes.join(held, [*RELATIONSHIP_KEY, "to_quarter_id"], "left_anti")
+def exited_positions(changes: DataFrame) -> DataFrame:
+    """Change rows without a position in their closing quarter.
+
+    Changes come out of a full outer join of the positions, so the missing side already
+    says so; no anti join with the positions is needed.
+    """
+    return changes.filter("current_value_usd IS NULL")
 
 

@@ -29,11 +29,19 @@ def dense_calendar(dates: DataFrame, column: str) -> DataFrame:
     )
 
 
+def line_totals(infotable: DataFrame) -> DataFrame:
+    """Lines and raw value per filing: one narrow scan that serves both the
+    has-information-table flag and the reconciliation."""
+    return infotable.groupBy("accession_number").agg(
+        F.count("*").alias("holding_row_count"), F.sum("value").alias("holding_raw_total")
+    )
+
+
 def normalize_filings(
     submission: DataFrame,
     coverpage: DataFrame,
     summarypage: DataFrame,
-    infotable: DataFrame,
+    line_totals: DataFrame,
     batch_accessions: DataFrame | None = None,
 ) -> DataFrame:
     """One typed row per submission.  A missing required date fails the job."""
@@ -42,7 +50,7 @@ def normalize_filings(
         "form13ffilenumber",
     )
     summary = summarypage.select("accession_number", "isconfidentialomitted")
-    with_lines = infotable.select("accession_number").distinct().withColumn("has_lines", F.lit(1))
+    with_lines = line_totals.select("accession_number", F.lit(1).alias("has_lines"))
     joined = (
         submission.join(cover, "accession_number", "left")
         .join(summary, "accession_number", "left")
@@ -220,11 +228,8 @@ def reconciliation_status(held: Column, reported: Column) -> Column:
     )
 
 
-def reconcile_values(components: DataFrame, infotable: DataFrame, summarypage: DataFrame) -> DataFrame:
+def reconcile_values(components: DataFrame, totals: DataFrame, summarypage: DataFrame) -> DataFrame:
     """Detail totals of effective filings against the total the filer stated."""
-    totals = infotable.groupBy("accession_number").agg(
-        F.count("*").alias("holding_row_count"), F.sum("value").alias("holding_raw_total")
-    )
     effective = components.filter("is_effective = 1").select("accession_number")
     stated = summarypage.select("accession_number", F.col("tablevaluetotal").alias("summary_raw_total"))
     # 19 digits so that a stated total x 1001 cannot overflow

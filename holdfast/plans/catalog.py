@@ -285,16 +285,17 @@ def filing_normalize(w: Warehouse) -> DataFrame:
 
 
 def filing_overrides(w: Warehouse) -> DataFrame:
-    number = F.col("accession_number").cast("bigint")
-    kind = F.when(number % 211 == 0, "EXCLUDE").when(number % 223 == 0, "BASE")
-    return w.submission.select("accession_number", kind.alias("override_component_type")).filter(
+    """A reviewer drops filings without any holding line and accepts unlabelled amendments as new originals."""
+    kind = F.when(F.col("has_information_table") == 0, "EXCLUDE").when(F.col("amendment_type") == "OTHER", "BASE")
+    return w.filings.select("accession_number", kind.alias("override_component_type")).filter(
         "override_component_type IS NOT NULL"
     )
 
 
 @query
 def component_kind(w: Warehouse) -> DataFrame:
-    return filings.holdings_filings(w.filings, filing_overrides(w)).select("accession_number", "component_type")
+    reviewed = filings.holdings_filings(w.filings, filing_overrides(w))
+    return filings.resolve_amendments(reviewed).select(*COMPONENT_COLUMNS)
 
 
 @query
@@ -379,7 +380,7 @@ def holding_variant(w: Warehouse) -> DataFrame:
 
 @query
 def exited_rows(w: Warehouse) -> DataFrame:
-    return changes.exited_positions(w.changes, w.positions).select(
+    return changes.exited_positions(w.changes).select(
         *RELATIONSHIP_KEY, "to_quarter_id", "prior_value_usd", "action"
     )
 
@@ -391,7 +392,7 @@ def manager_pairs(w: Warehouse) -> DataFrame:
 
 @query
 def quarter_changes(w: Warehouse) -> DataFrame:
-    return w.changes
+    return w.changes.select(*changes.CHANGE_COLUMNS)
 
 
 @query
@@ -529,13 +530,13 @@ def stream_append(w: Warehouse) -> DataFrame:
     """Two deliveries, the second repeating every filing of the first; each filing is kept once."""
     source, out, state = (new_folder(w.spark, n) for n in ("arrivals", "stream", "checkpoint"))
     originals = w.filings.filter("is_amendment = 0").select("accession_number")
-    first = w.infotable.join(originals, "accession_number", "left_semi").repartition("accession_number")
+    first = w.infotable.join(originals, "accession_number", "left_semi")
     filings_tsv.write_filing_table(first, f"{source}/first", "infotable")
     ingest.stream_append(w.spark, source, out, state, "infotable").awaitTermination()
-    filings_tsv.write_filing_table(w.infotable.repartition("accession_number"), f"{source}/second", "infotable")
+    filings_tsv.write_filing_table(w.infotable, f"{source}/second", "infotable")
     ingest.stream_append(w.spark, source, out, state, "infotable").awaitTermination()
     schema = ingest.with_batch(RAW_SCHEMAS["infotable"])
-    return store.read_table(w.spark, out, schema).groupBy("accession_number").agg(
+    return store.read_table(w.spark, ingest.data_path(out), schema).groupBy("accession_number").agg(
         F.max("etl_batch_id").alias("etl_batch_id"), F.count("*").alias("row_count"), F.sum("value").alias("value")
     )
 

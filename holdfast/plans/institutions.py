@@ -329,15 +329,7 @@ HOLDING_ORDERS = {
 def held_and_left(w: Warehouse, quarter_id: int | None = None) -> DataFrame:
     """Open positions with their change, plus positions given up in the quarter at their prior size."""
     change = ["action", "amount_change", "amount_change_percent", "value_change_usd", "is_comparable"]
-    key = [*RELATIONSHIP_KEY, "quarter_id"]
-    positions = equals(w.positions, quarter_id=quarter_id)
-    changes = equals(w.changes, to_quarter_id=quarter_id)
-    held = (
-        positions.join(changes.withColumnRenamed("to_quarter_id", "quarter_id").select(*key, *change), key, "left")
-        .withColumn("action", F.coalesce("action", F.lit("UNCHANGED")))
-        .select(*key, F.col("value_usd").alias("market_value_usd"), "reported_amount", "portfolio_weight", *change)
-    )
-    left = exited_positions(changes, positions).select(
+    left = exited_positions(equals(w.changes, to_quarter_id=quarter_id)).select(
         *RELATIONSHIP_KEY,
         F.col("to_quarter_id").alias("quarter_id"),
         F.col("prior_value_usd").alias("market_value_usd"),
@@ -345,7 +337,38 @@ def held_and_left(w: Warehouse, quarter_id: int | None = None) -> DataFrame:
         F.lit(None).cast("double").alias("portfolio_weight"),
         *change,
     )
-    return held.unionByName(left)
+    held = held_with_change(w, quarter_id).withColumn("action", F.coalesce("action", F.lit("UNCHANGED")))
+    return held.select(*left.columns).unionByName(left)
+
+
+def held_with_change(w: Warehouse, quarter_id: int | None = None) -> DataFrame:
+    """Every position with its change columns, NULL where the manager has no previous quarter.
+
+    A position has a change row exactly if its manager reported the quarter before, and
+    that row repeats the position's value, amount and weight.  So this is a union of two
+    disjoint scans instead of a join of the two largest tables.
+    """
+    change = {
+        "action": "string", "amount_change": "bigint", "amount_change_percent": "double",
+        "value_change_usd": "bigint", "is_comparable": "int",
+    }
+    compared = equals(w.changes, to_quarter_id=quarter_id).filter("current_value_usd IS NOT NULL").select(
+        *RELATIONSHIP_KEY,
+        F.col("to_quarter_id").alias("quarter_id"),
+        F.col("current_value_usd").alias("market_value_usd"),
+        F.col("current_reported_amount").alias("reported_amount"),
+        F.col("current_portfolio_weight").alias("portfolio_weight"),
+        *change,
+    )
+    first = equals(w.positions, quarter_id=quarter_id).filter("prior_pair_confidential IS NULL").select(
+        *RELATIONSHIP_KEY,
+        "quarter_id",
+        F.col("value_usd").alias("market_value_usd"),
+        "reported_amount",
+        "portfolio_weight",
+        *[F.lit(None).cast(t).alias(c) for c, t in change.items()],
+    )
+    return compared.unionByName(first)
 
 
 def institution_holdings(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import values as v
 from holdfast.plans.common import equals, institution_name, manager_names, security_names
+from holdfast.plans.institutions import held_with_change
 from holdfast.plans.warehouse import Warehouse
-from holdfast.schemas import RELATIONSHIP_KEY
 
 PAIR = ["manager_cik", "cusip"]
 
@@ -43,13 +43,7 @@ def relationship_history(w: Warehouse, cik: str | None = None, cusip: str | None
     Amounts only add up if all instruments share one unit.  The action is the
     alphabetically last one, which differs from the holder list on purpose.
     """
-    key = [*RELATIONSHIP_KEY, "quarter_id"]
-    change = equals(w.changes, manager_cik=cik, cusip=cusip).select(
-        *RELATIONSHIP_KEY,
-        F.col("to_quarter_id").alias("quarter_id"),
-        "action", "amount_change", "amount_change_percent", "value_change_usd",
-    )
-    rows = equals(w.positions, manager_cik=cik, cusip=cusip).join(change, key, "left")
+    rows = equals(held_with_change(w), manager_cik=cik, cusip=cusip)
     unit, amount = F.col("amount_type"), F.col("reported_amount")
     zero = F.lit(0).cast("bigint")
     one_unit = F.col("first_unit") == F.col("last_unit")
@@ -58,7 +52,7 @@ def relationship_history(w: Warehouse, cik: str | None = None, cusip: str | None
         F.min(unit).alias("first_unit"),
         F.max(unit).alias("last_unit"),
         F.concat_ws(",", *units).alias("amount_type"),
-        F.sum("value_usd").alias("market_value_usd"),
+        F.sum("market_value_usd").alias("market_value_usd"),
         F.sum(amount).alias("all_amounts"),
         F.sum(F.when(unit == "SH", amount)).alias("shares"),
         F.sum(F.when(unit == "PRN", amount)).alias("principal_amount"),

@@ -19,7 +19,7 @@ from holdfast.operators import filings as f
 from holdfast.operators import managers as m
 from holdfast.operators import positions as p
 from holdfast.operators import securities as s
-from holdfast.schemas import RAW_TABLES, SECURITY_TYPE_SCHEMA, SECURITY_TYPES
+from holdfast.schemas import RAW_TABLES, SECURITY_TYPE_COLUMNS, SECURITY_TYPES
 from holdfast.session import new_folder, prepare, shared_dir
 from holdfast.sources.sample import sample_tables
 from holdfast.sources.store import write_table
@@ -45,8 +45,9 @@ TABLES: dict[str, Table] = {
     "listing_dim": Table("managers", lambda w: m.listing_dimension(w.listings, w.sic, w.sic_as_of)),
     "variants": Table("securities", lambda w: s.security_variants(w.infotable, w.coverpage)),
     "current_variant": Table("securities", lambda w: s.current_variant(w.variants)),
+    "line_totals": Table("canonical", lambda w: f.line_totals(w.infotable)),
     "filings": Table(
-        "canonical", lambda w: f.normalize_filings(w.submission, w.coverpage, w.summarypage, w.infotable, w.batches)
+        "canonical", lambda w: f.normalize_filings(w.submission, w.coverpage, w.summarypage, w.line_totals, w.batches)
     ),
     "calendar": Table("canonical", lambda w: f.dense_calendar(w.filings, "report_date")),
     "components": Table(
@@ -54,7 +55,7 @@ TABLES: dict[str, Table] = {
     ),
     "canonical": Table("canonical", lambda w: f.canonical_filings(w.components)),
     "reconciliation": Table(
-        "canonical", lambda w: f.reconcile_values(w.components, w.infotable, w.summarypage)
+        "canonical", lambda w: f.reconcile_values(w.components, w.line_totals, w.summarypage)
     ),
     "effective": Table(
         "canonical", lambda w: f.effective_filings(w.components, w.canonical, w.reconciliation)
@@ -123,8 +124,9 @@ class Warehouse:
 
     @property
     def security_type(self) -> DataFrame:
-        """Ten fixed rows."""
-        return self.spark.createDataFrame(SECURITY_TYPES, SECURITY_TYPE_SCHEMA)
+        """Ten fixed rows, as a literal relation."""
+        rows = ", ".join(f"({i}, '{code}', '{name}', {core})" for i, code, name, core in SECURITY_TYPES)
+        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t({', '.join(SECURITY_TYPE_COLUMNS)})")
 
     def latest_quarter(self) -> int:
         """Newest quarter with portfolios; one number, used to prune partitions."""

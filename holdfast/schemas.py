@@ -80,9 +80,7 @@ SECURITY_TYPES = [
     (9, "FUND_OTHER", "Other Fund", 0),
     (99, "UNKNOWN", "Unknown", 0),
 ]
-SECURITY_TYPE_SCHEMA = (
-    "security_type_id int, security_type_code string, security_type_name string, include_in_core_holdings int"
-)
+SECURITY_TYPE_COLUMNS = ("security_type_id", "security_type_code", "security_type_name", "include_in_core_holdings")
 
 # rule id, priority, field, match type, pattern, security type id
 CLASS_RULES = [

@@ -19,7 +19,6 @@ RUNTIME_SETTINGS = {
     # Split a hot join partition even where that costs one more exchange: a
     # manager, filing or CUSIP may own a third of all rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 _scratch: dict[str, str] = {}

@@ -14,7 +14,8 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode:
     """
     spark, schema = df.sparkSession, df.schema
     out = df.hint("rebalance", F.col(partition_by)) if partition_by else df
-    writer = out.write.mode(mode)
+    # static: an overwrite replaces the table, so partitions without rows disappear too
+    writer = out.write.mode(mode).option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

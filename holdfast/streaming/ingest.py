@@ -30,26 +30,61 @@ def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def with_batch(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("etl_batch_id", T.LongType())])
+    """The stored form of a table: its columns, the delivery they came in, and the batch."""
+    return T.StructType(
+        [*schema.fields, T.StructField("dataset", T.StringType()), T.StructField("etl_batch_id", T.LongType())]
+    )
+
+
+LINEAGE = T.StructType([T.StructField("accession_number", T.StringType())])
+
+
+def data_path(out: str) -> str:
+    return f"{out}/data"
+
+
+def lineage_path(out: str) -> str:
+    return f"{out}/filings"
 
 
-def unseen_filings(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of filings that no other batch has; a filing repeated in several new files counts from one file."""
-    owner = rows.groupBy("accession_number").agg(F.min("source_file").alias("owner"))
-    once = rows.join(owner, "accession_number").filter("source_file = owner").drop("owner", "source_file")
-    seen = known.select("accession_number").distinct()
-    return once.join(seen, "accession_number", "left_anti")
+def repeated_filings(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(filing, dataset) pairs to leave out.
+
+    A filing belongs to the data set that delivered it first; within a batch the lowest
+    path wins.  A data set may spread one filing over several files and batches.
+    """
+    first = pairs.groupBy("accession_number").agg(F.min("dataset").alias("first_claim"))
+    stored_owner = known.select("accession_number", F.col("dataset").alias("stored_owner"))
+    owner = F.coalesce("stored_owner", "first_claim")
+    claims = pairs.join(first, "accession_number").join(stored_owner, "accession_number", "left")
+    return claims.filter(F.col("dataset") != owner).select("accession_number", "dataset")
+
+
+def _append(rows: DataFrame, batch_id: int, out: str, schema: T.StructType) -> DataFrame:
+    """Store the unseen rows of a batch and then its lineage; returns the stored batch.
+
+    Looking up known filings reads the lineage table, one row per filing, never the lines.
+    """
+    spark = rows.sparkSession
+    known = stored(spark, lineage_path(out), with_batch(LINEAGE)).filter(F.col("etl_batch_id") != batch_id)
+    known = known.groupBy("accession_number").agg(F.min("dataset").alias("dataset"))
+    pairs = rows.select("accession_number", "dataset").distinct()
+    kept = rows.join(repeated_filings(pairs, known), ["accession_number", "dataset"], "left_anti")
+    append_batch(kept.select(*schema.names, "dataset"), data_path(out), batch_id)
+    written = stored(spark, data_path(out), with_batch(schema)).filter(F.col("etl_batch_id") == batch_id)
+    append_batch(written.select("accession_number", "dataset").distinct(), lineage_path(out), batch_id)
+    return written
 
 
-def _append(rows: DataFrame, batch_id: int, out: str, schema: T.StructType) -> None:
-    others = stored(rows.sparkSession, out, with_batch(schema)).filter(F.col("etl_batch_id") != batch_id)
-    append_batch(unseen_filings(rows, others).select(*schema.names), out, batch_id)
+def _dataset():
+    """Folder of the file a row came from."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("dataset")
 
 
 def stream_append(
     spark: SparkSession, in_dir: str, out: str, checkpoint: str, table: str, files_per_batch: int | None = None
 ) -> StreamingQuery:
-    """Load every unseen file below ``in_dir`` into the raw Parquet table ``out``, then stop."""
+    """Load every unseen file below ``in_dir`` (one folder per data set) into ``out``, then stop."""
     schema = RAW_SCHEMAS[table]
     reader = (
         spark.readStream.schema(schema).option("sep", "\t").option("header", True).option("quote", '"')
@@ -57,10 +92,10 @@ def stream_append(
     )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rows = reader.csv(in_dir).select("*", F.col("_metadata.file_path").alias("source_file"))
+    rows = reader.csv(in_dir).select("*", _dataset())
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        _append(batch.select("source_file", *clean_columns(table)), batch_id, out, schema)
+        _append(batch.select("dataset", *clean_columns(table)), batch_id, out, schema)
 
     return rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -79,17 +114,15 @@ def stream_reresolve(
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rows = reader.parquet(in_dir).select("*", F.col("_metadata.file_path").alias("source_file"))
+    rows = reader.parquet(in_dir).select("*", _dataset())
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        _append(batch, batch_id, filings_out, schema)
-        history = session.read.schema(with_batch(schema)).parquet(filings_out)
+        arrived = _append(batch, batch_id, filings_out, schema)
         touched = write_table(
-            history.filter((F.col("etl_batch_id") == batch_id) & F.col("quarter_id").isNotNull())
-            .select(*MANAGER_QUARTER).distinct(),
-            new_folder(session, "touched"),
+            arrived.filter("quarter_id IS NOT NULL").select(*MANAGER_QUARTER).distinct(), new_folder(session, "touched")
         )
+        history = stored(session, data_path(filings_out), with_batch(schema))
         fresh = resolve_amendments(holdings_filings(history.join(touched, MANAGER_QUARTER, "left_semi")))
         current = stored(session, components_out, fresh.schema)
         quarters = touched.select("quarter_id").distinct()

@@ -130,10 +130,20 @@ add("quarter_keys", f"""
 add("filing_normalize", f"""
     SELECT * REPLACE (CAST(filing_date AS VARCHAR) AS filing_date, CAST(period_of_report AS VARCHAR) AS period_of_report,
       CAST(report_date AS VARCHAR) AS report_date) FROM d_filings""")
-add("component_kind", """
-    SELECT accession_number, CASE WHEN CAST(accession_number AS BIGINT) % 211 = 0 THEN 'EXCLUDE'
-      WHEN CAST(accession_number AS BIGINT) % 223 = 0 THEN 'BASE' ELSE component_type END AS component_type
-    FROM d_kinds""")
+REVIEWED = """CASE WHEN has_information_table = 0 THEN 'EXCLUDE' WHEN amendment_type = 'OTHER' THEN 'BASE'
+      ELSE component_type END"""
+add("component_kind", f"""
+    SELECT o.accession_number, o.manager_cik, o.quarter_id, o.kind AS component_type, o.component_sequence,
+      CASE WHEN o.kind IN ('BASE', 'RESTATEMENT') AND o.component_sequence = l.final_reset THEN 1
+        WHEN o.kind = 'ADDITION' AND o.component_sequence > COALESCE(l.final_reset, 0) THEN 1 ELSE 0 END AS is_effective,
+      CASE WHEN o.kind IN ('BASE', 'RESTATEMENT', 'ADDITION') THEN (
+        SELECT FIRST(n.accession_number ORDER BY n.component_sequence) FROM (SELECT *, {REVIEWED} AS kind FROM d_ordered) n
+        WHERE n.manager_cik = o.manager_cik AND n.quarter_id = o.quarter_id
+          AND n.component_sequence > o.component_sequence AND n.kind IN ('BASE', 'RESTATEMENT')) END
+        AS superseded_by_accession_number
+    FROM (SELECT *, {REVIEWED} AS kind FROM d_ordered) o
+    LEFT JOIN (SELECT manager_cik, quarter_id, MAX(component_sequence) AS final_reset
+      FROM d_ordered WHERE {REVIEWED} IN ('BASE', 'RESTATEMENT') GROUP BY ALL) l USING (manager_cik, quarter_id)""")
 add("value_usd", """
     SELECT accession_number, infotable_sk, raw_reported_value, value_multiplier, value_usd FROM d_lines""")
 add("instrument_attrs", """
