@@ -9,6 +9,7 @@ from holdfast.functions import values as v
 from holdfast.plans.common import equals, institution_name, manager_names, security_names
 from holdfast.plans.institutions import held_with_change
 from holdfast.plans.warehouse import Warehouse
+from holdfast.schemas import ACTIONS
 
 PAIR = ["manager_cik", "cusip"]
 
@@ -41,23 +42,24 @@ def relationship_history(w: Warehouse, cik: str | None = None, cusip: str | None
     """Quarter by quarter over all instruments of the CUSIP.
 
     Amounts only add up if all instruments share one unit.  The action is the
-    alphabetically last one, which differs from the holder list on purpose.
+    alphabetically last one, which differs from the holder list on purpose.  Texts are
+    aggregated as numbers, which keeps the grouping a hash aggregate without a sort.
     """
     rows = equals(held_with_change(w), manager_cik=cik, cusip=cusip)
     unit, amount = F.col("amount_type"), F.col("reported_amount")
     zero = F.lit(0).cast("bigint")
-    one_unit = F.col("first_unit") == F.col("last_unit")
-    units = [F.max(F.when(unit == u, u)) for u in ("OTHER", "PRN", "SH")]
+    units = ("OTHER", "PRN", "SH")
+    seen = {u: F.col(f"has_{u.lower()}") for u in units}
+    one_unit = seen["OTHER"] + seen["PRN"] + seen["SH"] == 1
+    by_name = F.array(*[F.lit(a) for a in sorted(ACTIONS)])
     grouped = rows.groupBy(*PAIR, "quarter_id").agg(
-        F.min(unit).alias("first_unit"),
-        F.max(unit).alias("last_unit"),
-        F.concat_ws(",", *units).alias("amount_type"),
+        *[F.max(F.when(unit == u, 1).otherwise(0)).alias(f"has_{u.lower()}") for u in units],
         F.sum("market_value_usd").alias("market_value_usd"),
         F.sum(amount).alias("all_amounts"),
         F.sum(F.when(unit == "SH", amount)).alias("shares"),
         F.sum(F.when(unit == "PRN", amount)).alias("principal_amount"),
         F.max("portfolio_weight").alias("portfolio_weight"),
-        F.coalesce(F.max("action"), F.lit("UNCHANGED")).alias("action"),
+        F.max(F.array_position(by_name, F.col("action"))).alias("last_action"),
         F.sum(F.coalesce("amount_change", zero)).alias("all_changes"),
         F.max("amount_change_percent").alias("largest_percent"),
         F.sum(F.coalesce("value_change_usd", zero)).alias("value_change_usd"),
@@ -70,9 +72,9 @@ def relationship_history(w: Warehouse, cik: str | None = None, cusip: str | None
         F.when(one_unit, F.col("all_amounts")).alias("reported_amount"),
         "shares",
         "principal_amount",
-        "amount_type",
+        F.concat_ws(",", *[F.when(seen[u] == 1, u) for u in units]).alias("amount_type"),
         "portfolio_weight",
-        "action",
+        F.coalesce(F.get(by_name, F.col("last_action") - 1), F.lit("UNCHANGED")).alias("action"),
         F.when(one_unit, F.col("all_changes")).alias("amount_change"),
         F.when(one_unit, F.col("largest_percent")).alias("amount_change_percent"),
         "value_change_usd",

@@ -9,8 +9,10 @@ same rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,18 @@ TABLES: dict[str, Table] = {
 }
 
 
+def stage_tables(stage: str) -> list[str]:
+    return [name for name, table in TABLES.items() if table.stage == stage]
+
+
+# Tables that several others start from.  Without a folder they are persisted, so a
+# plan is still evaluated once; lost blocks are computed again from the inputs.
+REUSED = {
+    "variants", "line_totals", "filings", "components", "effective", "classification", "position_base", "positions",
+    "changes", "security_action_activity",
+}
+
+
 class Warehouse:
     """Named DataFrames, built on first use: ``warehouse.positions``."""
 
@@ -115,9 +129,28 @@ class Warehouse:
             if self.folder is not None and store:
                 partition = TABLES[name].partition_by if name in TABLES else None
                 plan = write_table(plan, f"{self.folder}/{name}", partition)
+            elif name in REUSED:
+                plan = plan.persist(StorageLevel.DISK_ONLY)
             self._frames[name] = plan
         return self._frames[name]
 
+    def build(self, *groups: list[str]) -> None:
+        """Build groups of tables, the groups at the same time.
+
+        Groups must not depend on each other.  Independent jobs submitted together keep
+        the executors busy while one of them waits for its last tasks.
+        """
+        with ThreadPoolExecutor(max_workers=len(groups)) as pool:
+            for done in [pool.submit(lambda g: [self.table(n) for n in g], g) for g in groups]:
+                done.result()
+
+    def build_all(self) -> None:
+        """Inputs, then the three stages that only need inputs, then the facts and their rollups."""
+        if self._store_inputs:
+            self.build(["infotable", "summarypage"], [n for n in INPUTS if n not in ("infotable", "summarypage")])
+        self.build(*[stage_tables(s) for s in STAGES[:3]])
+        self.build(stage_tables(STAGES[3]))
+
     def adopt(self, name: str, frame: DataFrame) -> None:
         """Use an already stored table instead of building it."""
         self._frames[name] = frame
