@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from holdfast.functions import values as v
 from holdfast.schemas import MANAGER_QUARTER
 
-# A filing number is <10-digit filer>-<2-digit year>-<6-digit serial>: the first
-# 17 characters put at most 1,000 filings into one chunk of an ordered group.
-CHUNK_PREFIX = 17
+# Characters of the filing number, behind what all numbers of a group share, that
+# separate chunks: up to 1,000 chunks per day for numbers made of digits.
+CHUNK_CHARACTERS = 3
 
 
 def dense_calendar(dates: DataFrame, column: str) -> DataFrame:
@@ -122,16 +122,27 @@ def resolve_amendments(filings: DataFrame, keys: list[str] = MANAGER_QUARTER) ->
     A group may be very large, so no window runs over its rows.  Rows are cut into
     chunks that follow the filing order; per-chunk marks (a few per group) are
     accumulated over the group, and only the rows of one chunk are ordered together.
+    A chunk is a day, an amendment number and the first characters in which the filing
+    numbers of the group differ, which is monotone in the order whatever their format.
     """
     replaces = F.col("component_type").isin("BASE", "RESTATEMENT")
     rank = F.coalesce("amendment_number", F.lit(-1))
-    rows = filings.withColumns(
+    number = F.col("accession_number")
+    spread = filings.groupBy(*keys).agg(F.min(number).alias("lowest"), F.max(number).alias("highest"))
+    shared = F.size(
+        F.filter(
+            F.sequence(F.lit(1), F.greatest(F.length("lowest"), F.lit(1))),
+            lambda i: F.col("lowest").substr(F.lit(1), i) == F.col("highest").substr(F.lit(1), i),
+        )
+    )
+    spread = spread.select(*keys, shared.alias("shared"))
+    rows = filings.join(spread, keys).withColumns(
         {
             "chunk": F.struct(
                 F.col("filing_date").alias("d"), rank.alias("n"),
-                F.substring("accession_number", 1, CHUNK_PREFIX).alias("a"),
+                number.substr(F.col("shared") + 1, F.lit(CHUNK_CHARACTERS)).alias("a"),
             ),
-            "replacing": F.when(replaces, F.col("accession_number")),
+            "replacing": F.when(replaces, number),
         }
     )
     marks = rows.groupBy(*keys, "chunk").agg(

@@ -121,30 +121,16 @@ def matching_rule(rules: list[tuple] = CLASS_RULES) -> Column:
     return F.coalesce(*branches)
 
 
-def matching_rule_join(spellings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Same decision with the rules as a table, for rule sets kept outside the code.
+def rules_from_table(rules: DataFrame, at_most: int = 1000) -> list[tuple]:
+    """Active rules of a maintained table, for ``matching_rule``.
 
-    Only (rule_id, priority, field_name, match_type, match_pattern, security_type_id)
-    rows marked active are used.  The list is reviewed by hand; the planner broadcasts
-    it only if its size allows.
+    Such a list is reviewed by hand; one too long for an expression is refused.
     """
-    keys = spellings.columns
-    field = F.when(F.col("field_name") == "titleofclass", v.normalized_text("titleofclass")).otherwise(
-        v.normalized_text("nameofissuer")
-    )
-    plain = v.normalized_text("match_pattern")
-    fits = (
-        F.when(F.col("match_type") == "EXACT", field == plain)
-        .when(F.col("match_type") == "CONTAINS", F.contains(field, plain))
-        .otherwise(F.regexp_like(field, F.concat(F.lit("(?i)"), "match_pattern")))
-    )
-    candidate = F.struct("priority", "rule_id", "security_type_id")
-    return (
-        spellings.join(rules, fits, "left")
-        .groupBy(*keys)
-        .agg(F.min(F.when(F.col("rule_id").isNotNull(), candidate)).alias("best"))
-        .select(*keys, "best.rule_id", "best.security_type_id")
-    )
+    columns = ["rule_id", "priority", "field_name", "match_type", "match_pattern", "security_type_id"]
+    found = rules.filter("is_active = 1").select(*columns).limit(at_most + 1).collect()
+    if len(found) > at_most:
+        raise ValueError(f"more than {at_most} active rules")
+    return [tuple(r) for r in found]
 
 
 def classify_securities(

@@ -56,6 +56,11 @@ def equals(df: DataFrame, **wanted: object) -> DataFrame:
     return df
 
 
+def in_order(df: DataFrame, entity: str | None, *columns: str) -> DataFrame:
+    """Sort the short answer for one entity; rows of all entities stay where they are."""
+    return df.orderBy(*columns) if entity else df
+
+
 def valid_action(action: str | None) -> str | None:
     normalized = (action or "").upper()
     if normalized and normalized not in ACTIONS:

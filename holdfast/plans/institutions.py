@@ -14,7 +14,7 @@ from holdfast.functions import values as v
 from holdfast.operators.changes import exited_positions
 from holdfast.operators.keys import first_n_per_key, page
 from holdfast.plans.common import (
-    equals, in_range, institution_name, manager_names, millions, percent, security_names, type_codes,
+    equals, in_order, in_range, institution_name, manager_names, millions, percent, security_names, type_codes,
     valid_action, zero_if_missing,
 )
 from holdfast.plans.warehouse import Warehouse
@@ -244,9 +244,8 @@ def institution_snapshot(w: Warehouse, quarter_id: int | None = None, cik: str |
 
 
 def institution_activity(w: Warehouse, cik: str | None = None, quarter_id: int | None = None) -> DataFrame:
-    return equals(w.manager_action_activity, manager_cik=cik, quarter_id=quarter_id).orderBy(
-        *MANAGER_QUARTER, "action"
-    )
+    rows = equals(w.manager_action_activity, manager_cik=cik, quarter_id=quarter_id)
+    return in_order(rows, cik, *MANAGER_QUARTER, "action")
 
 
 def institution_allocation(w: Warehouse, cik: str | None = None, quarter_id: int | None = None) -> DataFrame:
@@ -272,7 +271,7 @@ def institution_history(w: Warehouse, cik: str | None = None) -> DataFrame:
     activity = w.manager_activity.select(
         *MANAGER_QUARTER, "new_count", "exited_count", "net_value_change_usd", "gross_value_change_usd"
     )
-    return (
+    rows = (
         equals(w.manager_summary, manager_cik=cik)
         .join(activity, MANAGER_QUARTER, "left")
         .withColumns(zero_if_missing("new_count", "exited_count", "net_value_change_usd", "gross_value_change_usd"))
@@ -289,8 +288,8 @@ def institution_history(w: Warehouse, cik: str | None = None) -> DataFrame:
             "net_value_change_usd",
             v.turnover("gross_value_change_usd", "portfolio_value_usd").alias("turnover_rate"),
         )
-        .orderBy(*MANAGER_QUARTER)
     )
+    return in_order(rows, cik, *MANAGER_QUARTER)
 
 
 def behavior_metrics(w: Warehouse, cik: str | None = None) -> DataFrame:

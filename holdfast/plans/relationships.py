@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions import values as v
-from holdfast.plans.common import equals, institution_name, manager_names, security_names
+from holdfast.plans.common import equals, in_order, institution_name, manager_names, security_names
 from holdfast.plans.institutions import held_with_change
 from holdfast.plans.warehouse import Warehouse
 from holdfast.schemas import ACTIONS
@@ -64,7 +64,7 @@ def relationship_history(w: Warehouse, cik: str | None = None, cusip: str | None
         F.max("amount_change_percent").alias("largest_percent"),
         F.sum(F.coalesce("value_change_usd", zero)).alias("value_change_usd"),
     )
-    return grouped.select(
+    history = grouped.select(
         *PAIR,
         "quarter_id",
         v.quarter_label("quarter_id").alias("quarter_label"),
@@ -79,6 +79,7 @@ def relationship_history(w: Warehouse, cik: str | None = None, cusip: str | None
         F.when(one_unit, F.col("largest_percent")).alias("amount_change_percent"),
         "value_change_usd",
     )
+    return in_order(history, cik and cusip, "quarter_id")
 
 
 def trailing_run(history: DataFrame, keys: list[str], quarter: str = "quarter_id") -> DataFrame:

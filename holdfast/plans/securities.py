@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import values as v
 from holdfast.operators.keys import first_n_per_key, page
 from holdfast.plans.common import (
-    base_types, equals, in_range, institution_name, manager_names, security_names, valid_action, zero_if_missing,
+    base_types, equals, in_order, in_range, institution_name, manager_names, security_names, valid_action, zero_if_missing,
 )
 from holdfast.plans.institutions import RankFilter, _snapshot_rows, held_and_left, order_of
 from holdfast.plans.warehouse import Warehouse
@@ -121,12 +121,13 @@ def security_snapshot(w: Warehouse, quarter_id: int | None = None, cusip: str |
 
 
 def security_activity(w: Warehouse, cusip: str | None = None, quarter_id: int | None = None) -> DataFrame:
-    return equals(w.security_action_activity, cusip=cusip, quarter_id=quarter_id).orderBy(*SECURITY_QUARTER, "action")
+    rows = equals(w.security_action_activity, cusip=cusip, quarter_id=quarter_id)
+    return in_order(rows, cusip, *SECURITY_QUARTER, "action")
 
 
 def security_history(w: Warehouse, cusip: str | None = None) -> DataFrame:
     counts = ["new_investor_count", "exited_investor_count", "net_value_change_usd"]
-    return (
+    rows = (
         equals(w.security_summary, cusip=cusip)
         .join(w.security_activity.select(*SECURITY_QUARTER, *counts), SECURITY_QUARTER, "left")
         .withColumns(zero_if_missing(*counts))
@@ -139,8 +140,8 @@ def security_history(w: Warehouse, cusip: str | None = None) -> DataFrame:
             v.ratio("total_value_usd", "manager_count").alias("average_position_value_usd"),
             *counts,
         )
-        .orderBy(*SECURITY_QUARTER)
     )
+    return in_order(rows, cusip, *SECURITY_QUARTER)
 
 
 def security_holders(

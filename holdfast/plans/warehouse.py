@@ -34,6 +34,7 @@ class Table:
     stage: str
     build: Callable[["Warehouse"], DataFrame]
     partition_by: str | None = None
+    sort_by: str | None = None
 
 
 # Stages run in this order and a run can resume at any of them.
@@ -67,16 +68,18 @@ TABLES: dict[str, Table] = {
         "instruments", lambda w: p.aggregate_positions(w.infotable, w.effective, w.classification)
     ),
     "context": Table("instruments", lambda w: p.manager_quarter_context(w.position_base)),
-    "positions": Table("instruments", lambda w: p.weigh_positions(w.position_base, w.context), "quarter_id"),
+    "positions": Table(
+        "instruments", lambda w: p.weigh_positions(w.position_base, w.context), "quarter_id", "manager_cik"
+    ),
     "instruments": Table("instruments", lambda w: p.instruments(w.positions, w.classification)),
     "relationships": Table("instruments", lambda w: p.relationships(w.positions)),
-    "manager_summary": Table("instruments", lambda w: p.manager_quarter_summary(w.positions)),
-    "security_summary": Table("instruments", lambda w: p.security_quarter_summary(w.positions)),
-    "changes": Table("instruments", lambda w: C.quarter_changes(w.positions), "to_quarter_id"),
-    "manager_activity": Table("instruments", lambda w: C.manager_activity(w.changes)),
-    "manager_action_activity": Table("instruments", lambda w: C.manager_action_activity(w.changes)),
-    "security_action_activity": Table("instruments", lambda w: C.security_action_activity(w.changes)),
-    "security_activity": Table("instruments", lambda w: C.security_activity(w.security_action_activity)),
+    "manager_summary": Table("instruments", lambda w: p.manager_quarter_summary(w.positions), "quarter_id"),
+    "security_summary": Table("instruments", lambda w: p.security_quarter_summary(w.positions), "quarter_id"),
+    "changes": Table("instruments", lambda w: C.quarter_changes(w.positions), "to_quarter_id", "manager_cik"),
+    "manager_activity": Table("instruments", lambda w: C.manager_activity(w.changes), "quarter_id"),
+    "manager_action_activity": Table("instruments", lambda w: C.manager_action_activity(w.changes), "quarter_id"),
+    "security_action_activity": Table("instruments", lambda w: C.security_action_activity(w.changes), "quarter_id"),
+    "security_activity": Table("instruments", lambda w: C.security_activity(w.security_action_activity), "quarter_id"),
 }
 
 
@@ -127,8 +130,8 @@ class Warehouse:
             else:
                 plan, store = self._inputs[name], self._store_inputs
             if self.folder is not None and store:
-                partition = TABLES[name].partition_by if name in TABLES else None
-                plan = write_table(plan, f"{self.folder}/{name}", partition)
+                layout = TABLES.get(name, Table("inputs", None))
+                plan = write_table(plan, f"{self.folder}/{name}", layout.partition_by, layout.sort_by)
             elif name in REUSED:
                 plan = plan.persist(StorageLevel.DISK_ONLY)
             self._frames[name] = plan

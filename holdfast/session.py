@@ -21,12 +21,19 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 _scratch: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if not context.master.startswith("local") and spark.conf.get(INITIAL_PARTITIONS, None) is None:
+        # Start shuffles fine and let AQE merge: it can join small partitions, not cut plain ones.
+        fine = max(8 * context.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        spark.conf.set(INITIAL_PARTITIONS, str(fine))
     return spark
 
 

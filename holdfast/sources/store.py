@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> DataFrame:
+def write_table(df: DataFrame, path: str, partition_by: str | None = None, sort_by: str | None = None) -> DataFrame:
     """Write and read back.
 
     Partitioned tables are rebalanced on the partition column first: AQE merges small
     pieces and splits large ones, so a quarter gets few files yet never one huge task.
+    ``sort_by`` orders the rows inside each file, so that a filter on it skips row groups.
     """
     spark, schema = df.sparkSession, df.schema
     out = df.hint("rebalance", F.col(partition_by)) if partition_by else df
+    if partition_by and sort_by:
+        out = out.sortWithinPartitions(partition_by, sort_by)
     # static: an overwrite replaces the table, so partitions without rows disappear too
-    writer = out.write.mode(mode).option("partitionOverwriteMode", "static")
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from holdfast.operators.filings import holdings_filings, resolve_amendments
 from holdfast.schemas import MANAGER_QUARTER, RAW_SCHEMAS
-from holdfast.session import new_folder
 from holdfast.sources.filings_tsv import clean_columns
 from holdfast.sources.store import append_batch, overwrite_partitions, write_table
 
@@ -108,9 +107,10 @@ def stream_reresolve(
 
     A batch names the (manager, quarter) groups it touches; only those are resolved
     again from all their filings.  The quarters they lie in are rewritten as untouched
-    groups plus new groups, first to a fresh folder because a table must not be read
-    and overwritten in one job.
+    groups plus new groups, first to a staging folder because a table must not be read
+    and overwritten in one job.  Staging belongs to one query and is reused by each batch.
     """
+    staging = f"{components_out}-staging"
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -120,14 +120,14 @@ def stream_reresolve(
         session = batch.sparkSession
         arrived = _append(batch, batch_id, filings_out, schema)
         touched = write_table(
-            arrived.filter("quarter_id IS NOT NULL").select(*MANAGER_QUARTER).distinct(), new_folder(session, "touched")
+            arrived.filter("quarter_id IS NOT NULL").select(*MANAGER_QUARTER).distinct(), f"{staging}/touched"
         )
         history = stored(session, data_path(filings_out), with_batch(schema))
         fresh = resolve_amendments(holdings_filings(history.join(touched, MANAGER_QUARTER, "left_semi")))
         current = stored(session, components_out, fresh.schema)
         quarters = touched.select("quarter_id").distinct()
         kept = current.join(quarters, "quarter_id", "left_semi").join(touched, MANAGER_QUARTER, "left_anti")
-        staged = write_table(fresh.unionByName(kept), new_folder(session, "components"))
+        staged = write_table(fresh.unionByName(kept), f"{staging}/components")
         overwrite_partitions(staged, components_out, "quarter_id")
 
     return (

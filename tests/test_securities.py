@@ -73,17 +73,15 @@ def test_rule_patterns(spark, title, type_id):
     assert row.security_type_id == (type_id or 99)
 
 
-def test_rule_table_gives_the_same_answer_as_the_expression(spark, warehouse):
-    rules = spark.createDataFrame(
-        [(r[0], r[1], r[2], r[3], r[4], r[5]) for r in CLASS_RULES],
-        "rule_id int, priority int, field_name string, match_type string, match_pattern string, security_type_id int",
+def test_rules_can_come_from_a_table(spark):
+    table = spark.createDataFrame(
+        [(*r, 1) for r in CLASS_RULES] + [(99, 0, "titleofclass", "CONTAINS", "COM", 4, 0)],
+        """rule_id int, priority int, field_name string, match_type string, match_pattern string,
+           security_type_id int, is_active int""",
     )
-    spellings = warehouse.variants.select("cusip", "nameofissuer", "titleofclass").distinct()
-    joined = s.matching_rule_join(spellings, rules)
-    direct = spellings.withColumn("rule", s.matching_rule()).select(
-        "cusip", "nameofissuer", "titleofclass", "rule.rule_id", "rule.security_type_id"
-    )
-    assert joined.exceptAll(direct).count() == 0 and direct.exceptAll(joined).count() == 0
+    assert sorted(s.rules_from_table(table)) == sorted(CLASS_RULES)
+    with pytest.raises(ValueError):
+        s.rules_from_table(table, at_most=3)
 
 
 def test_exact_and_contains_rules(spark):
