@@ -12,7 +12,7 @@ import sys
 import time
 
 from holdfast.plans.catalog import CATALOG, comparable
-from holdfast.plans.warehouse import INPUTS, STAGES, sample_warehouse, stage_tables
+from holdfast.plans.warehouse import sample_warehouse
 from holdfast.session import local_session
 
 SERVED = (
@@ -38,10 +38,9 @@ def main() -> int:
         action()
         timings[name] = round(time.perf_counter() - started, 3)
 
-    lines = ["infotable", "summarypage"]
-    timed("load_raw", lambda: warehouse.build(lines, [t for t in INPUTS if t not in lines]))
-    timed("build_dimensions_and_filings", lambda: warehouse.build(*[stage_tables(s) for s in STAGES[:3]]))
-    timed("build_positions_and_changes", lambda: warehouse.build(stage_tables(STAGES[3])))
+    timed("load_raw", warehouse.build_inputs)
+    timed("build_dimensions_and_filings", warehouse.build_dimensions_and_filings)
+    timed("build_facts", warehouse.build_facts)
     for name in SERVED:
         timed(name, lambda: comparable(CATALOG[name](warehouse)).write.format("noop").mode("overwrite").save())
     spark.stop()

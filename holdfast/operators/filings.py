@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import values as v
 from holdfast.schemas import MANAGER_QUARTER
-
-# Characters of the filing number, behind what all numbers of a group share, that
-# separate chunks: up to 1,000 chunks per day for numbers made of digits.
-CHUNK_CHARACTERS = 3
-
+from holdfast.sources.store import store_once
 
 def dense_calendar(dates: DataFrame, column: str) -> DataFrame:
     """Every quarter between the first and last observed date, with its predecessor."""
@@ -112,82 +108,81 @@ def holdings_filings(filings: DataFrame, overrides: DataFrame | None = None) ->
     )
 
 
-def resolve_amendments(filings: DataFrame, keys: list[str] = MANAGER_QUARTER) -> DataFrame:
+def filing_order() -> list[Column]:
+    return [F.col("filing_date"), F.coalesce("amendment_number", F.lit(-1)), F.col("accession_number")]
+
+
+def _ordered_pieces(filings: DataFrame, keys: list[str], path: str | None) -> DataFrame:
+    """Filings with the piece of their group they fall into and their place in that piece.
+
+    Pieces are the range partitions of (group, filing order): balanced whatever the groups
+    look like, and numbered in filing order.  Range bounds come from a sample, so the rows
+    are stored once; everything after it reads the same pieces.
+    """
+    replaces = F.col("component_type").isin("BASE", "RESTATEMENT")
+    pieces = filings.repartitionByRange(*keys, *filing_order()).withColumn("piece", F.spark_partition_id())
+    w = Window.partitionBy(*keys, "piece")
+    backwards = w.orderBy(*[c.desc() for c in filing_order()]).rowsBetween(Window.unboundedPreceding, -1)
+    replacing = F.when(replaces, F.col("accession_number"))
+    return store_once(
+        pieces.select(
+            "accession_number", *keys, "piece", "component_type", "is_amendment", "is_confidential_omitted",
+            "filing_date",
+            F.row_number().over(w.orderBy(*filing_order())).alias("place"),
+            # Walking backwards, the last replacing filing seen is the next one in time.
+            F.last(replacing, ignorenulls=True).over(backwards).alias("replaced_by"),
+        ),
+        path,
+    )
+
+
+def resolve_amendments(filings: DataFrame, keys: list[str] = MANAGER_QUARTER, path: str | None = None) -> DataFrame:
     """Order the filings of a group and mark which of them are in effect.
 
     BASE and RESTATEMENT replace everything before them; ADDITION adds to what is
     in effect.  With ``last`` = position of the last replacing filing, a row is in
     effect if it is that filing or an ADDITION after it.
 
-    A group may be very large, so no window runs over its rows.  Rows are cut into
-    chunks that follow the filing order; per-chunk marks (a few per group) are
-    accumulated over the group, and only the rows of one chunk are ordered together.
-    A chunk is a day, an amendment number and the first characters in which the filing
-    numbers of the group differ, which is monotone in the order whatever their format.
+    A group may be very large, so no window runs over all of its rows: rows are ordered
+    within pieces, and one summary row per piece carries counts and resets across them.
+    ``path`` is where the ordered rows are stored.
     """
     replaces = F.col("component_type").isin("BASE", "RESTATEMENT")
-    rank = F.coalesce("amendment_number", F.lit(-1))
-    number = F.col("accession_number")
-    spread = filings.groupBy(*keys).agg(F.min(number).alias("lowest"), F.max(number).alias("highest"))
-    shared = F.size(
-        F.filter(
-            F.sequence(F.lit(1), F.greatest(F.length("lowest"), F.lit(1))),
-            lambda i: F.col("lowest").substr(F.lit(1), i) == F.col("highest").substr(F.lit(1), i),
-        )
-    )
-    spread = spread.select(*keys, shared.alias("shared"))
-    rows = filings.join(spread, keys).withColumns(
-        {
-            "chunk": F.struct(
-                F.col("filing_date").alias("d"), rank.alias("n"),
-                number.substr(F.col("shared") + 1, F.lit(CHUNK_CHARACTERS)).alias("a"),
-            ),
-            "replacing": F.when(replaces, number),
-        }
-    )
-    marks = rows.groupBy(*keys, "chunk").agg(
-        F.count("*").alias("chunk_rows"),
-        F.min("replacing").alias("first_replacing"),
-        F.max("replacing").alias("last_replacing"),
+    rows = _ordered_pieces(filings, keys, path)
+    reset_place = F.when(replaces, F.col("place"))
+    pieces = rows.groupBy(*keys, "piece").agg(
+        F.count("*").alias("piece_rows"),
+        F.max(reset_place).alias("last_reset_place"),
+        F.min_by("accession_number", reset_place).alias("first_replacing"),
     )
     group = Window.partitionBy(*keys)
-    before = group.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    # The next chunk's first replacing filing is the last one seen when walking backwards.
-    backwards = group.orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    marks = marks.select(
+    before = group.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    backwards = group.orderBy(F.col("piece").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(
         *keys,
-        "chunk",
-        F.coalesce(F.sum("chunk_rows").over(before), F.lit(0)).alias("rows_before"),
+        "piece",
+        F.coalesce(F.sum("piece_rows").over(before), F.lit(0)).alias("rows_before"),
         F.last("first_replacing", ignorenulls=True).over(backwards).alias("replaced_later_by"),
-        F.max(F.when(F.col("last_replacing").isNotNull(), F.struct("chunk", "last_replacing")))
-        .over(group).alias("last_reset"),
-    )
-    inside = Window.partitionBy(*keys, "chunk")
-    inside_back = inside.orderBy(F.col("accession_number").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(marks, [*keys, "chunk"]).withColumns(
+        "last_reset_place",
+    ).withColumn("last_reset", F.max(F.col("rows_before") + F.col("last_reset_place")).over(group))
+    placed = rows.join(pieces, [*keys, "piece"]).withColumns(
         {
-            "component_sequence": (
-                F.col("rows_before") + F.row_number().over(inside.orderBy("accession_number"))
-            ).cast("int"),
-            "replaced_by": F.coalesce(
-                F.last("replacing", ignorenulls=True).over(inside_back), F.col("replaced_later_by")
-            ),
+            "component_sequence": (F.col("rows_before") + F.col("place")).cast("int"),
+            "last_reset": F.coalesce("last_reset", F.lit(0)),
         }
     )
-    position = F.struct("chunk", F.col("accession_number").alias("last_replacing"))
-    after_reset = F.col("last_reset").isNull() | (position > F.col("last_reset"))
-    effective = (replaces & (position == F.col("last_reset"))) | (
-        (F.col("component_type") == "ADDITION") & after_reset
-    )
+    sequence, last = F.col("component_sequence"), F.col("last_reset")
+    effective = (replaces & (sequence == last)) | ((F.col("component_type") == "ADDITION") & (sequence > last))
     return placed.select(
         "accession_number",
         *keys,
         "component_type",
         "component_sequence",
         F.when(effective, 1).otherwise(0).alias("is_effective"),
-        F.when(F.col("component_type").isin("BASE", "RESTATEMENT", "ADDITION"), F.col("replaced_by")).alias(
-            "superseded_by_accession_number"
-        ),
+        F.when(
+            F.col("component_type").isin("BASE", "RESTATEMENT", "ADDITION"),
+            F.coalesce("replaced_by", "replaced_later_by"),
+        ).alias("superseded_by_accession_number"),
         "is_amendment",
         "is_confidential_omitted",
         "filing_date",

@@ -27,6 +27,7 @@ from holdfast.sources.sample import sample_tables
 from holdfast.sources.store import write_table
 
 INPUTS = (*RAW_TABLES, "listings", "sic")
+LARGE_INPUTS = ("infotable", "summarypage", "signature", "submission", "coverpage")
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,8 @@ TABLES: dict[str, Table] = {
     ),
     "calendar": Table("canonical", lambda w: f.dense_calendar(w.filings, "report_date")),
     "components": Table(
-        "canonical", lambda w: f.resolve_amendments(f.holdings_filings(w.filings, w.filing_overrides))
+        "canonical",
+        lambda w: f.resolve_amendments(f.holdings_filings(w.filings, w.filing_overrides), path=w.path("ordered_filings")),
     ),
     "canonical": Table("canonical", lambda w: f.canonical_filings(w.components)),
     "reconciliation": Table(
@@ -147,12 +149,28 @@ class Warehouse:
             for done in [pool.submit(lambda g: [self.table(n) for n in g], g) for g in groups]:
                 done.result()
 
-    def build_all(self) -> None:
-        """Inputs, then the three stages that only need inputs, then the facts and their rollups."""
+    def build_inputs(self) -> None:
         if self._store_inputs:
-            self.build(["infotable", "summarypage"], [n for n in INPUTS if n not in ("infotable", "summarypage")])
+            self.build(["infotable"], ["summarypage", "signature"], ["submission", "coverpage"], [n for n in INPUTS if n not in LARGE_INPUTS])
+
+    def build_dimensions_and_filings(self) -> None:
+        """Three stages that need nothing but inputs."""
         self.build(*[stage_tables(s) for s in STAGES[:3]])
-        self.build(stage_tables(STAGES[3]))
+
+    def build_facts(self) -> None:
+        self.build(["classification", "position_base", "context", "positions"])
+        self.build(["instruments", "relationships"], ["manager_summary"], ["security_summary"], ["changes"])
+        self.build(
+            ["manager_activity"], ["manager_action_activity"], ["security_action_activity", "security_activity"]
+        )
+
+    def build_all(self) -> None:
+        self.build_inputs()
+        self.build_dimensions_and_filings()
+        self.build_facts()
+
+    def path(self, name: str) -> str | None:
+        return None if self.folder is None else f"{self.folder}/{name}"
 
     def adopt(self, name: str, frame: DataFrame) -> None:
         """Use an already stored table instead of building it."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast.session import new_folder, shared_dir
+
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None, sort_by: str | None = None) -> DataFrame:
     """Write and read back.
@@ -25,6 +28,13 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None, sort_
     return read_table(spark, path, schema).select(*df.columns)
 
 
+def store_once(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Fix rows that must not be evaluated twice, in the shared folder or, without one, on the executors' disks."""
+    if path is None and shared_dir(df.sparkSession) is None:
+        return df.persist(StorageLevel.DISK_ONLY)
+    return write_table(df, path or new_folder(df.sparkSession, "once"))
+
+
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)

@@ -123,7 +123,8 @@ def stream_reresolve(
             arrived.filter("quarter_id IS NOT NULL").select(*MANAGER_QUARTER).distinct(), f"{staging}/touched"
         )
         history = stored(session, data_path(filings_out), with_batch(schema))
-        fresh = resolve_amendments(holdings_filings(history.join(touched, MANAGER_QUARTER, "left_semi")))
+        reopened = holdings_filings(history.join(touched, MANAGER_QUARTER, "left_semi"))
+        fresh = resolve_amendments(reopened, path=f"{staging}/ordered")
         current = stored(session, components_out, fresh.schema)
         quarters = touched.select("quarter_id").distinct()
         kept = current.join(quarters, "quarter_id", "left_semi").join(touched, MANAGER_QUARTER, "left_anti")

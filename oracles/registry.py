@@ -89,7 +89,7 @@ COUNTED = {
         "(SELECT * FROM d_recon WHERE reconciliation_status NOT IN ('MATCH', 'ROUNDING_DIFFERENCE'))",
     "unknown_cusips": "(SELECT * FROM d_class WHERE security_type_id = 99)",
 }
-add("pipeline_counts", " UNION ALL ".join(
+add("stage_counts", " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, COUNT(*) AS row_count FROM {t} x" for n, t in COUNTED.items()))
 
 # ---- table maintenance

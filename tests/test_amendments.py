@@ -100,10 +100,14 @@ def test_ties_on_the_filing_date_go_by_amendment_number_then_accession(spark):
     assert [r["accession_number"] for r in components["m"]] == ["Z", "A1", "B", "A"]
 
 
-def test_chunks_do_not_depend_on_the_accession_format(spark):
-    """Many filings of one day share a chunk; long and short numbers mix."""
+def test_one_group_over_many_pieces(spark):
+    """3,000 filings of one manager on one day are ordered in several partitions."""
     days = [("BASE" if i % 7 == 0 else "ADDITION", 1, None, f"0001234567-23-{i:06d}", 0) for i in range(3000)]
-    components, canonical = run(spark, {"m": days})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        components, canonical = run(spark, {"m": days})
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     rows = components["m"]
     last = max(i for i in range(3000) if i % 7 == 0)
     assert [i for i, r in enumerate(rows) if r["is_effective"]] == list(range(last, 3000))
@@ -115,6 +119,22 @@ def test_chunks_do_not_depend_on_the_accession_format(spark):
     assert canonical["m"]["resolution_status"] == "REVIEW_REQUIRED"
 
 
+def test_pieces_are_balanced(spark, folder):
+    from holdfast.operators.filings import _ordered_pieces
+
+    filings = spark.range(4000).selectExpr(
+        "'m' AS manager_cik", "202301 AS quarter_id", "lpad(id, 8, '0') AS accession_number",
+        "DATE '2023-05-01' AS filing_date", "CAST(id AS INT) AS amendment_number", "'ADDITION' AS component_type",
+        "1 AS is_amendment", "0 AS is_confidential_omitted",
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r[0] for r in _ordered_pieces(filings, ["manager_cik", "quarter_id"], folder).groupBy("piece").count().select("count").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) > 1 and max(sizes) < 2500
+
+
 def test_override_beats_every_other_rule(spark):
     filings = spark.createDataFrame(
         [("a", "13F-HR", 202301, 0, None), ("b", "13f-hr/a", 202301, 1, "new holdings"),

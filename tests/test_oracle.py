@@ -78,3 +78,35 @@ def test_golden_counts(warehouse):
     assert w.components.filter("is_effective = 1").count() == 726
     assert w.context.filter("prior_pair_confidential IS NOT NULL").count() == 107
     assert w.positions.agg({"value_usd": "sum"}).first()[0] == 32065830854
+
+
+def test_hot_filing_is_split_when_both_sides_are_shuffled(spark, skewed):
+    """With nothing small enough to broadcast, AQE has to cut the partition of the filing that owns a third of the lines."""
+    from holdfast.plans.warehouse import INPUTS, TABLES, Warehouse, sample_warehouse
+
+    w = sample_warehouse(spark, skewed)
+    expected = w.position_base
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, value in settings.items():
+        spark.conf.set(k, value)
+    try:
+        fresh = Warehouse(spark, {n: w.table(n) for n in INPUTS}, None)
+        for name in TABLES:
+            fresh.adopt(name, w.table(name))
+        fresh.adopt("infotable", w.infotable.repartition(16))
+        built = TABLES["position_base"].build(fresh)
+        rows = built.collect()
+        plan = built._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+    assert "skew=true" in plan
+    assert sorted(map(str, rows)) == sorted(map(str, expected.select(*built.columns).collect()))
