@@ -30,11 +30,3 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """NULL-safe equality over several columns of two aliased frames."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition

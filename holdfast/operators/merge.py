@@ -34,7 +34,7 @@ def soft_deactivate(existing: DataFrame, stage: DataFrame, keys: list[str], flag
     """Keep every key ever seen; ``flag`` is 1 for those in the new stage, whose values win."""
     values = [c for c in existing.columns if c not in keys and c != flag]
     old = existing.select(*keys, F.struct(*values).alias("_old"))
-    new = stage.select(*keys, F.struct(*values).alias("_new")) if values else stage.select(*keys, F.struct(F.lit(1)).alias("_new"))
+    new = stage.select(*keys, F.struct(*(values or [F.lit(1)])).alias("_new"))
     joined = old.join(new, keys, "full_outer")
     row = F.coalesce("_new", "_old") if values else None
     return joined.select(

@@ -109,6 +109,7 @@ class RankFilter:
         return millions(bounds[0]), millions(bounds[1])
 
 
+# The sort keys callers may name, and the columns they stand for.
 INSTITUTION_ORDERS = {
     "portfolio": "portfolio_value_usd",
     "buyers": "gross_buy_value_usd",
@@ -314,6 +315,7 @@ def behavior_metrics(w: Warehouse, cik: str | None = None) -> DataFrame:
     )
 
 
+# Sort keys of the holdings list.
 HOLDING_ORDERS = {
     "value": "market_value_usd",
     "weight": "weight_or_zero",

@@ -14,6 +14,7 @@ from holdfast.plans.institutions import RankFilter, _snapshot_rows, held_and_lef
 from holdfast.plans.warehouse import Warehouse
 from holdfast.schemas import SECURITY_QUARTER
 
+# Sort keys of the security ranking and of the holder list.
 SECURITY_ORDERS = {
     "ownership": "institutional_value_usd",
     "bought": "net_value_change_usd",

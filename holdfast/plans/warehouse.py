@@ -151,7 +151,8 @@ class Warehouse:
 
     def build_inputs(self) -> None:
         if self._store_inputs:
-            self.build(["infotable"], ["summarypage", "signature"], ["submission", "coverpage"], [n for n in INPUTS if n not in LARGE_INPUTS])
+            small = [n for n in INPUTS if n not in LARGE_INPUTS]
+            self.build(["infotable"], ["summarypage", "signature"], ["submission", "coverpage"], small)
 
     def build_dimensions_and_filings(self) -> None:
         """Three stages that need nothing but inputs."""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from holdfast.operators.filings import holdings_filings, resolve_amendments
 from holdfast.plans import pipeline
-from holdfast.plans.warehouse import INPUTS, TABLES, Warehouse
+from holdfast.plans.warehouse import INPUTS, Warehouse
 from holdfast.schemas import RAW_SCHEMAS
 from holdfast.sources import filings_tsv, store
 from holdfast.streaming import ingest
