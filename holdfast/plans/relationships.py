@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions import values as v
@@ -82,31 +82,39 @@ def relationship_history(w: Warehouse, cik: str | None = None, cusip: str | None
     return in_order(history, cik and cusip, "quarter_id")
 
 
-def trailing_run(history: DataFrame, keys: list[str], quarter: str = "quarter_id") -> DataFrame:
-    """Length of the unbroken run of quarters that ends at the last observed one.
+def with_runs(history: DataFrame, keys: list[str], quarter: str = "quarter_id") -> DataFrame:
+    """Mark unbroken runs of quarters: rows of one run share (ordinal - position), later runs have more.
 
-    Quarters of one run share (ordinal - position); the window holds one entity's quarters.
+    The windows hold the quarters of one entity, one row each.
     """
-    w = Window.partitionBy(*keys).orderBy(quarter)
-    runs = history.select(*keys, quarter).withColumn(
-        "run", v.quarter_ordinal(quarter) - F.row_number().over(w)
+    entity = Window.partitionBy(*keys)
+    position = F.row_number().over(entity.orderBy(quarter))
+    return history.withColumn("run", v.quarter_ordinal(quarter) - position).withColumn(
+        "last_run", F.max("run").over(entity)
     )
-    lengths = runs.groupBy(*keys, "run").agg(F.count("*").alias("length"))
-    return lengths.groupBy(*keys).agg(F.max_by("length", "run").alias("consecutive_quarters_held"))
+
+
+def trailing_length() -> Column:
+    return F.count_if(F.col("run") == F.col("last_run")).alias("consecutive_quarters_held")
+
+
+def trailing_run(history: DataFrame, keys: list[str], quarter: str = "quarter_id") -> DataFrame:
+    """Length of the unbroken run of quarters that ends at the last observed one."""
+    return with_runs(history, keys, quarter).groupBy(*keys).agg(trailing_length())
 
 
 def relationship_statistics(w: Warehouse, cik: str | None = None, cusip: str | None = None) -> DataFrame:
-    history = relationship_history(w, cik, cusip)
+    """Duration, trailing run, last purchases and peaks; one exchange after the history itself."""
+    history = with_runs(relationship_history(w, cik, cusip), PAIR)
 
-    def last(*actions: str):
+    def last(*actions: str) -> Column:
         return v.quarter_label(F.max(F.when(F.col("action").isin(*actions), F.col("quarter_id"))))
 
-    totals = history.groupBy(*PAIR).agg(
+    return history.groupBy(*PAIR).agg(
         F.count_if(F.col("market_value_usd") > 0).alias("holding_duration_quarters"),
+        trailing_length(),
         last("NEW", "ADDED").alias("last_added"),
         last("REDUCED").alias("last_reduced"),
         F.max("market_value_usd").alias("largest_position_value_usd"),
         F.max(F.coalesce("portfolio_weight", F.lit(0.0))).alias("highest_portfolio_weight"),
     )
-    observed = equals(w.positions, manager_cik=cik, cusip=cusip).select(*PAIR, "quarter_id").distinct()
-    return totals.join(trailing_run(observed, PAIR), PAIR)
