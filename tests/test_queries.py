@@ -70,14 +70,16 @@ def ranks(rows, column, descending=True):
 def test_institution_order_keys(warehouse):
     quarter = warehouse.latest_quarter()
     rows = {r["cik"]: r for r in dicts(institutions.institution_rows(warehouse, quarter))}
-    for key, column in INSTITUTION_ORDERS.items():
+    assert len(INSTITUTION_ORDERS) == 18 and set(INSTITUTION_ORDERS.values()) <= set(next(iter(rows.values())))
+    for column, key in {c: k for k, c in INSTITUTION_ORDERS.items()}.items():  # one key per column
         page = dicts(institutions.rank_institutions(warehouse, quarter, RankFilter(sort_by=key), 1, 4))
         best = sorted((r[column] for r in rows.values()), reverse=True)[:4]
         assert [rows[r["cik"]][column] for r in page] == best, key
 
 
 def test_security_order_keys(warehouse):
-    for key, column in SECURITY_ORDERS.items():
+    assert len(SECURITY_ORDERS) == 16
+    for column, key in {c: k for k, c in SECURITY_ORDERS.items()}.items():
         rows = dicts(sq.rank_securities(warehouse, 202301, RankFilter(sort_by=key, descending=key != "class")))
         if column in rows[0]:
             assert ranks(rows, column, key != "class"), key
