@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import gc
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -31,9 +31,26 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once below the shared folder and read it back: the lineage ends here and survives lost executors."""
-    path = new_folder(df.sparkSession, label)
+    spark = df.sparkSession
+    path = new_folder(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _release(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished plans now: it does so when the driver's unreachable objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that no later plan reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,16 +102,6 @@ class Memo(dict):
         return value
 
 
-_hashes: list[Memo] = []
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; equal words meet in a memo of the worker."""
-    if not _hashes:
-        _hashes.append(Memo(xxhash.xxh3_64_intdigest, 400_000))
-    return np.fromiter(map(_hashes[0].__getitem__, words), np.uint64, len(words))
-
-
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -133,12 +140,59 @@ def winnowed(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.unique(at)
 
 
-ALNUM_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Longest stretch of text that is hashed at once, and longest word that the fast hash is trusted with.
+_STRETCH, _LONG_WORD = 1 << 18, 256
+_BASE = 0xD1342543DE82EF95
+_powers = np.cumprod(np.r_[np.uint64(1), np.full(_STRETCH, _BASE, np.uint64)])
+_inverse = np.cumprod(np.r_[np.uint64(1), np.full(_STRETCH, pow(_BASE, -1, 1 << 64), np.uint64)])
+
 
+class WordClass:
+    """Words of a UTF-8 text as 64-bit hashes, A-Z taken as a-z; words are runs of the bytes that ``is_word`` names.
+
+    The hash of a word is a difference of running sums of byte values times powers, so a text costs a few array operations.
+    """
 
-def alnum_words(data: bytes) -> list[bytes]:
-    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; the class only splits at ASCII bytes."""
-    return ALNUM_WORD.findall(data.lower())
+    def __init__(self, is_word: Callable[[int], bool]):
+        self.word = np.array([is_word(b) for b in range(256)])
+        values = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        values[65:91] = values[97:123]
+        self.values = values
+
+    def spans(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """First bytes and ends of all words."""
+        inside = self.word[np.frombuffer(data, np.uint8)]
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        return edges[::2], edges[1::2]
+
+    def hashes(self, data: bytes | None) -> np.ndarray:
+        if not data:
+            return np.empty(0, np.uint64)
+        starts, ends = self.spans(data)
+        out = np.empty(len(starts), np.uint64)
+        text, first = np.frombuffer(data, np.uint8), 0
+        while first < len(starts):
+            at = starts[first]
+            last = max(int(np.searchsorted(ends, at + _STRETCH, "right")), first + 1)
+            if ends[last - 1] - at > _STRETCH:  # one word, hashed below
+                out[first] = 0
+            else:
+                part = text[at : ends[last - 1]]
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(self.values[part] * _powers[: len(part)], out=sums[1:])
+                s, e = starts[first:last] - at, ends[first:last] - at
+                out[first:last] = (sums[e] - sums[s]) * _inverse[s]
+            first = last
+        sizes = ends - starts
+        out = mixed(out + sizes.astype(np.uint64) * _M1)
+        for i in np.flatnonzero(sizes > _LONG_WORD):
+            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].lower())
+        return out
+
+
+#: Words ``[^\x20\x09-\x0D]+``, and ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of lower-cased text; both split at ASCII bytes only.
+SPACED = WordClass(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
+ALNUM = WordClass(lambda b: b >= 0x80 or chr(b).isalnum())
 
 
 def numbered(df: DataFrame, label: str) -> DataFrame:

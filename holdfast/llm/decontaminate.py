@@ -105,7 +105,7 @@ def item_grams(benchmark: DataFrame) -> DataFrame:
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
         for value in batch.column("text").to_pylist():
-            words = common.word_hashes(common.alnum_words(value or b""))
+            words = common.ALNUM.hashes(value)
             out.append(_grams(words, min(WINDOW, len(words))) if len(words) else [])
         return [pa.array(out, _GRAM_PA)]
 
@@ -150,7 +150,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, keep_row: bool = False) -> tup
 
         counts, grams = [], []
         for value in batch.column("data").to_pylist():
-            words = common.word_hashes(common.alnum_words(value or b""))
+            words = common.ALNUM.hashes(value)
             counts.append(len(words))
             grams.append([g for size in [*short, WINDOW] for g in _grams(words, size, wanted)])
         return [pa.array(counts, pa.int64()), pa.array(grams, _GRAM_PA)]

@@ -14,13 +14,13 @@ A document's set is its distinct shingles of ``N`` words (all its words if there
 
 Documents without words have an empty set and link with nothing.  Null ids are allowed: a component's id is the smallest
 id that is not null.  Repeated rows and ids are rows of their own and share a component.  Empty tables give empty results.
-Shingles are 64-bit hashes; two equal hashes of different shingles in one pair of documents may shift a count by one.
+Shingles are 64-bit hashes, compared by ``PACKED`` bytes of them; equal hashes of different shingles in one pair of documents,
+less than one pair in ten million at a thousand words, may shift its count by one.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,28 +38,26 @@ N, PERCENT = 5, 75
 SKETCH_BITS = 20
 #: Counters of a document's shingles by hash; their differences bound how far two sets differ.
 BUCKETS = 16
-#: Bits of the Bloom filter of documents that need verification: 2 MB; a fuller one lets more sets through to the join.
+#: Bits of Bloom filters (2 MB); a fuller one lets more rows through to the joins behind it, which are exact.
 BLOOM_BITS = 24
 
-WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+#: Bytes of each hash that sets are sent with.
+PACKED = 5
+#: Hashes that one task of the search for shared hashes holds, about.
+HELD = 4_000_000
 _LONGS = T.ArrayType(T.LongType(), False)
 
 
-def sequence(data: bytes) -> list[bytes]:
-    """Words of a text after lower-casing A-Z."""
-    return WORD.findall(data.lower())
-
-
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Distinct shingle hashes, sorted."""
-    if not words:
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Distinct shingle hashes of hashed words, sorted."""
+    if not len(words):
         return np.empty(0, np.uint64)
-    return np.unique(common.gram_hashes(common.word_hashes(words), min(N, len(words))))
+    return np.unique(common.gram_hashes(words, min(N, len(words))))
 
 
-def identity(words: list[bytes]) -> bytes:
+def identity(words: np.ndarray) -> bytes:
     """128 bits that tell word sequences apart."""
-    return xxhash.xxh3_128_digest(b" ".join(words))
+    return xxhash.xxh3_128_digest(words.tobytes())
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:
@@ -75,7 +73,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
         total = np.zeros(cells, np.uint32)
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                total[_cell(shingles(sequence(value or b"")))] += np.uint32(1)  # a cell counts once for a document
+                total[_cell(shingles(common.SPACED.hashes(value)))] += np.uint32(1)  # a cell counts once for a document
         strip = [zlib.compress(total[i * each : (i + 1) * each].tobytes(), 1) for i in range(strips)]
         yield pa.RecordBatch.from_arrays([pa.array(range(strips), pa.int32()), pa.array(strip, pa.binary())], names=["strip", "counts"])
 
@@ -116,8 +114,8 @@ def _overlap_needed(n: Column, m: Column) -> Column:
     return F.floor((PERCENT * (n + m) + (99 + PERCENT)) / F.lit(100 + PERCENT))
 
 
-def documents_table(docs: DataFrame, order: np.ndarray, keep_row: bool) -> DataFrame:
-    """Stored rows (rid, doc, uid, n, hist, prefix); ``prefix`` only at the first of equal texts in a task."""
+def documents_table(docs: DataFrame, order: np.ndarray) -> DataFrame:
+    """Stored rows (rid, doc_id, uid, n, hist, prefix); ``prefix`` only at the first of equal texts in a task."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
@@ -125,7 +123,7 @@ def documents_table(docs: DataFrame, order: np.ndarray, keep_row: bool) -> DataF
         for batch in batches:
             uid, n, hist, prefix = [], [], [], []
             for value in batch.column("data").to_pylist():
-                words = sequence(value or b"")
+                words = common.SPACED.hashes(value)
                 s = shingles(words)
                 key = identity(words)
                 uid.append(key)
@@ -139,69 +137,169 @@ def documents_table(docs: DataFrame, order: np.ndarray, keep_row: bool) -> DataF
                 hist.append(np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).tolist())
                 prefix.append(ordered_prefix(s, levels).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(uid, pa.binary()), pa.array(n, pa.int64()), pa.array(hist, pa.list_(pa.int32())),
-                 pa.array(prefix, pa.list_(pa.int64()))], names=["doc", "uid", "n", "hist", "prefix"])
+                [batch.column("doc_id"), pa.array(uid, pa.binary()), pa.array(n, pa.int64()), pa.array(hist, pa.list_(pa.int32())),
+                 pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "uid", "n", "hist", "prefix"])
 
-    rows = docs.select(F.struct(*(docs.columns if keep_row else ["doc_id"])).alias("doc"), F.col("text").cast("binary").alias("data"))
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("data"))
     schema = T.StructType([
-        rows.schema["doc"], T.StructField("uid", T.BinaryType()), T.StructField("n", T.LongType()),
+        rows.schema["doc_id"], T.StructField("uid", T.BinaryType()), T.StructField("n", T.LongType()),
         T.StructField("hist", T.ArrayType(T.IntegerType())), T.StructField("prefix", _LONGS)])
     out = rows.mapInArrow(run, schema)
     return common.stored(out.select(F.monotonically_increasing_id().alias("rid"), "*"), "sets")
 
 
-def _filtered(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` that pass the suffix filter: too different counts in the hash buckets cannot link."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for side in "ab":
-        pairs = pairs.join(sizes.select(F.col("rid").alias(side), F.col("n").alias(f"n_{side}"), F.col("hist").alias(f"h_{side}")), side)
-    apart = F.aggregate(F.zip_with("h_a", "h_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    most = F.col("n_a") + F.col("n_b") - 2 * _overlap_needed(F.col("n_a"), F.col("n_b"))
-    return pairs.where(apart <= most).select("a", "b", "n_a", "n_b")
+def shared_postings(rows: DataFrame) -> DataFrame:
+    """Stored (gram, rid) of the prefix shingles that two rows or more have.
+
+    Most prefix shingles stand in one document only.  To leave them out, tasks send their distinct hashes, packed, to one task for
+    each range of hashes, which knows those that came twice; a Bloom filter of these keeps the rest out of the join.
+    """
+    spark = rows.sparkSession
+    total = rows.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    ranges = 1 << max(5, math.ceil(math.log2(total / HELD + 1)))
+    bits = ranges.bit_length() - 1
+
+    def send(batches):
+        held: list[np.ndarray] = []
+
+        def flush():
+            # Hashes of one task that came twice are sent twice, hashes that came more often not more.
+            values, times = np.unique(np.concatenate(held), return_counts=True)
+            values = np.repeat(values, np.minimum(times, 2))
+            cuts = np.searchsorted(values >> np.uint64(64 - bits), np.arange(ranges + 1))
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(range(ranges), pa.int32()), pa.array([values[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["range", "grams"]
+            )
 
+        for batch in batches:
+            held.extend(np.array(x, np.int64).view(np.uint64) for x in batch.column(0).to_pylist())
+            if sum(map(len, held)) > HELD:
+                yield flush()
+        if held:
+            yield flush()
+
+    def twice(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(x, np.uint64) for g in groups for x in g.column("grams").to_pylist()]
+        values, times = np.unique(np.concatenate(held), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values[times > 1].view(np.int64), pa.int64())], names=["gram"])
+
+    prefixes = rows.where("prefix is not null").select("prefix")
+    grams = prefixes.mapInArrow(send, "range int, grams binary").groupBy("range").applyInArrow(twice, "gram long")
+    grams = common.stored(grams, "shared")
+    seen = spark.sparkContext.broadcast(_bloom(grams.select(F.col("gram").alias("h"))))
+
+    def keep(batch: pa.RecordBatch) -> list[pa.Array]:
+        out = []
+        for x in batch.column("prefix").to_pylist():
+            h = np.array(x, np.int64)
+            out.append(h[_in_bloom(seen.value, h.view(np.uint64))])
+        return [pa.array(out, pa.list_(pa.int64()))]
+
+    some = rows.where("prefix is not null").select("rid", "prefix")
+    some = some.mapInArrow(common.by_batch(keep, ["grams"], ("prefix",)), T.StructType([T.StructField("rid", T.LongType()), T.StructField("grams", _LONGS)]))
+    out = common.stored(some.select("rid", F.explode("grams").alias("gram")).join(grams, "gram"), "postings")
+    common.dropped(grams)
+    return out
 
-def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar enough.
 
-    Sets are computed again, from the texts that a Bloom filter of the pairs' documents lets through; the joins are exact.
-    """
-    spark = docs.sparkSession
-    pairs = common.stored(pairs, "pairs")
-    wanted = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid").select("rid", "uid")
-    wanted = common.stored(wanted, "wanted")
-    bit = F.shiftrightunsigned(F.xxhash64("uid"), 64 - BLOOM_BITS)
-    bits = np.zeros((1 << BLOOM_BITS) // 64, np.uint64)
-    cells = wanted.groupBy((bit / 64).cast("int").alias("w")).agg(
+def _bloom(hashes: DataFrame) -> np.ndarray:
+    """Bit table of the top bits of the hashes ``h``; at most ``2 ** BLOOM_BITS / 64`` rows reach the driver, one by one."""
+    bit = F.shiftrightunsigned("h", 64 - BLOOM_BITS)
+    cells = hashes.groupBy((bit / 64).cast("int").alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("b")
     )
-    for w, b in cells.toLocalIterator():  # at most 2**BLOOM_BITS / 64 rows
+    bits = np.zeros((1 << BLOOM_BITS) // 64, np.uint64)
+    for w, b in cells.toLocalIterator():
         bits[w] = np.uint64(b & 0xFFFFFFFFFFFFFFFF)
-    shared = spark.sparkContext.broadcast(bits)
+    return bits
+
+
+def _in_bloom(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes >> np.uint64(64 - BLOOM_BITS)
+    return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _top(uid: bytes) -> np.ndarray:
+    return np.array([int.from_bytes(uid[:8], "big")], np.uint64)
+
+
+def _uid_hash(uid: str = "uid") -> Column:
+    """First eight bytes of a uid as a number."""
+    return F.conv(F.hex(F.substring(F.col(uid), 1, 8)), 16, -10).cast("long")
+
+
+def _filtered(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows that pass length and suffix filter, with the uids and sizes of both.
+
+    Sets whose counts by hash bucket differ by more than linked sets' can are dropped, before any set is looked at.
+    """
+    for side in "ab":
+        pairs = pairs.join(reps.select(F.col("rid").alias(side), F.col("uid").alias(f"u_{side}"), F.col("n").alias(f"n_{side}"),
+                                       F.col("hist").alias(f"h_{side}")), side)
+    apart = F.aggregate(F.zip_with("h_a", "h_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    most = F.col("n_a") + F.col("n_b") - 2 * _overlap_needed(F.col("n_a"), F.col("n_b"))
+    return pairs.where(apart <= most).drop("h_a", "h_b")
+
+
+def _sets(docs: DataFrame, uids: DataFrame) -> DataFrame:
+    """(uid, set): packed sets of the texts whose uid a Bloom filter of ``uids`` lets through, once in each task."""
+    seen = docs.sparkSession.sparkContext.broadcast(_bloom(uids.select(_uid_hash().alias("h"))))
 
     def run(batches):
-        table, seen = shared.value, set()
+        bits, done = seen.value, set()
         for batch in batches:
             uid, sets = [], []
             for value in batch.column(0).to_pylist():
-                words = sequence(value or b"")
+                words = common.SPACED.hashes(value)
                 key = identity(words)
-                at = xxhash.xxh64_intdigest(key, 42) >> (64 - BLOOM_BITS)  # as Spark's xxhash64 of a binary value
-                if words and key not in seen and int(table[at >> 6]) >> (at & 63) & 1:
-                    if len(seen) < 200_000:
-                        seen.add(key)
+                if len(words) and key not in done and _in_bloom(bits, _top(key))[0]:
+                    if len(done) < 200_000:
+                        done.add(key)
                     uid.append(key)
-                    sets.append(shingles(words).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["uid", "grams"])
+                    sets.append(_packed(shingles(words)))
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.binary()), pa.array(sets, pa.binary())], names=["uid", "set"])
+
+    rows = docs.select(F.col("text").cast("binary").alias("data")).mapInArrow(run, "uid binary, set binary")
+    return rows.groupBy("uid").agg(F.first("set").alias("set"))
+
+
+def _packed(sets: np.ndarray) -> bytes:
+    return sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // PACKED, 8), np.uint8)
+    out[:, :PACKED] = np.frombuffer(data, np.uint8).reshape(-1, PACKED)
+    return out.view("<u8").ravel()
+
+
+def _similar(batches):
+    for batch in batches:
+        rows = {n: batch.column(n).to_pylist() for n in ("s_a", "s_b", "n_a", "n_b")}
+        keep, last, b = [], None, None
+        for s_a, s_b, n, m in zip(*(rows[k] for k in ("s_a", "s_b", "n_a", "n_b")), strict=True):
+            if s_b is not last and s_b != last:
+                last, b = s_b, _unpacked(s_b)
+            both = len(np.intersect1d(_unpacked(s_a), b))
+            keep.append(100 * both >= PERCENT * (n + m - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    schema = T.StructType([T.StructField("uid", T.BinaryType()), T.StructField("grams", _LONGS)])
-    sets = docs.select(F.col("text").cast("binary").alias("data")).mapInArrow(run, schema)
-    sets = wanted.join(sets, "uid").groupBy("rid").agg(F.first("grams").alias("grams"))
-    sets = common.stored(sets, "grams")
-    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("grams").alias("g_a")), "a")
-    both = both.join(sets.select(F.col("rid").alias("b"), F.col("grams").alias("g_b")), "b")
-    common_size = F.size(F.array_intersect("g_a", "g_b"))
-    similar = 100 * common_size >= PERCENT * (F.col("n_a") + F.col("n_b") - common_size)
-    return common.stored(both.where(similar).select("a", "b"), "links")
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Stored (a, b) of the filtered pairs whose whole sets are similar enough; each pair is verified once.
+
+    Sets are computed again, from the texts that stand in a pair.  ``b`` may stand in very many pairs: its side of the join is one
+    row, the other side is split like any skewed key.
+    """
+    pairs = common.stored(pairs, "pairs")
+    hubs = common.stored(_sets(docs, pairs.select(F.col("u_b").alias("uid")).distinct()), "hubs")
+    members = _sets(docs, pairs.select(F.col("u_a").alias("uid")).distinct())
+    left = pairs.join(members.select(F.col("uid").alias("u_a"), F.col("set").alias("s_a")), "u_a").drop("u_a")
+    both = left.join(hubs.select(F.col("uid").alias("u_b"), F.col("set").alias("s_b")), "u_b").drop("u_b")
+    links = common.stored(both.mapInArrow(_similar, "a long, b long"), "links")
+    common.dropped(pairs, hubs)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,37 +334,36 @@ def components(links: DataFrame) -> DataFrame:
     return found.union(low.select("m", "m").distinct())
 
 
-def linked(docs: DataFrame, keep_row: bool = False) -> tuple[DataFrame, DataFrame]:
-    """All documents as stored rows (rid, doc, uid, n, ...) and (uid, comp) of the representatives that have links."""
-    spark = common.prepared(docs.sparkSession)
-    order = _order(sketch(docs))
-    rows = documents_table(docs, order, keep_row)
-    first = rows.where("prefix is not null").groupBy("uid").agg(F.min("rid").alias("rid"))
-    reps = common.stored(rows.select("rid", "n", "hist", "prefix").join(first, "rid"), "reps")
-    sizes = reps.select("rid", "n", "hist")
-
-    postings = reps.select("rid", "n", F.posexplode("prefix").alias("at", "gram"))
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All documents as stored rows (rid, doc_id, uid, n, ...) and (uid, comp) of the representatives that have links."""
+    common.prepared(docs.sparkSession)
+    rows = documents_table(docs, _order(sketch(docs)))
+    reps = rows.where("prefix is not null").groupBy("uid").agg(F.min(F.struct("rid", "n", "hist")).alias("r"))
+    reps = common.stored(reps.select("uid", "r.*"), "reps")
+    # Copies in other tasks are out from here on.
+    postings = shared_postings(rows).join(reps.select("rid"), "rid", "left_semi")
+    postings = common.stored(postings, "lists")
     lists = postings.groupBy("gram").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low <> high")
-    # Only shingles that two representatives have in their prefixes: a small part of all.
-    postings = common.stored(postings.join(lists, "gram"), "postings")
-    star = postings.select("rid", F.explode(F.array("low", "high")).alias("hub")).where("rid <> hub")
-    star = _filtered(star.select(F.col("rid").alias("a"), F.col("hub").alias("b")), sizes)
-    links = _verified(docs, star, reps)
+    star = postings.join(lists, "gram").select("rid", F.explode(F.array("low", "high")).alias("hub")).where("rid <> hub")
+    # Of the hubs that a row meets the one that it shares most with; whatever that misses is found across components.
+    star = star.groupBy("rid", "hub").count().groupBy("rid").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+    star = star.select(F.col("rid").alias("a"), F.col("hub").alias("b"))
+    links = _verified(docs, _filtered(star, reps))
     found = common.stored(components(links), "found")
-
-    across = _across(postings, found)
-    more = _verified(docs, _filtered(across, sizes), reps)
+    more = _verified(docs, _filtered(_across(rows, reps, postings, found), reps))
     whole = common.stored(components(links.union(more)), "whole")
     return rows, reps.select("rid", "uid").join(whole, "rid").select("uid", "comp")
 
 
-def _across(postings: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of a list's members in different components that pass the length and positional filters."""
-    marked = postings.select("gram", "rid", "n", "at").join(found, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+def _across(rows: DataFrame, reps: DataFrame, postings: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct pairs of a list's members in different components that pass the length and positional filters."""
+    marked = postings.join(found, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     mixed = marked.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
     marked = common.stored(marked.join(mixed, "gram"), "mixed")
+    places = rows.join(marked.select("rid").distinct(), "rid", "left_semi").select("rid", "n", F.posexplode("prefix").alias("at", "gram"))
+    marked = marked.join(places, ["rid", "gram"])
     main = marked.groupBy("gram", "comp").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    marked = marked.join(main, "gram").withColumn("minor", F.col("comp") != F.col("main")).drop("main")
+    marked = common.stored(marked.join(main, "gram").withColumn("minor", F.col("comp") != F.col("main")).drop("main"), "sides")
     a, b = marked.where("minor").alias("x"), marked.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     possible = F.least(x("at"), y("at")) + 1 + F.least(x("n") - x("at") - 1, y("n") - y("at") - 1)
@@ -274,32 +371,58 @@ def _across(postings: DataFrame, found: DataFrame) -> DataFrame:
         (x("gram") == y("gram")) & (x("comp") != y("comp")) & (~y("minor") | (x("rid") < y("rid")))
         & (100 * F.least(x("n"), y("n")) >= PERCENT * F.greatest(x("n"), y("n"))) & (possible >= _overlap_needed(x("n"), y("n")))
     )
-    return a.join(b, on).select(x("rid").alias("a"), y("rid").alias("b"))
+    return a.join(b, on).select(x("rid").alias("a"), y("rid").alias("b")).distinct()
 
 
-def clusters(docs: DataFrame, keep_row: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rid, id, n_shingles, component_id, kept) of every document, and the stored rows.
+def clusters(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, uid, n_shingles, component_id, kept, several) of every document.
 
-    ``component_id`` is the component's smallest doc_id and ``kept`` the row that stands for it.
+    ``component_id`` is the component's smallest doc_id, ``kept`` the row that stands for it, ``several`` whether it has more rows.
     """
-    rows, comps = linked(docs, keep_row)
+    rows, comps = linked(docs)
     # Copies share their uid, so a component is a set of uids; texts without words stay alone.
-    joined = rows.select("rid", "n", "uid", F.col("doc.doc_id").alias("id")).join(comps, "uid", "left")
-    group = F.when(F.col("n") == 0, F.struct(F.col("rid"), F.lit(None).cast("binary").alias("uid"))).when(
-        F.col("comp").isNotNull(), F.struct(F.col("comp").alias("rid"), F.lit(None).cast("binary").alias("uid"))
-    ).otherwise(F.struct(F.lit(-1).cast("long").alias("rid"), F.col("uid")))
-    keyed = joined.select("rid", "n", "id", group.alias("grp"), (F.col("n") == 0).alias("alone"))
-    smallest = keyed.groupBy("grp", "alone").agg(F.min("id").alias("component_id"), F.min(F.struct("id", "rid"))["rid"].alias("kept"))
-    return keyed.join(smallest, ["grp", "alone"]).select("rid", "id", F.col("n").alias("n_shingles"), "component_id", "kept"), rows
+    joined = rows.select("rid", "doc_id", "uid", "n").join(comps, "uid", "left")
+    none = F.lit(None)
+    group = (
+        F.when(F.col("n") == 0, F.struct(F.lit(0).alias("kind"), F.col("rid").alias("at"), none.cast("binary").alias("uid")))
+        .when(F.col("comp").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("comp").alias("at"), none.cast("binary").alias("uid")))
+        .otherwise(F.struct(F.lit(2).alias("kind"), none.cast("long").alias("at"), F.col("uid")))
+    )
+    keyed = joined.select("rid", "doc_id", "uid", "n", F.sha2(F.to_json(group), 256).alias("grp"))
+    smallest = keyed.groupBy("grp").agg(
+        F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid"))["rid"].alias("kept"),
+        (F.count("*") > 1).alias("several"),
+    )
+    return keyed.join(smallest, "grp").select("rid", "doc_id", "uid", F.col("n").alias("n_shingles"), "component_id", "kept", "several")
 
 
 def components_of(docs: DataFrame) -> DataFrame:
     """The contract's result: doc_id, n_shingles, component_id."""
-    result, _ = clusters(docs)
-    return result.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    return clusters(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document of smallest id of each component (the first row where it is repeated), with all its columns."""
-    result, rows = clusters(docs, keep_row=True)
-    return rows.select("rid", "doc").join(result.where("rid = kept").select("rid"), "rid").select("doc.*")
+    """The document of smallest id of each component (null ids last, one row where it is repeated), with all its columns.
+
+    Texts of components of one row pass without a shuffle, by a Bloom filter of the others.
+    """
+    result = common.stored(clusters(docs).where("several").select("rid", "doc_id", "uid", "kept"), "several")
+    seen = docs.sparkSession.sparkContext.broadcast(_bloom(result.select(_uid_hash().alias("h"))))
+    doc = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").cast("binary").alias("data"))
+
+    def marks(batch: pa.RecordBatch) -> list[pa.Array]:
+        uids = [identity(common.SPACED.hashes(v)) for v in batch.column("data").to_pylist()]
+        top = np.array([int.from_bytes(u[:8], "big") for u in uids], np.uint64)
+        return [pa.array(uids, pa.binary()), pa.array(_in_bloom(seen.value, top), pa.bool_())]
+
+    schema = T.StructType([doc.schema["doc"], T.StructField("uid", T.BinaryType()), T.StructField("maybe", T.BooleanType())])
+    marked = doc.mapInArrow(common.by_batch(marks, ["uid", "maybe"], ("data",)), schema)
+    by_uid = result.groupBy("uid").agg(
+        F.max(F.col("rid") == F.col("kept")).alias("keeps"), F.max_by("doc_id", F.col("rid") == F.col("kept")).alias("keep_id")
+    )
+    some = marked.where("maybe").join(by_uid, "uid", "left")
+    alone = some.where("keeps is null").select("doc")
+    # Rows of one text and id are the same document: one of them stays.
+    chosen = some.where("keeps").where(F.col("doc.doc_id").eqNullSafe(F.col("keep_id")))
+    chosen = chosen.groupBy("uid").agg(F.first("doc").alias("doc")).select("doc")
+    return marked.where("not maybe").select("doc").unionAll(alone).unionAll(chosen).select("doc.*")

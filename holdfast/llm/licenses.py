@@ -62,7 +62,7 @@ class Index:
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
-        self.words = [common.word_hashes(common.alnum_words(templates[n].encode())) for n in self.names]
+        self.words = [common.ALNUM.hashes(templates[n].encode()) for n in self.names]
         if any(len(w) < K for w in self.words):
             raise ValueError(f"a template needs at least {K} words")
         self.places: dict[int, list[tuple[int, int]]] = {}
@@ -99,8 +99,7 @@ def aligned(template: np.ndarray, doc: np.ndarray, shift: int, band: int = BAND)
 
 def scan(text: bytes, index: Index, least: float = LEAST) -> list[dict]:
     """Matches of one text, in order of place; start and end count characters."""
-    tokens = common.alnum_words(text)
-    words = common.word_hashes(tokens)
+    words = common.ALNUM.hashes(text)
     hashes, at = _kept(words)
     if not len(hashes):
         return []
@@ -128,13 +127,13 @@ def scan(text: bytes, index: Index, least: float = LEAST) -> list[dict]:
         out += [(first, last, index.names[t], m / len(index.words[t])) for m, first, last in taken]
     if not out:
         return []
-    spans = [m.span() for m in common.ALNUM_WORD.finditer(text.lower())]
+    starts, ends = common.ALNUM.spans(text)
 
     def chars(n: int) -> int:
         return len(text[:n].decode(errors="replace"))
 
     return [
-        {"license": name, "coverage": cover, "first_word": a, "last_word": b, "start": chars(spans[a][0]), "end": chars(spans[b][1])}
+        {"license": name, "coverage": cover, "first_word": a, "last_word": b, "start": chars(starts[a]), "end": chars(ends[b])}
         for a, b, name, cover in sorted(out)
     ]
 
