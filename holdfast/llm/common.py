@@ -111,6 +111,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    if len(values) < 2:
+        return values
+    first = np.empty(len(values), bool)
+    first[0] = True
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first]
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of ``k`` words; empty when there are fewer."""
     n = len(words) - k + 1
@@ -137,7 +148,7 @@ def winnowed(hashes: np.ndarray, w: int) -> np.ndarray:
         less = other <= best
         best[less] = other[less]
         at[less] += j - (at[less] - np.flatnonzero(less))
-    return np.unique(at)
+    return distinct(at)
 
 
 #: Longest stretch of text that is hashed at once, and longest word that the fast hash is trusted with.
@@ -154,15 +165,18 @@ class WordClass:
     """
 
     def __init__(self, is_word: Callable[[int], bool]):
-        self.word = np.array([is_word(b) for b in range(256)])
+        self.word = bytes(is_word(b) for b in range(256))
         values = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         values[65:91] = values[97:123]
         self.values = values
 
     def spans(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """First bytes and ends of all words."""
-        inside = self.word[np.frombuffer(data, np.uint8)]
-        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        inside = np.frombuffer(data.translate(self.word), np.uint8)
+        change = np.empty(len(inside) + 1, bool)
+        change[0], change[-1] = inside[0], inside[-1]
+        np.not_equal(inside[1:], inside[:-1], out=change[1:-1])
+        edges = np.flatnonzero(change)
         return edges[::2], edges[1::2]
 
     def hashes(self, data: bytes | None) -> np.ndarray:

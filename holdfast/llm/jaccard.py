@@ -36,8 +36,6 @@ from holdfast.llm import common
 N, PERCENT = 5, 75
 #: Counters of the sketch: 4 MB whatever the corpus.  Counts beyond its noise are told apart; see ``_order``.
 SKETCH_BITS = 20
-#: Counters of a document's shingles by hash; their differences bound how far two sets differ.
-BUCKETS = 16
 #: Bits of Bloom filters (2 MB); a fuller one lets more rows through to the joins behind it, which are exact.
 BLOOM_BITS = 24
 
@@ -52,7 +50,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
     """Distinct shingle hashes of hashed words, sorted."""
     if not len(words):
         return np.empty(0, np.uint64)
-    return np.unique(common.gram_hashes(words, min(N, len(words))))
+    return common.distinct(common.gram_hashes(words, min(N, len(words))))
 
 
 def identity(words: np.ndarray) -> bytes:
@@ -109,19 +107,38 @@ def ordered_prefix(sets: np.ndarray, order: np.ndarray) -> np.ndarray:
     return sets[by[: prefix_length(len(sets))]]
 
 
+def parity(sets: np.ndarray) -> bytes:
+    """One bit for each of about two to four times as many cells as shingles: whether an odd number of them fall there.
+
+    Wherever two sets' bits differ, there is a shingle that only one of them has; so the bits bound how far the sets differ.
+    """
+    cells = 1 << max(6, (2 * len(sets) - 1).bit_length())
+    return np.packbits((np.bincount((sets & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(bool)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Cells in which two parities differ; the finer one is folded to the cells of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _overlap_needed(n: Column, m: Column) -> Column:
     """Smallest number of common shingles of linked sets of these sizes."""
     return F.floor((PERCENT * (n + m) + (99 + PERCENT)) / F.lit(100 + PERCENT))
 
 
 def documents_table(docs: DataFrame, order: np.ndarray) -> DataFrame:
-    """Stored rows (rid, doc_id, uid, n, hist, prefix); ``prefix`` only at the first of equal texts in a task."""
+    """Stored rows (rid, doc_id, uid, n, bits, prefix); ``prefix`` only at the first of equal texts in a task."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         seen, levels = set(), shared.value
         for batch in batches:
-            uid, n, hist, prefix = [], [], [], []
+            uid, n, bits, prefix = [], [], [], []
             for value in batch.column("data").to_pylist():
                 words = common.SPACED.hashes(value)
                 s = shingles(words)
@@ -129,21 +146,21 @@ def documents_table(docs: DataFrame, order: np.ndarray) -> DataFrame:
                 uid.append(key)
                 n.append(len(s))
                 if not len(s) or key in seen:
-                    hist.append(None)
+                    bits.append(None)
                     prefix.append(None)
                     continue
                 if len(seen) < 200_000:
                     seen.add(key)
-                hist.append(np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).tolist())
+                bits.append(parity(s))
                 prefix.append(ordered_prefix(s, levels).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(uid, pa.binary()), pa.array(n, pa.int64()), pa.array(hist, pa.list_(pa.int32())),
-                 pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "uid", "n", "hist", "prefix"])
+                [batch.column("doc_id"), pa.array(uid, pa.binary()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()),
+                 pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "uid", "n", "bits", "prefix"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("data"))
     schema = T.StructType([
         rows.schema["doc_id"], T.StructField("uid", T.BinaryType()), T.StructField("n", T.LongType()),
-        T.StructField("hist", T.ArrayType(T.IntegerType())), T.StructField("prefix", _LONGS)])
+        T.StructField("bits", T.BinaryType()), T.StructField("prefix", _LONGS)])
     out = rows.mapInArrow(run, schema)
     return common.stored(out.select(F.monotonically_increasing_id().alias("rid"), "*"), "sets")
 
@@ -229,17 +246,27 @@ def _uid_hash(uid: str = "uid") -> Column:
     return F.conv(F.hex(F.substring(F.col(uid), 1, 8)), 16, -10).cast("long")
 
 
-def _filtered(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _possible(batches):
+    for batch in batches:
+        a, b, n, m = (batch.column(c).to_pylist() for c in ("p_a", "p_b", "n_a", "n_b"))
+        keep = [differing(p, q) <= k + l - 2 * -(-PERCENT * (k + l) // (100 + PERCENT)) for p, q, k, l in zip(a, b, n, m, strict=True)]
+        names = [c for c in batch.schema.names if c not in ("p_a", "p_b")]
+        yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+
+def _filtered(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows that pass length and suffix filter, with the uids and sizes of both.
 
-    Sets whose counts by hash bucket differ by more than linked sets' can are dropped, before any set is looked at.
+    The suffix filter drops pairs whose parities differ in more cells than linked sets can differ in shingles, before any set
+    is looked at.
     """
     for side in "ab":
-        pairs = pairs.join(reps.select(F.col("rid").alias(side), F.col("uid").alias(f"u_{side}"), F.col("n").alias(f"n_{side}"),
-                                       F.col("hist").alias(f"h_{side}")), side)
-    apart = F.aggregate(F.zip_with("h_a", "h_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    most = F.col("n_a") + F.col("n_b") - 2 * _overlap_needed(F.col("n_a"), F.col("n_b"))
-    return pairs.where(apart <= most).drop("h_a", "h_b")
+        pairs = pairs.join(rows.select(F.col("rid").alias(side), F.col("uid").alias(f"u_{side}"), F.col("n").alias(f"n_{side}"),
+                                       F.col("bits").alias(f"p_{side}")), side)
+    pairs = pairs.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    return pairs.select("a", "b", "u_a", "u_b", "n_a", "n_b", "p_a", "p_b").mapInArrow(
+        _possible, "a long, b long, u_a binary, u_b binary, n_a long, n_b long"
+    )
 
 
 def _sets(docs: DataFrame, uids: DataFrame) -> DataFrame:
@@ -293,6 +320,8 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     row, the other side is split like any skewed key.
     """
     pairs = common.stored(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     hubs = common.stored(_sets(docs, pairs.select(F.col("u_b").alias("uid")).distinct()), "hubs")
     members = _sets(docs, pairs.select(F.col("u_a").alias("uid")).distinct())
     left = pairs.join(members.select(F.col("uid").alias("u_a"), F.col("set").alias("s_a")), "u_a").drop("u_a")
@@ -338,8 +367,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All documents as stored rows (rid, doc_id, uid, n, ...) and (uid, comp) of the representatives that have links."""
     common.prepared(docs.sparkSession)
     rows = documents_table(docs, _order(sketch(docs)))
-    reps = rows.where("prefix is not null").groupBy("uid").agg(F.min(F.struct("rid", "n", "hist")).alias("r"))
-    reps = common.stored(reps.select("uid", "r.*"), "reps")
+    reps = common.stored(rows.where("prefix is not null").groupBy("uid").agg(F.min("rid").alias("rid")), "reps")
     # Copies in other tasks are out from here on.
     postings = shared_postings(rows).join(reps.select("rid"), "rid", "left_semi")
     postings = common.stored(postings, "lists")
@@ -348,14 +376,14 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Of the hubs that a row meets the one that it shares most with; whatever that misses is found across components.
     star = star.groupBy("rid", "hub").count().groupBy("rid").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
     star = star.select(F.col("rid").alias("a"), F.col("hub").alias("b"))
-    links = _verified(docs, _filtered(star, reps))
+    links = _verified(docs, _filtered(star, rows))
     found = common.stored(components(links), "found")
-    more = _verified(docs, _filtered(_across(rows, reps, postings, found), reps))
+    more = _verified(docs, _filtered(_across(rows, postings, found), rows))
     whole = common.stored(components(links.union(more)), "whole")
     return rows, reps.select("rid", "uid").join(whole, "rid").select("uid", "comp")
 
 
-def _across(rows: DataFrame, reps: DataFrame, postings: DataFrame, found: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, postings: DataFrame, found: DataFrame) -> DataFrame:
     """Distinct pairs of a list's members in different components that pass the length and positional filters."""
     marked = postings.join(found, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     mixed = marked.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
