@@ -165,8 +165,8 @@ def documents_table(docs: DataFrame, order: np.ndarray) -> DataFrame:
     return common.stored(out.select(F.monotonically_increasing_id().alias("rid"), "*"), "sets")
 
 
-def shared_postings(rows: DataFrame) -> DataFrame:
-    """Stored (gram, rid) of the prefix shingles that two rows or more have.
+def shared_postings(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Stored (rid, gram, n, at) of the representatives' prefix shingles that two rows or more have.
 
     Most prefix shingles stand in one document only.  To leave them out, tasks send their distinct hashes, packed, to one task for
     each range of hashes, which knows those that came twice; a Bloom filter of these keeps the rest out of the join.
@@ -206,16 +206,23 @@ def shared_postings(rows: DataFrame) -> DataFrame:
     grams = common.stored(grams, "shared")
     seen = spark.sparkContext.broadcast(_bloom(grams.select(F.col("gram").alias("h"))))
 
-    def keep(batch: pa.RecordBatch) -> list[pa.Array]:
-        out = []
-        for x in batch.column("prefix").to_pylist():
-            h = np.array(x, np.int64)
-            out.append(h[_in_bloom(seen.value, h.view(np.uint64))])
-        return [pa.array(out, pa.list_(pa.int64()))]
+    def keep(batches):
+        for batch in batches:
+            out, at = [], []
+            for x in batch.column("prefix").to_pylist():
+                h = np.array(x, np.int64)
+                at.append(np.flatnonzero(_in_bloom(seen.value, h.view(np.uint64))).astype(np.int32))
+                out.append(h[at[-1]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rid"), batch.column("n"), pa.array(out, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))],
+                names=["rid", "n", "gram", "at"],
+            )
 
-    some = rows.where("prefix is not null").select("rid", "prefix")
-    some = some.mapInArrow(common.by_batch(keep, ["grams"], ("prefix",)), T.StructType([T.StructField("rid", T.LongType()), T.StructField("grams", _LONGS)]))
-    out = common.stored(some.select("rid", F.explode("grams").alias("gram")).join(grams, "gram"), "postings")
+    some = rows.where("prefix is not null").select("rid", "n", "prefix")
+    some = some.mapInArrow(keep, "rid long, n long, gram array<long>, at array<int>")
+    some = some.select("rid", "n", F.inline(F.arrays_zip("gram", "at")))
+    # Copies in other tasks are out from here on.
+    out = common.stored(some.join(grams, "gram").join(reps.select("rid"), "rid", "left_semi"), "postings")
     common.dropped(grams)
     return out
 
@@ -368,9 +375,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     common.prepared(docs.sparkSession)
     rows = documents_table(docs, _order(sketch(docs)))
     reps = common.stored(rows.where("prefix is not null").groupBy("uid").agg(F.min("rid").alias("rid")), "reps")
-    # Copies in other tasks are out from here on.
-    postings = shared_postings(rows).join(reps.select("rid"), "rid", "left_semi")
-    postings = common.stored(postings, "lists")
+    postings = shared_postings(rows, reps)
     lists = postings.groupBy("gram").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low <> high")
     star = postings.join(lists, "gram").select("rid", F.explode(F.array("low", "high")).alias("hub")).where("rid <> hub")
     # Of the hubs that a row meets the one that it shares most with; whatever that misses is found across components.
@@ -378,18 +383,16 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = star.select(F.col("rid").alias("a"), F.col("hub").alias("b"))
     links = _verified(docs, _filtered(star, rows))
     found = common.stored(components(links), "found")
-    more = _verified(docs, _filtered(_across(rows, postings, found), rows))
+    more = _verified(docs, _filtered(_across(postings, found), rows))
     whole = common.stored(components(links.union(more)), "whole")
     return rows, reps.select("rid", "uid").join(whole, "rid").select("uid", "comp")
 
 
-def _across(rows: DataFrame, postings: DataFrame, found: DataFrame) -> DataFrame:
+def _across(postings: DataFrame, found: DataFrame) -> DataFrame:
     """Distinct pairs of a list's members in different components that pass the length and positional filters."""
     marked = postings.join(found, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     mixed = marked.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
     marked = common.stored(marked.join(mixed, "gram"), "mixed")
-    places = rows.join(marked.select("rid").distinct(), "rid", "left_semi").select("rid", "n", F.posexplode("prefix").alias("at", "gram"))
-    marked = marked.join(places, ["rid", "gram"])
     main = marked.groupBy("gram", "comp").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
     marked = common.stored(marked.join(main, "gram").withColumn("minor", F.col("comp") != F.col("main")).drop("main"), "sides")
     a, b = marked.where("minor").alias("x"), marked.alias("y")
