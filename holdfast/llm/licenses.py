@@ -112,10 +112,10 @@ def scan(text: bytes, index: Index, least: float = LEAST) -> list[dict]:
             found.setdefault(t, set()).add(p - q)
     out = []
     for t, shifts in found.items():
-        matches, group = [], []
+        matches, group, band = [], [], min(BAND, len(index.words[t]) // 2)
         for s in sorted(shifts) + [None]:
-            if group and (s is None or s - group[0] > BAND):
-                m, first, last = aligned(index.words[t], words, group[len(group) // 2])
+            if group and (s is None or s - group[0] > band):
+                m, first, last = aligned(index.words[t], words, group[len(group) // 2], band)
                 if m >= least * len(index.words[t]):
                     matches.append((m, first, last))
                 group = []
