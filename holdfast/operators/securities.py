@@ -105,7 +105,7 @@ def matching_rule(rules: list[tuple] = CLASS_RULES) -> Column:
     text = {name: v.normalized_text(name) for name in ("titleofclass", "nameofissuer")}
 
     def fits(field: str, match_type: str, pattern: str) -> Column:
-        plain = v.normalized_text(F.lit(pattern))
+        plain, field = v.normalized_text(F.lit(pattern)), field.lower()
         if match_type == "EXACT":
             return text[field] == plain
         if match_type == "CONTAINS":

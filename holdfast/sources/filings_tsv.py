@@ -38,8 +38,13 @@ def malformed_lines(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def _reader(spark: SparkSession, schema: T.StructType):
+    return with_options(spark.read.schema(schema))
+
+
+def with_options(reader):
+    """Options of filing tables for batch and stream readers: the header has to equal the schema, in order."""
     return (
-        spark.read.schema(schema)
+        reader
         .option("sep", "\t")
         .option("header", True)
         .option("quote", '"')

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from holdfast.operators.filings import holdings_filings, resolve_amendments
 from holdfast.schemas import MANAGER_QUARTER, RAW_SCHEMAS
-from holdfast.sources.filings_tsv import clean_columns
+from holdfast.sources.filings_tsv import clean_columns, with_options
 from holdfast.sources.store import append_batch, overwrite_partitions, write_table
 
 
@@ -85,10 +85,7 @@ def stream_append(
 ) -> StreamingQuery:
     """Load every unseen file below ``in_dir`` (one folder per data set) into ``out``, then stop."""
     schema = RAW_SCHEMAS[table]
-    reader = (
-        spark.readStream.schema(schema).option("sep", "\t").option("header", True).option("quote", '"')
-        .option("escape", '"').option("recursiveFileLookup", True).option("mode", "FAILFAST")
-    )
+    reader = with_options(spark.readStream.schema(schema)).option("recursiveFileLookup", True).option("mode", "FAILFAST")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     rows = reader.csv(in_dir).select("*", _dataset())
