@@ -32,10 +32,11 @@ def change_columns(pair_confidential: Column) -> list[Column]:
     zero = F.lit(0).cast("bigint")
     change = F.coalesce(current, zero) - F.coalesce(prior, zero)
     hidden = pair_confidential == 1
+    # every position has a quality, so a side without one has no position; its amount alone may be NULL
     action = (
         F.when(hidden, "UNKNOWN")
-        .when(prior.isNull(), "NEW")
-        .when(current.isNull(), "EXITED")
+        .when(F.col("prior_quality").isNull(), "NEW")
+        .when(F.col("current_quality").isNull(), "EXITED")
         .when(current > prior, "ADDED")
         .when(current < prior, "REDUCED")
         .otherwise("UNCHANGED")
@@ -85,6 +86,7 @@ def quarter_changes(positions: DataFrame) -> DataFrame:
         "to_quarter_id",
         *change_columns(F.coalesce("current_pair", "prior_pair")),
         "current_portfolio_weight",
+        F.col("current_pair").isNotNull().alias("is_held"),
     )
 
 
@@ -178,6 +180,4 @@ def exited_positions(changes: DataFrame) -> DataFrame:
     Changes come out of a full outer join of the positions, so the missing side already
     says so; no anti join with the positions is needed.
     """
-    return changes.filter("current_value_usd IS NULL")
-
-
+    return changes.filter("NOT is_held")

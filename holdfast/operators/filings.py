@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from holdfast.functions import values as v
 from holdfast.schemas import MANAGER_QUARTER
 from holdfast.sources.store import store_once
 
+
 def dense_calendar(dates: DataFrame, column: str) -> DataFrame:
     """Every quarter between the first and last observed date, with its predecessor."""
     bounds = dates.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).filter("lo IS NOT NULL")
@@ -40,7 +43,7 @@ def normalize_filings(
     line_totals: DataFrame,
     batch_accessions: DataFrame | None = None,
 ) -> DataFrame:
-    """One typed row per submission.  A missing required date fails the job."""
+    """One typed row per submission.  A missing required date, or a CIK that is no number, fails the job."""
     cover = coverpage.select(
         "accession_number", "reportcalendarorquarter", "reporttype", "isamendment", "amendmentno", "amendmenttype",
         "form13ffilenumber",
@@ -58,16 +61,15 @@ def normalize_filings(
         batch = F.col("etl_batch_id")
     report = v.filing_date("reportcalendarorquarter")
 
-    def required(column: str) -> Column:
-        message = F.concat(F.lit(f"missing {column} for "), F.col("accession_number"))
-        parsed = v.filing_date(column)
-        return F.coalesce(parsed, F.raise_error(message))
+    def required(column: str, parse: Callable[[str], Column] = v.filing_date, problem: str = "missing") -> Column:
+        message = F.concat(F.lit(f"{problem} {column} for "), F.col("accession_number"))
+        return F.coalesce(parse(column), F.raise_error(message))
 
     amended = (F.upper("isamendment") == "Y") | F.col("submissiontype").endswith("/A")
     return joined.select(
         "accession_number",
         batch.alias("etl_batch_id"),
-        v.cik10("cik").alias("manager_cik"),
+        required("cik", v.cik10, "invalid").alias("manager_cik"),
         required("filing_date").alias("filing_date"),
         required("periodofreport").alias("period_of_report"),
         report.alias("report_date"),

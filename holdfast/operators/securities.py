@@ -121,16 +121,10 @@ def matching_rule(rules: list[tuple] = CLASS_RULES) -> Column:
     return F.coalesce(*branches)
 
 
-def rules_from_table(rules: DataFrame, at_most: int = 1000) -> list[tuple]:
-    """Active rules of a maintained table, for ``matching_rule``.
-
-    Such a list is reviewed by hand; one too long for an expression is refused.
-    """
+def rules_from_table(rules: DataFrame) -> list[tuple]:
+    """Active rules of a table that is maintained by hand, for ``matching_rule``.  The table does not grow with the filings."""
     columns = ["rule_id", "priority", "field_name", "match_type", "match_pattern", "security_type_id"]
-    found = rules.filter("is_active = 1").select(*columns).limit(at_most + 1).collect()
-    if len(found) > at_most:
-        raise ValueError(f"more than {at_most} active rules")
-    return [tuple(r) for r in found]
+    return [tuple(r) for r in rules.filter("is_active = 1").select(*columns).collect()]
 
 
 def classify_securities(

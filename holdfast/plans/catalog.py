@@ -623,7 +623,7 @@ CATALOG |= {
     "institution_movers": compare.institution_movers,
     "compare_security": compare.compare_security,
     "security_movers": compare.security_movers,
-    "activity_explorer": compare.activity_explorer,
+    "activity_explorer": lambda w: compare.activity_explorer(w, action=None),
     "sic_division_agg": industries.division_totals,
     "sic_industry_agg": industries.industry_totals,
     "sic_totals": industries.sic_totals,

@@ -21,7 +21,7 @@ from holdfast.operators import filings as f
 from holdfast.operators import managers as m
 from holdfast.operators import positions as p
 from holdfast.operators import securities as s
-from holdfast.schemas import RAW_TABLES, SECURITY_TYPE_COLUMNS, SECURITY_TYPES
+from holdfast.schemas import CLASS_RULES, RAW_TABLES,SECURITY_TYPE_COLUMNS, SECURITY_TYPES
 from holdfast.session import new_folder, prepare, shared_dir
 from holdfast.sources.sample import sample_tables
 from holdfast.sources.store import write_table
@@ -65,7 +65,12 @@ TABLES: dict[str, Table] = {
     "effective": Table(
         "canonical", lambda w: f.effective_filings(w.components, w.canonical, w.reconciliation)
     ),
-    "classification": Table("instruments", lambda w: s.classify_securities(w.variants, w.type_overrides)),
+    "classification": Table(
+        "instruments",
+        lambda w: s.classify_securities(
+            w.variants, w.type_overrides, CLASS_RULES if w.class_rules is None else s.rules_from_table(w.class_rules)
+        ),
+    ),
     "position_base": Table(
         "instruments", lambda w: p.aggregate_positions(w.infotable, w.effective, w.classification)
     ),
@@ -109,13 +114,14 @@ class Warehouse:
         batches: DataFrame | None = None,
         filing_overrides: DataFrame | None = None,
         type_overrides: DataFrame | None = None,
+        class_rules: DataFrame | None = None,
         sic_as_of: str | None = None,
         store_inputs: bool = False,
     ):
         self.spark = spark
         self.folder = folder
         self.batches, self.filing_overrides, self.type_overrides = batches, filing_overrides, type_overrides
-        self.sic_as_of = sic_as_of
+        self.class_rules, self.sic_as_of = class_rules, sic_as_of
         self._inputs = inputs
         self._store_inputs = store_inputs
         self._frames: dict[str, DataFrame] = {}

@@ -63,6 +63,12 @@ def test_missing_required_date_fails(spark):
         f.normalize_filings(*raw(spark, filing_date=None)).collect()
 
 
+def test_cik_that_is_no_number_fails(spark):
+    submission, *others = raw(spark)
+    with pytest.raises(Exception, match="invalid cik for a"):
+        f.normalize_filings(submission.withColumn("cik", F.lit("0001-x")), *others).collect()
+
+
 def test_values_turn_to_dollars_on_the_cutoff(spark):
     days = spark.createDataFrame([(dt.date(2023, 1, 2),), (dt.date(2023, 1, 3),)], "d date")
     assert [r[0] for r in days.select(v.value_multiplier("d")).collect()] == [1000, 1]

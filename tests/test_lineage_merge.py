@@ -23,6 +23,12 @@ def test_admission(spark):
     assert got == {1: "REJECT", 2: "APPEND", 3: "REJECT", 4: "REJECT"}
 
 
+def test_a_batch_that_lists_a_filing_twice_is_rejected(spark):
+    source = accessions(spark, 1, "aab").union(accessions(spark, 2, "c"))
+    got = {r["etl_batch_id"]: r["decision"] for r in dicts(lineage.admit_batches(source, source.limit(0), source.limit(0)))}
+    assert got == {1: "REJECT", 2: "APPEND"}
+
+
 def test_counts_and_closing(spark):
     batches = accessions(spark, 1, "ab").union(accessions(spark, 2, "c"))
     lines = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "accession_number string")

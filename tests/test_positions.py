@@ -149,3 +149,13 @@ def test_identities_on_the_sample(warehouse):
     ).join(total.toDF("manager_cik", "to_quarter_id", "after"), ["manager_cik", "to_quarter_id"])
     assert both.count() == per_pair.count() > 0
     assert both.filter("change <> after - before").count() == 0
+
+
+def test_held_position_without_an_amount_is_not_exited(spark):
+    held = ("m", "A", 1, "NONE", "SH")
+    positions = spark.createDataFrame(
+        [(*held, 202201, 10, 5, "OK", 0), (*held, 202202, 11, None, "OK", 0)],
+        """manager_cik string, cusip string, security_type_id int, option_type string, amount_type string, quarter_id int,
+           value_usd bigint, reported_amount bigint, value_quality_status string, has_confidential_omission int""",
+    )
+    assert c.period_changes(positions, 202201, 202202).first().action == "UNCHANGED"

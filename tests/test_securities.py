@@ -80,8 +80,16 @@ def test_rules_can_come_from_a_table(spark):
            security_type_id int, is_active int""",
     )
     assert sorted(s.rules_from_table(table)) == sorted(CLASS_RULES)
-    with pytest.raises(ValueError):
-        s.rules_from_table(table, at_most=3)
+
+
+def test_long_rule_tables_are_taken_whole(spark):
+    table = spark.range(1500).selectExpr(
+        "cast(id AS int) AS rule_id", "1 AS priority", "'TITLEOFCLASS' AS field_name", "'EXACT' AS match_type",
+        "concat('T', id) AS match_pattern", "2 AS security_type_id", "1 AS is_active",
+    )
+    rules = s.rules_from_table(table)
+    df = spark.createDataFrame([("t1499", "x")], "titleofclass string, nameofissuer string")
+    assert len(rules) == 1500 and df.select(s.matching_rule(rules).getField("rule_id")).first()[0] == 1499
 
 
 def test_exact_and_contains_rules(spark):
