@@ -7,7 +7,8 @@ A document's set is its distinct shingles of ``N`` words (all its words if there
    The order is the same everywhere, which is all that correctness needs; the counts only keep lists short.
 2. Each document stores the rarest ``n - ceil(t n) + 1`` shingles of its set: two linked sets share one of them.  Equal
    word sequences are collapsed to one representative, so copies never meet each other.
-3. Representatives meet on these shingles.  In each list all first meet only the list's smallest and largest member.
+3. Representatives meet on these shingles.  In each list all first meet only the list's smallest member and its centre, the
+   member whose prefix is shared most: an edit brings shingles that nobody else has, so it is the text with the fewest edits.
    Length, positional and suffix filters drop pairs, each other pair is verified once, and links give components.
 4. Lists whose members are not yet all in one component are met in full, but only across components and with one side
    outside of the list's main component.  No link between components is lost, and pairs inside a component are not made.
@@ -166,7 +167,9 @@ def documents_table(docs: DataFrame, order: np.ndarray) -> DataFrame:
 
 
 def shared_postings(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Stored (rid, gram, n, at) of the representatives' prefix shingles that two rows or more have.
+    """Stored (rid, n, share, gram, at) of the representatives' prefix shingles that two rows or more have.
+
+    ``share`` is about the part of the whole prefix that is shared, and ranks centres only.
 
     Most prefix shingles stand in one document only.  To leave them out, tasks send their distinct hashes, packed, to one task for
     each range of hashes, which knows those that came twice; a Bloom filter of these keeps the rest out of the join.
@@ -208,19 +211,20 @@ def shared_postings(rows: DataFrame, reps: DataFrame) -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            out, at = [], []
+            out, at, share = [], [], []
             for x in batch.column("prefix").to_pylist():
                 h = np.array(x, np.int64)
                 at.append(np.flatnonzero(_in_bloom(seen.value, h.view(np.uint64))).astype(np.int32))
                 out.append(h[at[-1]])
+                share.append(len(at[-1]) / len(h))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("n"), pa.array(out, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))],
-                names=["rid", "n", "gram", "at"],
+                [batch.column("rid"), batch.column("n"), pa.array(share, pa.float32()), pa.array(out, pa.list_(pa.int64())),
+                 pa.array(at, pa.list_(pa.int32()))], names=["rid", "n", "share", "gram", "at"],
             )
 
     some = rows.where("prefix is not null").select("rid", "n", "prefix")
-    some = some.mapInArrow(keep, "rid long, n long, gram array<long>, at array<int>")
-    some = some.select("rid", "n", F.inline(F.arrays_zip("gram", "at")))
+    some = some.mapInArrow(keep, "rid long, n long, share float, gram array<long>, at array<int>")
+    some = some.select("rid", "n", "share", F.inline(F.arrays_zip("gram", "at")))
     # Copies in other tasks are out from here on.
     out = common.stored(some.join(grams, "gram").join(reps.select("rid"), "rid", "left_semi"), "postings")
     common.dropped(grams)
@@ -376,8 +380,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = documents_table(docs, _order(sketch(docs)))
     reps = common.stored(rows.where("prefix is not null").groupBy("uid").agg(F.min("rid").alias("rid")), "reps")
     postings = shared_postings(rows, reps)
-    lists = postings.groupBy("gram").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low <> high")
-    star = postings.join(lists, "gram").select("rid", F.explode(F.array("low", "high")).alias("hub")).where("rid <> hub")
+    lists = postings.groupBy("gram").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.max(F.struct("share", "rid"))["rid"].alias("centre"))
+    lists = lists.where("low <> high").select("gram", F.array("low", "centre").alias("hubs"))
+    star = postings.join(lists, "gram").select("rid", F.explode(F.array_distinct("hubs")).alias("hub")).where("rid <> hub")
     # Of the hubs that a row meets the one that it shares most with; whatever that misses is found across components.
     star = star.groupBy("rid", "hub").count().groupBy("rid").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
     star = star.select(F.col("rid").alias("a"), F.col("hub").alias("b"))
