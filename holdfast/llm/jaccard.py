@@ -12,6 +12,7 @@ A document's set is its distinct shingles of ``N`` words (all its words if there
    Length, positional and suffix filters drop pairs, each other pair is verified once, and links give components.
 4. Lists whose members are not yet all in one component are met in full, but only across components and with one side
    outside of the list's main component.  No link between components is lost, and pairs inside a component are not made.
+   Rows that are linked to a centre are met through it: by the triangle inequality they are all too far from what is far from it.
 
 Documents without words have an empty set and link with nothing.  Null ids are allowed: a component's id is the smallest
 id that is not null.  Repeated rows and ids are rows of their own and share a component.  Empty tables give empty results.
@@ -40,6 +41,9 @@ SKETCH_BITS = 20
 #: Bits of Bloom filters (2 MB); a fuller one lets more rows through to the joins behind it, which are exact.
 BLOOM_BITS = 24
 
+#: Cells of the coarsest parity, as a power of two; every parity can be folded to these.
+PARITY_BITS = 10
+
 #: Bytes of each hash that sets are sent with.
 PACKED = 5
 #: Hashes that one task of the search for shared hashes holds, about.
@@ -109,11 +113,11 @@ def ordered_prefix(sets: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def parity(sets: np.ndarray) -> bytes:
-    """One bit for each of about two to four times as many cells as shingles: whether an odd number of them fall there.
+    """One bit for each of 1024 cells, or two to four times as many as shingles: whether an odd number of them fall there.
 
     Wherever two sets' bits differ, there is a shingle that only one of them has; so the bits bound how far the sets differ.
     """
-    cells = 1 << max(6, (2 * len(sets) - 1).bit_length())
+    cells = 1 << max(PARITY_BITS, (2 * len(sets) - 1).bit_length())
     return np.packbits((np.bincount((sets & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(bool)).tobytes()
 
 
@@ -315,29 +319,33 @@ def _unpacked(data: bytes) -> np.ndarray:
 def _similar(batches):
     for batch in batches:
         rows = {n: batch.column(n).to_pylist() for n in ("s_a", "s_b", "n_a", "n_b")}
-        keep, last, b = [], None, None
+        keep, apart, last, b = [], [], None, None
         for s_a, s_b, n, m in zip(*(rows[k] for k in ("s_a", "s_b", "n_a", "n_b")), strict=True):
             if s_b is not last and s_b != last:
                 last, b = s_b, _unpacked(s_b)
             both = len(np.intersect1d(_unpacked(s_a), b))
             keep.append(100 * both >= PERCENT * (n + m - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            apart.append(n + m - 2 * both)
+        columns = [batch.column("a"), batch.column("b"), pa.array(apart, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "apart"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Stored (a, b) of the filtered pairs whose whole sets are similar enough; each pair is verified once.
+    """Stored (a, b, apart) of the filtered pairs whose whole sets are similar enough; each pair is verified once.
+
+    ``apart`` is the number of shingles that only one of both has.
 
     Sets are computed again, from the texts that stand in a pair.  ``b`` may stand in very many pairs: its side of the join is one
     row, the other side is split like any skewed key.
     """
     pairs = common.stored(pairs, "pairs")
     if pairs.isEmpty():
-        return pairs.select("a", "b")
+        return pairs.select("a", "b", F.lit(0).cast("long").alias("apart"))
     hubs = common.stored(_sets(docs, pairs.select(F.col("u_b").alias("uid")).distinct()), "hubs")
     members = _sets(docs, pairs.select(F.col("u_a").alias("uid")).distinct())
     left = pairs.join(members.select(F.col("uid").alias("u_a"), F.col("set").alias("s_a")), "u_a").drop("u_a")
     both = left.join(hubs.select(F.col("uid").alias("u_b"), F.col("set").alias("s_b")), "u_b").drop("u_b")
-    links = common.stored(both.mapInArrow(_similar, "a long, b long"), "links")
+    links = common.stored(both.mapInArrow(_similar, "a long, b long, apart long"), "links")
     common.dropped(pairs, hubs)
     return links
 
@@ -388,24 +396,98 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = star.select(F.col("rid").alias("a"), F.col("hub").alias("b"))
     links = _verified(docs, _filtered(star, rows))
     found = common.stored(components(links), "found")
-    more = _verified(docs, _filtered(_across(postings, found), rows))
+    more = _verified(docs, _filtered(_across(postings, found, links, rows), rows))
     whole = common.stored(components(links.union(more)), "whole")
     return rows, reps.select("rid", "uid").join(whole, "rid").select("uid", "comp")
 
 
-def _across(postings: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct pairs of a list's members in different components that pass the length and positional filters."""
-    marked = postings.join(found, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+def _anchored(postings: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
+    """Stored postings of the lists whose members are in several components, with ``comp``, ``minor``, ``anchor``, ``apart``.
+
+    ``minor`` marks rows outside of their list's main component; ``anchor`` is the hub that a row is linked to, else the row,
+    and ``apart`` is how many shingles only one of both has.
+    """
+    # A row met one hub at most, so it has one anchor at most.
+    near = links.select(F.col("a").alias("rid"), F.col("b").alias("anchor"), "apart")
+    marked = postings.join(found.join(near, "rid", "left"), "rid", "left")
+    marked = marked.withColumns({
+        "comp": F.coalesce("comp", "rid"), "anchor": F.coalesce("anchor", "rid"), "apart": F.coalesce("apart", F.lit(0))})
     mixed = marked.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
     marked = common.stored(marked.join(mixed, "gram"), "mixed")
     main = marked.groupBy("gram", "comp").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    marked = common.stored(marked.join(main, "gram").withColumn("minor", F.col("comp") != F.col("main")).drop("main"), "sides")
-    a, b = marked.where("minor").alias("x"), marked.alias("y")
+    sides = common.stored(marked.join(main, "gram").withColumn("minor", F.col("comp") != F.col("main")).drop("main"), "sides")
+    common.dropped(marked)
+    return sides
+
+
+def _anchor_pairs(sides: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (g, h, between) of anchors some of whose rows may link; ``between`` is a lower bound of their distance.
+
+    By the triangle inequality rows of two anchors can link only if the anchors, whose parities bound their distance from below, are
+    no further apart than a link and the way from each row to its anchor.
+    """
+    groups = sides.groupBy("gram", "comp", "anchor", "minor").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("at").alias("at"),
+        F.max(F.col("n") - F.col("at")).alias("rest"), F.min("rid").alias("low"), F.max("rid").alias("high"),
+    )
+    a, b = groups.where("minor").alias("x"), groups.alias("y")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    possible = F.least(x("at"), y("at")) + F.least(x("rest"), y("rest"))
+    on = (
+        (x("gram") == y("gram")) & (x("comp") != y("comp")) & (~y("minor") | (x("low") < y("high")))
+        & (100 * x("most") >= PERCENT * y("least")) & (100 * y("most") >= PERCENT * x("least"))
+        & (possible >= _overlap_needed(x("least"), y("least")))
+    )
+    met = a.join(b, on).select(x("anchor").alias("g"), y("anchor").alias("h"))
+    met = met.distinct()
+    # How far an anchor's rows reach, times 100 + PERCENT: linked sets are at most 100 - PERCENT apart for each shingle of both.
+    reach = sides.groupBy("anchor").agg(F.max((100 - PERCENT) * F.col("n") + (100 + PERCENT) * F.col("apart")).alias("step"))
+    reach = reach.join(rows.select(F.col("rid").alias("anchor"), "bits"), "anchor")
+    for side in "gh":
+        met = met.join(reach.select(F.col("anchor").alias(side), F.col("step").alias(f"s_{side}"), F.col("bits").alias(f"p_{side}")), side)
+    return met.select("g", "h", "s_g", "s_h", "p_g", "p_h").mapInArrow(_within_reach, "g long, h long, between long")
+
+
+def _within_reach(batches):
+    for batch in batches:
+        g, h, s, t = (batch.column(c).to_pylist() for c in ("p_g", "p_h", "s_g", "s_h"))
+        between = [differing(p, q) for p, q in zip(g, h, strict=True)]
+        keep = [(100 + PERCENT) * d <= k + l for d, k, l in zip(between, s, t, strict=True)]
+        columns = [batch.column("g"), batch.column("h"), pa.array(between, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["g", "h", "between"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _with_parity(side: DataFrame, rows: DataFrame) -> DataFrame:
+    """``side`` with ``folded``: the parity of each row at the coarsest number of cells, as longs."""
+
+    def fold(batch: pa.RecordBatch) -> list[pa.Array]:
+        size = (1 << PARITY_BITS) // 8
+        parities = (np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, size)) for b in batch.column("bits").to_pylist())
+        return [pa.array([p.view(np.int64) for p in parities], pa.list_(pa.int64()))]
+
+    needed = rows.join(side.select("rid").distinct(), "rid", "left_semi").select("rid", "bits")
+    folded = needed.mapInArrow(common.by_batch(fold, ["folded"], ("bits",)), T.StructType([rows.schema["rid"], T.StructField("folded", _LONGS)]))
+    return side.join(folded, "rid")
+
+
+def _across(postings: DataFrame, found: DataFrame, links: DataFrame, rows: DataFrame) -> DataFrame:
+    """Distinct pairs of a list's members in different components that pass the length, positional and suffix filters.
+
+    All filters are conditions of the join, so what they drop is never written.  Anchors meet first, so a group of near copies meets a text that shares a passage with all of them once.
+    """
+    sides = _anchored(postings, found, links)
+    near = common.stored(_anchor_pairs(sides, rows), "anchors")
+    one = sides.where("minor").join(near.withColumnRenamed("g", "anchor"), "anchor")
+    other = sides.join(one.select("gram", F.col("h").alias("anchor")).distinct(), ["gram", "anchor"])
+    a, b = (_with_parity(side, rows).alias(name) for side, name in ((one, "x"), (other, "y")))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    possible = F.least(x("at"), y("at")) + 1 + F.least(x("n") - x("at") - 1, y("n") - y("at") - 1)
+    possible = F.least(x("at"), y("at")) + F.least(x("n") - x("at"), y("n") - y("at"))
+    differ = sum(F.bit_count(x("folded")[i].bitwiseXOR(y("folded")[i])) for i in range((1 << PARITY_BITS) // 64))
     on = (
-        (x("gram") == y("gram")) & (x("comp") != y("comp")) & (~y("minor") | (x("rid") < y("rid")))
+        (x("gram") == y("gram")) & (x("h") == y("anchor")) & (x("comp") != y("comp")) & (~y("minor") | (x("rid") < y("rid")))
         & (100 * F.least(x("n"), y("n")) >= PERCENT * F.greatest(x("n"), y("n"))) & (possible >= _overlap_needed(x("n"), y("n")))
+        & ((100 + PERCENT) * (x("between") - x("apart") - y("apart")) <= (100 - PERCENT) * (x("n") + y("n")))
+        & ((100 + PERCENT) * differ <= (100 - PERCENT) * (x("n") + y("n")))
     )
     return a.join(b, on).select(x("rid").alias("a"), y("rid").alias("b")).distinct()
 
