@@ -87,7 +87,7 @@ _DOCS_PA = pa.list_(pa.struct([("doc_id", pa.int64()), ("from", pa.int64()), ("a
 
 
 def packed(docs: DataFrame, length: int = LENGTH, path: str = VOCABULARY) -> DataFrame:
-    """Stored sequences (part, idx, ids, docs); ``docs`` tells which ids of which documents a sequence has."""
+    """Stored sequences (part, idx, ids, docs), ``ids`` deflated; ``docs`` tells which ids of which documents a sequence has."""
 
     def run(batches):
         codec, held, docs_of, fill = encoding(path), [], [], 0
@@ -95,7 +95,7 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str = VOCABULARY) -> Dat
 
         def flush(ids: np.ndarray) -> None:
             nonlocal held, docs_of, fill
-            out_ids.append(ids.astype("<u2").tobytes())
+            out_ids.append(zlib.compress(ids.astype("<u2").tobytes(), 1))
             out_docs.append(docs_of)
             held, docs_of, fill = [], [], 0
 
@@ -159,6 +159,7 @@ def materialise(
                         out.close()
                     shard, uri = s, files.fresh(folder, f"shard-{s:08d}", ".bin")
                     out = files.writer(uri)
+                ids = zlib.decompress(ids)
                 out.write(ids)
                 offsets.append((slot - s * per_shard) * 2 * length)
                 crcs.append(zlib.crc32(ids))
