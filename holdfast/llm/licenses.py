@@ -1,17 +1,28 @@
-"""Operator 6: license scans by winnowed fingerprints and banded alignment.
-
-Templates are winnowed (``K`` words, windows of ``W``) into an inverted index from fingerprint to (template, place).  Every
-document is winnowed the same way; its hits, by template and by diagonal within ``BAND``, are the candidates, and each
-is aligned with its template inside the band.  Reported are the share of the template's words that the alignment matches, and
-the span of the document from the first to the last of them.
-
-Templates are a parameter and few; they travel with the tasks.  Documents are scanned row by row, whole, without a shuffle.
-Null and empty texts have no match.  Repeated rows are scanned each by itself.  Overlapping finds of one template are
-reported once, the one of best coverage.  Words are ``[0-9a-z]`` and everything beyond ASCII, after lower-casing A-Z.
+"""Operator 6: license scans by rare words as fingerprints and banded alignment.
+
+A find is an alignment that matches at least ``LEAST`` of a template's words, in order, inside a band around some shift between
+template and document.  Such an alignment misses at most ``n - need`` of the ``n`` words, wherever they stand and whatever is put
+between the others, so no run of two words is certain to survive (``k`` edits can break all runs) and fingerprints of several words,
+winnowed or not, can miss finds.  Fingerprints are therefore single words: of every template the ``n - need + c`` places with the rarest
+words, ``c`` growing with ``n``, go into an inverted index.  By pigeonhole every find matches at least ``c`` of them, all inside its
+band; the shifts with at least ``c`` hits in their band are the candidates, and each of them is aligned.  So the index loses nothing.
+
+Reported are the share of the template's words that the alignment matches, and the span of the document from the first to the last
+of them.
+
+Templates are a parameter and few; they travel with the tasks.  Documents are scanned row by row, whole, without a shuffle; long
+ones in pieces of ``PIECE`` words that overlap by more than any find is long.  Null and empty texts have no match.  Repeated rows are
+scanned each by itself.  Overlapping finds of one template are reported once, the one of best coverage.  Words are ``[0-9a-z]`` and
+everything beyond ASCII, after lower-casing A-Z.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect
+from collections import Counter
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +30,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm import common
 
-K, W, BAND = 3, 3, 8
+BAND, PIECE = 8, 1 << 16
 #: Share of a template's words that has to be matched.
 LEAST = 0.8
 
@@ -51,80 +62,135 @@ TEMPLATES = {
 }
 
 
-def _kept(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    grams = common.gram_hashes(words, K)
-    at = common.winnowed(grams, W)
-    return grams[at], at
+def needed(n: int, least: float) -> int:
+    """Words that a find matches at least, of a template of ``n``."""
+    return max(1, math.ceil(round(least * n, 9)))
 
 
 class Index:
-    """Words and fingerprints of the templates."""
-
-    def __init__(self, templates: dict[str, str]):
-        self.names = sorted(templates)
-        self.words = [common.ALNUM.hashes(templates[n].encode()) for n in self.names]
-        if any(len(w) < K for w in self.words):
-            raise ValueError(f"a template needs at least {K} words")
-        self.places: dict[int, list[tuple[int, int]]] = {}
-        for t, words in enumerate(self.words):
-            for h, p in zip(*_kept(words), strict=True):
-                self.places.setdefault(int(h), []).append((t, int(p)))
-        self.hashes = np.array(sorted(self.places), np.uint64)
-
-
-def aligned(template: np.ndarray, doc: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
+    """Words of the templates, and the places of their rarest ones by word."""
+
+    def __init__(self, templates: dict[str, str], least: float = LEAST):
+        self.names, self.least = sorted(templates), least
+        self.words, self.sizes, self.bands, self.certain = [], [], [], []
+        data = [templates[n].encode() for n in self.names]
+        hashes = [common.ALNUM.hashes(d) for d in data]
+        if not all(map(len, hashes)):
+            raise ValueError("a template needs words")
+        known = Counter(np.concatenate(hashes).tolist())
+        places: list[tuple[int, int, int]] = []
+        for t, (d, words) in enumerate(zip(data, hashes, strict=True)):
+            starts, ends = common.ALNUM.spans(d)
+            words, n = words.tolist(), len(words)
+            certain = max(1, n // 8)
+            rare = sorted(range(n), key=lambda q: (known[words[q]], starts[q] - ends[q], q))[: n - needed(n, least) + certain]
+            places += [(words[q], t, q) for q in rare]
+            self.words.append(words)
+            self.sizes.append(Counter(words))
+            self.bands.append(min(BAND, n // 2))
+            self.certain.append(certain)
+        places.sort()
+        found, self.first = np.unique(np.array([h for h, _, _ in places], np.uint64), return_index=True)
+        self.hashes, self.first = found, np.append(self.first, len(places))
+        self.template = np.array([t for _, t, _ in places], np.int64)
+        self.place = np.array([q for _, _, q in places], np.int64)
+        self.longest = max(map(len, self.words))
+
+    def candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """(template, first shift, last shift) of all shifts with as many rare words in their band as a find has."""
+        where = np.searchsorted(self.hashes, words)
+        where[where == len(self.hashes)] = 0
+        at = np.flatnonzero(self.hashes[where] == words)
+        if not len(at):
+            return []
+        first = self.first[where[at]]
+        n = self.first[where[at] + 1] - first
+        # All places of the word at each of the document's places.
+        entry = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        template, shift = self.template[entry], np.repeat(at, n) - self.place[entry]
+        out = []
+        for t in np.flatnonzero(np.bincount(template, minlength=len(self.names)) >= self.certain).tolist():
+            d, c, band = np.sort(shift[template == t]), self.certain[t], self.bands[t]
+            lo, hi = d[c - 1 :] - band, d[: len(d) - c + 1] + band
+            close = lo <= hi
+            lo, hi = lo[close], hi[close]
+            if len(lo):
+                gaps = np.flatnonzero(lo[1:] > hi[:-1] + 1)
+                out += zip([t] * (len(gaps) + 1), lo[np.r_[0, gaps + 1]].tolist(), hi[np.r_[gaps, len(hi) - 1]].tolist(), strict=True)
+        return out
+
+
+def aligned(template: list[int], doc: list[int], shift: int, band: int = BAND) -> tuple[int, int, int]:
     """Most template words matched in order inside the band around ``shift``, and the first and last document word matched.
 
     Among alignments with as many matches the shortest span is taken.
     """
-    width = 2 * band + 1
-    best = [(0, 0, 0)] * (width + 1)  # (matches, -span, first + 1) by offset; the last one stands for none
-    for i, word in enumerate(template.tolist()):
-        row = []
-        for o in range(width):
-            j = i + shift + o - band
-            # Skip a template word (offset grows: same document word), or a document word (from the left).
-            here = best[o + 1] if o + 1 < width else (0, 0, 0)
-            if o and row[-1][:2] > here[:2]:
-                here = row[-1]
-            if 0 <= j < len(doc) and int(doc[j]) == word:
-                m, _, first = best[o]
-                first = first or j + 1
-                here = max(here, (m + 1, -(j + 1 - first), first))
-            row.append(here)
-        best = [*row, (0, 0, 0)]
-    m, span, first = max(best)
+    width, base, one = 2 * band + 1, shift - band, 1 << 32
+    part = [None] * min(max(-base, 0), len(template) + width) + doc[max(base, 0) : max(base + len(template) + width, 0)]
+    part += [None] * (len(template) + width - len(part))
+    best, top = [0] * (width + 1), (0, 0, 0)  # matches and first + 1 in one number, by offset; the last one stands for none
+    for i, word in enumerate(template):
+        # Skip a template word (offset grows: same document word), or a document word (from the left).
+        row = list(accumulate(best[1:], max))
+        if word in part[i : i + width]:
+            left = 0
+            for o in range(width):
+                here = max(best[o + 1], left)
+                if part[i + o] == word:
+                    value = best[o] + one if best[o] else one + i + base + o + 1
+                    here = max(here, value)
+                    first = value % one
+                    top = max(top, (value // one, first - (i + base + o + 1), first))
+                row[o] = left = here
+        row.append(0)
+        best = row
+    m, span, first = top
     return m, first - 1, first - 1 - span
 
 
-def scan(text: bytes, index: Index, least: float = LEAST) -> list[dict]:
+def _finds(index: Index, t: int, doc: list[int], lo: int, hi: int, need: int) -> set[tuple[int, int, int]]:
+    """Alignments at all shifts from ``lo`` to ``hi`` that match at least ``need`` words."""
+    template, size, band, out = index.words[t], index.sizes[t], index.bands[t], set()
+    seen = Counter(w for w in doc[max(lo - band, 0) : max(hi + band + len(template), 0)] if w in size)
+    if sum(min(n, size[w]) for w, n in seen.items()) < need:
+        return out
+    middle, most = (lo + hi) // 2, len(template) + 1
+    # All finds overlap where the shifts differ by less than a find is long: then nothing beats one as good as the wide band's.
+    if hi - lo + 2 * band < need:
+        most = aligned(template, doc, middle, (hi - lo + 1) // 2 + band)[0]
+        if most < need:
+            return out
+    for s in sorted(range(lo, hi + 1), key=lambda s: abs(s - middle)):
+        found = aligned(template, doc, s, band)
+        if found[0] >= need:
+            out.add(found)
+            if found[0] >= most:
+                break
+    return out
+
+
+def scan(text: bytes, index: Index, least: float | None = None) -> list[dict]:
     """Matches of one text, in order of place; start and end count characters."""
+    least = index.least if least is None else least
+    if least < index.least:
+        raise ValueError("the index is made for a larger share of words")
     words = common.ALNUM.hashes(text)
-    hashes, at = _kept(words)
-    if not len(hashes):
-        return []
-    where = np.searchsorted(index.hashes, hashes)
-    where[where == len(index.hashes)] = 0
-    hits = index.hashes[where] == hashes
-    found: dict[int, set[int]] = {}
-    for h, p in zip(hashes[hits].tolist(), at[hits].tolist(), strict=True):
-        for t, q in index.places[h]:
-            found.setdefault(t, set()).add(p - q)
+    found: dict[int, set[tuple[int, int, int]]] = {}
+    for begin in range(0, len(words), PIECE):
+        piece = words[begin : begin + PIECE + index.longest + 2 * BAND]
+        candidates, doc = index.candidates(piece), None
+        for t, lo, hi in candidates:
+            doc = doc or piece.tolist()
+            finds = _finds(index, t, doc, lo, hi, needed(len(index.words[t]), least))
+            found.setdefault(t, set()).update((m, first + begin, last + begin) for m, first, last in finds)
     out = []
-    for t, shifts in found.items():
-        matches, group, band = [], [], min(BAND, len(index.words[t]) // 2)
-        for s in sorted(shifts) + [None]:
-            if group and (s is None or s - group[0] > band):
-                m, first, last = aligned(index.words[t], words, group[len(group) // 2], band)
-                if m >= least * len(index.words[t]):
-                    matches.append((m, first, last))
-                group = []
-            group.append(s)
+    for t, finds in found.items():
         taken: list[tuple[int, int, int]] = []
-        for m, first, last in sorted(matches, key=lambda x: (-x[0], x[2] - x[1], x[1])):
-            if all(last < a or first > b for _, a, b in taken):
-                taken.append((m, first, last))
-        out += [(first, last, index.names[t], m / len(index.words[t])) for m, first, last in taken]
+        for m, first, last in sorted(finds, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            at = bisect(taken, (first,))
+            if (not at or taken[at - 1][1] < first) and (at == len(taken) or taken[at][0] > last):
+                taken.insert(at, (first, last, m))
+        out += [(first, last, index.names[t], m / len(index.words[t])) for first, last, m in taken]
     if not out:
         return []
     starts, ends = common.ALNUM.spans(text)
@@ -151,8 +217,8 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
         if not held:
-            held.append(Index(shared.value))
-        found = [scan(x, held[0], least) if x else [] for x in batch.column("data").to_pylist()]
+            held.append(Index(shared.value, least))
+        found = [scan(x, held[0]) if x else [] for x in batch.column("data").to_pylist()]
         return [pa.array([len(f) for f in found], pa.int64()), pa.array(found, _MATCH)]
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("data"))

@@ -305,6 +305,28 @@ def test_license_spans(spark):
     assert licenses.matches(docs.limit(0)).count() == 0
 
 
+def test_license_index_loses_no_alignment():
+    """Every alignment of enough words, at any shift, has a find of as many words over it."""
+    rng = random.Random(6)
+    one = licenses.Index(licenses.TEMPLATES)
+    for text in ("Released under MIT License", "Released under an MIT License", "Licensed under the CC BY 4.0", "Licensed under the Apache Licence, Version 2.0"):
+        assert licenses.scan(f"some words. {text}, more".encode(), one), text
+    for name, text in licenses.TEMPLATES.items():
+        index = licenses.Index({name: text})
+        words, band = text.split(), index.bands[0]
+        if len(index.words[0]) > 60:
+            continue
+        need = licenses.needed(len(index.words[0]), licenses.LEAST)
+        for _ in range(60):
+            edited = [w for w in words for w in [*["odd"] * rng.choice((0, 0, 0, 1)), *([w] if rng.random() < 0.92 else rng.choice(([], ["other"])))]]
+            doc = " ".join(["and"] * rng.randrange(8) + edited + ["so", "on"] * rng.randrange(4) + edited[: rng.randrange(len(edited) + 1)])
+            found = licenses.scan(doc.encode(), index)
+            hashes = common.ALNUM.hashes(doc.encode()).tolist()
+            for shift in range(-len(hashes), len(hashes)):
+                m, first, last = licenses.aligned(index.words[0], hashes, shift, band)
+                assert m < need or any(f["coverage"] * len(index.words[0]) > m - 0.5 and f["first_word"] <= last and f["last_word"] >= first for f in found), doc
+
+
 def test_training_order_is_a_permutation_and_reads_back(spark, docs):
     for n in (1, 2, 3, 7, 64, 1000):
         slots = order.slots(np.arange(n), n)
