@@ -12,15 +12,18 @@ of them.
 
 Templates are a parameter and few; they travel with the tasks.  Documents are scanned row by row, whole, without a shuffle; long
 ones in pieces of ``PIECE`` words that overlap by more than any find is long.  Null and empty texts have no match.  Repeated rows are
-scanned each by itself.  Overlapping finds of one template are reported once, the one of best coverage.  Words are ``[0-9a-z]`` and
+scanned each by itself.  Overlapping finds of one template are reported once, the one of best coverage; of different templates over
+one span (more than half of it) the one that matches most words with fewest unmatched in template and document.  Words are ``[0-9a-z]`` and
 everything beyond ASCII, after lower-casing A-Z.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from bisect import bisect
 from collections import Counter
+from importlib import resources
 from itertools import accumulate
 
 import numpy as np
@@ -34,8 +37,8 @@ BAND, PIECE = 8, 1 << 16
 #: Share of a template's words that has to be matched.
 LEAST = 0.8
 
-#: Wording of common license notices.
-TEMPLATES = {
+#: Wording of common license notices and headers.
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
@@ -61,6 +64,98 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
+_GNU = "it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version"
+_PROGRAM = "This program is free software; you can redistribute it and/or modify "
+_LIBRARY = "This library is free software; you can redistribute it and/or modify "
+NOTICES |= {
+    "AGPL-3.0-header": _PROGRAM + _GNU.format("Affero General Public License", "3"),
+    "GPL-1.0-header": _PROGRAM + _GNU.format("General Public License", "1"),
+    "GPL-2.0-header": _PROGRAM + _GNU.format("General Public License", "2"),
+    "GPL-3.0-header": _PROGRAM + _GNU.format("General Public License", "3"),
+    "LGPL-2.0-header": _LIBRARY + _GNU.format("Library General Public License", "2"),
+    "LGPL-2.1-header": _LIBRARY + _GNU.format("Lesser General Public License", "2.1"),
+    "LGPL-3.0-header": _LIBRARY + _GNU.format("Lesser General Public License", "3"),
+    "LGPL-header": _LIBRARY + _GNU.partition(";")[0].format("Lesser General Public License"),
+    "AGPL-header": _PROGRAM + _GNU.partition(";")[0].format("Affero General Public License"),
+    "CDDL-header": (
+        "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\"). You "
+        "may not use this file except in compliance with the License"
+    ),
+    "EPL-1.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which "
+        "accompanies this distribution"
+    ),
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "GFDL-header": (
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, "
+        "Version 1.3 or any later version published by the Free Software Foundation"
+    ),
+    "MPL-1.1-header": (
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file "
+        "except in compliance with the License"
+    ),
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed",
+}
+#: Names as they stand in "Licensed under the ...".
+_NAMED = {
+    "0BSD": "Zero-Clause BSD License",
+    "AGPL-3.0": "GNU Affero General Public License, Version 3",
+    "Apache-2.0": "Apache License, Version 2.0",
+    "Artistic-1.0": "Artistic License 1.0",
+    "Artistic-2.0": "Artistic License 2.0",
+    "BSD": "BSD License",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "BSL-1.0": "Boost Software License, Version 1.0",
+    "CC0-1.0": "CC0 1.0 Universal License",
+    "CDDL-1.0": "Common Development and Distribution License, Version 1.0",
+    "CDDL-1.1": "Common Development and Distribution License, Version 1.1",
+    "EPL-1.0": "Eclipse Public License, Version 1.0",
+    "EPL-2.0": "Eclipse Public License, Version 2.0",
+    "EUPL-1.1": "European Union Public Licence, Version 1.1",
+    "EUPL-1.2": "European Union Public Licence, Version 1.2",
+    "GFDL-1.2": "GNU Free Documentation License, Version 1.2",
+    "GFDL-1.3": "GNU Free Documentation License, Version 1.3",
+    "GPL-1.0": "GNU General Public License, Version 1",
+    "GPL-2.0": "GNU General Public License, Version 2",
+    "ISC": "ISC License",
+    "LGPL-2.0": "GNU Library General Public License, Version 2",
+    "LGPL-2.1": "GNU Lesser General Public License, Version 2.1",
+    "LGPL-3.0": "GNU Lesser General Public License, Version 3",
+    "MIT": "MIT License",
+    "MPL-1.1": "Mozilla Public License, Version 1.1",
+    "MPL-2.0": "Mozilla Public License, Version 2.0",
+    "OFL-1.1": "SIL Open Font License, Version 1.1",
+    "Unlicense": "Unlicense License",
+    "Zlib": "zlib License",
+}
+for _name, _text in _NAMED.items():
+    # Names of one word stand in templates so short that no word may be missing, as all such notices have the other words in common.
+    _lead = "Licensed under the" if len(_text.split()) > 2 else "under the"
+    NOTICES.setdefault(_name if _name not in ("BSD", "MPL-2.0", "MIT") else f"{_name}-notice", f"{_lead} {_text}")
+    if ", Version " in _text:
+        NOTICES[f"{_name}-short"] = f"{_lead} {_text.replace(', Version ', ' v')}"
+        NOTICES[f"{_name}-plain"] = f"{_lead} {_text.replace(', Version ', ' ')}"
+for _short, _long in {
+    "": "", "-SA": "-ShareAlike", "-NC": "-NonCommercial", "-ND": "-NoDerivatives", "-NC-SA": "-NonCommercial-ShareAlike", "-NC-ND": "-NonCommercial-NoDerivatives",
+}.items():
+    for _version, _scope in (("4.0", "International"), ("3.0", "Unported")):
+        NOTICES[f"CC-BY{_short}-{_version}"] = f"Licensed under CC BY{_short} {_version}"
+        NOTICES[f"CC-BY{_short}-{_version}-notice"] = f"licensed under a Creative Commons Attribution{_long} {_version} {_scope} License"
+
+
+@functools.cache
+def _templates() -> dict[str, str]:
+    """Notices, headers and, named ``...-text``, the whole bodies beside this module; read on the driver only."""
+    bodies = resources.files("holdfast.llm") / "license_texts"
+    return NOTICES | {f.name.removesuffix(".txt") + "-text": f.read_text(encoding="utf-8") for f in bodies.iterdir() if f.name.endswith(".txt")}
+
+
+def __getattr__(name: str) -> dict[str, str]:
+    if name == "TEMPLATES":
+        return _templates()
+    raise AttributeError(name)
+
 
 def needed(n: int, least: float) -> int:
     """Words that a find matches at least, of a template of ``n``."""
@@ -157,6 +252,9 @@ def _finds(index: Index, t: int, doc: list[int], lo: int, hi: int, need: int) ->
     middle, most = (lo + hi) // 2, len(template) + 1
     # All finds overlap where the shifts differ by less than a find is long: then nothing beats one as good as the wide band's.
     if hi - lo + 2 * band < need:
+        found = aligned(template, doc, middle, band)
+        if found[0] == len(template):
+            return {found}
         most = aligned(template, doc, middle, (hi - lo + 1) // 2 + band)[0]
         if most < need:
             return out
@@ -169,6 +267,23 @@ def _finds(index: Index, t: int, doc: list[int], lo: int, hi: int, need: int) ->
     return out
 
 
+def _told_apart(finds: list[tuple[int, int, int, int]], index: Index, n_words: int) -> list[tuple[int, int, int, int]]:
+    """The finds (first, last, matches, template) that explain their span best: most words matched, fewest unmatched on either side."""
+
+    def rank(x: tuple[int, int, int, int]) -> tuple:
+        first, last, m, t = x
+        n, span = len(index.words[t]), last - first + 1
+        return 3 * m - n - span, m / n, -span, -first, -t
+
+    taken, kept = np.zeros(n_words, bool), []
+    for x in sorted(finds, key=rank, reverse=True):
+        place = slice(x[0], x[1] + 1)
+        if 2 * np.count_nonzero(taken[place]) <= x[1] + 1 - x[0]:
+            taken[place] = True
+            kept.append(x)
+    return kept
+
+
 def scan(text: bytes, index: Index, least: float | None = None) -> list[dict]:
     """Matches of one text, in order of place; start and end count characters."""
     least = index.least if least is None else least
@@ -190,17 +305,18 @@ def scan(text: bytes, index: Index, least: float | None = None) -> list[dict]:
             at = bisect(taken, (first,))
             if (not at or taken[at - 1][1] < first) and (at == len(taken) or taken[at][0] > last):
                 taken.insert(at, (first, last, m))
-        out += [(first, last, index.names[t], m / len(index.words[t])) for first, last, m in taken]
+        out += [(first, last, m, t) for first, last, m in taken]
     if not out:
         return []
+    out = _told_apart(out, index, len(words))
     starts, ends = common.ALNUM.spans(text)
 
     def chars(n: int) -> int:
         return len(text[:n].decode(errors="replace"))
 
     return [
-        {"license": name, "coverage": cover, "first_word": a, "last_word": b, "start": chars(starts[a]), "end": chars(ends[b])}
-        for a, b, name, cover in sorted(out)
+        {"license": index.names[t], "coverage": m / len(index.words[t]), "first_word": a, "last_word": b, "start": chars(starts[a]), "end": chars(ends[b])}
+        for a, b, m, t in sorted(out)
     ]
 
 
@@ -212,13 +328,11 @@ _MATCH_SQL = "array<struct<license: string, coverage: double, first_word: int, l
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, n_matches and matches (license, coverage, words, characters) of every document."""
     spark = common.prepared(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(templates or TEMPLATES)
-    held: list[Index] = []
+    shared = spark.sparkContext.broadcast(Index(templates or _templates(), least))
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
-        if not held:
-            held.append(Index(shared.value, least))
-        found = [scan(x, held[0]) if x else [] for x in batch.column("data").to_pylist()]
+        index = shared.value
+        found = [scan(x, index) if x else [] for x in batch.column("data").to_pylist()]
         return [pa.array([len(f) for f in found], pa.int64()), pa.array(found, _MATCH)]
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("data"))

@@ -317,7 +317,7 @@ def test_license_index_loses_no_alignment():
         if len(index.words[0]) > 60:
             continue
         need = licenses.needed(len(index.words[0]), licenses.LEAST)
-        for _ in range(60):
+        for _ in range(10):
             edited = [w for w in words for w in [*["odd"] * rng.choice((0, 0, 0, 1)), *([w] if rng.random() < 0.92 else rng.choice(([], ["other"])))]]
             doc = " ".join(["and"] * rng.randrange(8) + edited + ["so", "on"] * rng.randrange(4) + edited[: rng.randrange(len(edited) + 1)])
             found = licenses.scan(doc.encode(), index)
@@ -327,6 +327,29 @@ def test_license_index_loses_no_alignment():
                 assert m < need or any(f["coverage"] * len(index.words[0]) > m - 0.5 and f["first_word"] <= last and f["last_word"] >= first for f in found), doc
 
 
+def test_license_relatives_are_told_apart():
+    index = licenses.Index(licenses.TEMPLATES)
+    for text, name in {
+        "licensed under the GNU Affero General Public License, version 3": "AGPL-3.0",
+        "licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0",
+        "licensed under the GNU General Public License, version 2": "GPL-2.0",
+        "licensed under the GNU General Public License, version 3": "GPL-3.0",
+        "Released under the ISC License": "ISC",
+        "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0",
+        "Licensed under CC BY 4.0": "CC-BY-4.0",
+        "licensed under the Eclipse Public License v2.0": "EPL-2.0-short",
+        licenses.TEMPLATES["LGPL-2.1-header"]: "LGPL-2.1-header",
+    }.items():
+        assert [m["license"] for m in licenses.scan(f"Some code. {text}; the end".encode(), index)] == [name]
+    rng = random.Random(8)
+    for name, text in licenses.TEMPLATES.items():
+        words = text.split()
+        assert [m["license"] for m in licenses.scan(" ".join(["head", *words, "tail"]).encode(), index)] == [name]
+        if name.endswith("-text"):
+            edited = " ".join(w if rng.random() < 0.95 else "other" for w in words)
+            assert licenses.scan(edited.encode(), index)[0]["license"] == name
+
+
 def test_training_order_is_a_permutation_and_reads_back(spark, docs):
     for n in (1, 2, 3, 7, 64, 1000):
         slots = order.slots(np.arange(n), n)
