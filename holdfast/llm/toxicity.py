@@ -6,8 +6,8 @@ characters counts ``DECAY`` to the power of the span it covers, so letters put i
 expression only a little.  With the landmarks' kernel values as coordinates (Nystroem) a linear machine is trained; its
 expansion over the landmarks adds up to one weight for each triple, so scoring costs one look-up for each triple of a text.
 
-Training uses a bounded sample of labelled documents (``MOST`` of either label, those of smallest hash) and, of their
-expressions, bounded candidate lists.  A label belongs to a document, so the machine learns from several instances:
+Training uses a bounded sample of labelled documents (``MOST`` of either label, those of smallest hash; repeated rows count once, and
+of a doc_id with several texts one is taken before any second one) and, of their expressions, bounded candidate lists.  A label belongs to a document, so the machine learns from several instances:
 of every toxic document the expression that speaks most for toxicity, of the others those that are most easily taken for it.
 
 Null and empty texts, and texts without an expression, score 0.  Texts of any length are scored whole.  Labels that are
@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,7 +185,7 @@ def held_out() -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, train_only: Column) -> DataFrame:
-    """(toxic, words) of the documents learned from; their ids are at most ``2 * MOST``."""
+    """(toxic, words) of the documents learned from, each doc_id and text once: at most ``2 * MOST`` rows."""
     marked = labels.where("toxic in (0, 1) and doc_id is not null").where(train_only)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = None
@@ -196,9 +196,18 @@ def _sample(docs: DataFrame, labels: DataFrame, train_only: Column) -> DataFrame
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array([sorted({p for w in expressions(t or "") if len(p := plain(w)) >= 2}) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))]
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")
-    schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
-    return common.stored(rows.mapInArrow(common.by_batch(columns, ["words"], ("text",)), schema), "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic", F.xxhash64("text").alias("hash")).agg(F.any_value("text").alias("text"))
+    words = T.StructField("words", T.ArrayType(T.StringType()))
+    lists = rows.mapInArrow(common.by_batch(columns, ["words"], ("text",)), T.StructType([*rows.drop("text").schema.fields, words]))
+    lists = common.stored(lists, "labelled")
+    # First texts of all ids, then second ones; the window is limited to MOST rows of an id before the exchange.
+    ranked = lists.select("doc_id", "hash", "toxic", F.row_number().over(Window.partitionBy("doc_id").orderBy("hash")).alias("rank")).where(F.col("rank") <= MOST)
+    chosen = None
+    for label in (0, 1):
+        some = ranked.where(F.col("toxic") == label).orderBy("rank", F.xxhash64("doc_id"), "doc_id").limit(MOST).select("doc_id", "hash")
+        chosen = some if chosen is None else chosen.unionAll(some)
+    return lists.join(F.broadcast(chosen), ["doc_id", "hash"]).select("toxic", "words")
 
 
 def _grams(word: Column) -> Column:

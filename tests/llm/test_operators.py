@@ -373,6 +373,16 @@ def test_training_order_is_a_permutation_and_reads_back(spark, docs):
     assert order.ordered(docs.limit(0)).count() == 0
 
 
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST", 8)
+    rows = [(i, f"text of {'abcdef'[i] * 5}") for i in range(6)] + [(1, "text of bbbbb")] * 50 + [(2, f"other{i} text") for i in range(40)] + [(4, None)] * 5
+    marks = spark.createDataFrame([(i, int(i > 3)) for i in range(6)], "doc_id long, toxic int")
+    sample = toxicity._sample(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), marks, F.lit(True)).collect()
+    by = collections.Counter((r.toxic, tuple(r.words)) for r in sample)
+    assert max(by.values()) == 1 and collections.Counter(r.toxic for r in sample) == {0: 8, 1: 3}
+    assert all(any("abcdef"[i] * 5 in r.words for r in sample) for i in (0, 1, 3, 4, 5))
+
+
 def test_toxicity_tolerates_gaps_and_nulls(spark, docs, labels):
     rng = random.Random(3)
     plain_words = ["the", "river", "stone", "garden", "yellow", "window", "market", "sailing", "number", "letters"]
