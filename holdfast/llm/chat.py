@@ -6,8 +6,10 @@ two turns of one role the second is merged into the first (``MERGE``), and missi
 Dynamic programming finds the cheapest repair; among equals the one that prefers states in the order of ``STATES``.
 
 A conversation of any length is cut into segments of at most ``SEGMENT`` turns.  Each segment is reduced to a matrix of the
-costs between the states before and after it; these are few, so the states at the borders follow from one scan of them, and then
-segments are solved by themselves.  So no task ever holds a long conversation's turns.
+costs between the states before and after it.  Neighbouring matrices, at most ``FAN``, are reduced to one, and these again, until a
+conversation has one matrix.  The states at its borders are passed down the same way, group by group, and then segments are solved by
+themselves.  So no task ever holds more than ``SEGMENT`` turns or ``FAN`` matrices of a conversation, however long it is.  Among
+equal repairs the borders of larger groups are decided first.
 
 The result has one row for each turn; the ``rendered`` pieces of a conversation, in the order of ``part`` and ``idx``, are the
 formatted chat.  Turns are ordered by ``turn`` (null first), then by role and text; repeated rows stay turns of their own.  A
@@ -27,7 +29,7 @@ from holdfast.llm import common
 
 STATES = ("begin", "system", "user", "assistant")
 MERGE, INSERT, RELABEL, UNKNOWN = 1, 2, 3, 1
-SEGMENT = 1024
+SEGMENT, FAN = 1024, 256
 #: Legal next states; a conversation ends after an assistant.
 NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 END = 3
@@ -81,18 +83,28 @@ def matrix(roles: list[int]) -> np.ndarray:
     return total
 
 
-def borders(matrices: list[np.ndarray]) -> tuple[list[tuple[int, int]], int]:
-    """States before and after each segment of a conversation, and the cost of the repair."""
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """Cheapest costs over neighbouring stretches."""
+    total = matrices[0]
+    for m in matrices[1:]:
+        total = np.minimum((total[:, :, None] + m[None]).min(axis=1), FAR)
+    return total
+
+
+def borders(matrices: list[np.ndarray], state: int = 0, stop: int | None = None) -> tuple[list[tuple[int, int]], int]:
+    """States before and after each stretch from ``state`` on, and the cost; up to the state ``stop``, or to the conversation's end."""
     to_go = [np.array(FINISH, np.int64)]
+    if stop is not None:
+        to_go = [np.where(np.arange(4) == stop, 0, FAR)]
     for m in reversed(matrices):
         to_go.append((m + to_go[-1][None]).min(axis=1))
     to_go.reverse()
-    state, out = 0, []
+    first, out = state, []
     for m, after in zip(matrices, to_go[1:], strict=True):
         end = int(np.argmin(m[state] + after))
         out.append((state, end))
         state = end
-    return out, int(to_go[0][0])
+    return out, int(to_go[0][first])
 
 
 def solve(roles: list[int], start: int, end: int) -> list[int]:
@@ -112,14 +124,19 @@ def _matrices(batch: pa.RecordBatch) -> list[pa.Array]:
     return [pa.array([matrix(r).ravel().tolist() for r in batch.column("roles").to_pylist()], pa.list_(pa.int64()))]
 
 
+def _products(batch: pa.RecordBatch) -> list[pa.Array]:
+    return [pa.array([product([np.array(s["m"]).reshape(4, 4) for s in inside]).ravel().tolist() for inside in batch.column("inside").to_pylist()], pa.list_(pa.int64()))]
+
+
 def _borders(batch: pa.RecordBatch) -> list[pa.Array]:
-    ends, cost = [], []
-    for segments in batch.column("segments").to_pylist():
-        found, total = borders([np.array(s["m"]).reshape(4, 4) for s in segments])
+    rows = batch.to_pydict()
+    ends, costs = [], []
+    for inside, start, stop, end, cost in zip(rows["inside"], rows["start"], rows["stop"], rows["last"], rows["cost"], strict=True):
+        found, total = borders([np.array(s["m"]).reshape(4, 4) for s in inside], start, stop)
         last = len(found) - 1
-        ends.append([{"part": s["part"], "seg": s["seg"], "start": a, "stop": b, "last": i == last} for i, (s, (a, b)) in enumerate(zip(segments, found, strict=True))])
-        cost.append(total)
-    return [pa.array(ends, _ENDS_PA), pa.array(cost, pa.int64())]
+        ends.append([{"part": s["part"], "seg": s["seg"], "start": a, "stop": b, "last": end and i == last} for i, (s, (a, b)) in enumerate(zip(inside, found, strict=True))])
+        costs.append(total if cost is None else cost)
+    return [pa.array(ends, _ENDS_PA), pa.array(costs, pa.int64())]
 
 
 _ENDS_PA = pa.list_(pa.struct([("part", pa.int64()), ("seg", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("last", pa.bool_())]))
@@ -136,6 +153,34 @@ def _solved(batch: pa.RecordBatch) -> list[pa.Array]:
     return [pa.array(before, pa.list_(pa.int32())), pa.array(after, pa.list_(pa.int32()))]
 
 
+def _ends(segments: DataFrame) -> DataFrame:
+    """conv_id, part, seg, start, stop, last and cost of all segments; every group has at most ``FAN`` members."""
+    parts, segs = segments.agg(F.max("part"), F.max("seg")).first()
+    parts, segs = (parts or 0) + 1, (segs or 0) + 1
+    levels, lower = [], segments.select("conv_id", "part", "seg", "m")
+    while not levels or parts * segs > 1:
+        # Parts and segments in order; all at once when they are few, else segments of a part first.
+        by_part, by_seg = (FAN, FAN) if parts * segs <= FAN else (1, FAN) if segs > 1 else (FAN, 1)
+        upper = lower.groupBy("conv_id", F.floor(F.col("part") / by_part).alias("up_part"), F.floor(F.col("seg") / by_seg).alias("up_seg"))
+        upper = upper.agg(F.sort_array(F.collect_list(F.struct("part", "seg", "m"))).alias("inside"))
+        upper = upper.withColumnsRenamed({"up_part": "part", "up_seg": "seg"})
+        upper = common.stored(upper.mapInArrow(common.by_batch(_products, ["m"]), common.extend(upper.schema, ("m", T.ArrayType(T.LongType())))), "groups")
+        levels.append(upper)
+        lower, parts, segs = upper.drop("inside"), -(-parts // by_part), -(-segs // by_seg)
+    known = None
+    for groups in reversed(levels):
+        if known is None:
+            none = F.lit(None)
+            rows = groups.select("conv_id", "inside", F.lit(0).alias("start"), none.cast("int").alias("stop"), F.lit(True).alias("last"), none.cast("long").alias("cost"))
+        else:
+            same = groups["conv_id"].eqNullSafe(known["conv_id"]) & (groups["part"] == known["part"]) & (groups["seg"] == known["seg"])
+            rows = groups.join(known, same).select(groups["conv_id"], "inside", "start", "stop", "last", "cost")
+        solved = T.StructType([rows.schema["conv_id"], T.StructField("ends", T._parse_datatype_string(_ENDS)), T.StructField("cost", T.LongType())])
+        rows = rows.mapInArrow(common.by_batch(_borders, ["ends", "cost"], ("inside", "start", "stop", "last", "cost")), solved)
+        known = rows.select("conv_id", "cost", F.inline("ends"))
+    return known
+
+
 def repair(turns: DataFrame) -> DataFrame:
     """One row for each turn: conv_id, turn, part, idx, role_in, role, action, inserted, cost of the conversation, rendered."""
     common.prepared(turns.sparkSession)
@@ -151,11 +196,7 @@ def repair(turns: DataFrame) -> DataFrame:
     segments = common.stored(
         segments.mapInArrow(common.by_batch(_matrices, ["m"]), common.extend(segments.schema, ("m", T.ArrayType(T.LongType())))), "segments"
     )
-    # One row for each SEGMENT turns of a conversation.
-    scans = segments.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "seg", "m"))).alias("segments"))
-    ends = scans.mapInArrow(common.by_batch(_borders, ["ends", "cost"], ("segments",)), T.StructType([
-        *scans.drop("segments").schema.fields, T.StructField("ends", T._parse_datatype_string(_ENDS)), T.StructField("cost", T.LongType())]))
-    ends = ends.select("conv_id", "cost", F.inline("ends"))
+    ends = _ends(segments)
     same = segments["conv_id"].eqNullSafe(ends["conv_id"]) & (segments["part"] == ends["part"]) & (segments["seg"] == ends["seg"])
     solved = segments.join(ends, same).select(segments["conv_id"], segments["part"], segments["seg"], "roles", "cost", "start", "stop", "last")
     solved = solved.mapInArrow(common.by_batch(_solved, ["before", "after"]), common.extend(

@@ -291,6 +291,34 @@ def test_chat_repair_costs_legality_and_long_conversations(spark, monkeypatch):
     assert chat.repair(turns.limit(0)).count() == 0
 
 
+def test_chat_groups_stay_small(spark, monkeypatch):
+    """A long conversation is reduced over several levels, to the same costs, and no group has more than FAN members."""
+    monkeypatch.setattr(chat, "SEGMENT", 4)
+    monkeypatch.setattr(chat, "FAN", 3)
+    sizes, stored = [], common.stored
+
+    def watched(df, label):
+        out = stored(df, label)
+        if label == "groups":
+            sizes.append(out.agg(F.max(F.size("inside"))).first()[0])
+        return out
+
+    monkeypatch.setattr(common, "stored", watched)
+    rng = random.Random(12)
+    names = ["system", "user", "assistant", "tool"]
+    rows = [(c, t, rng.choice(names), "x") for c, n in ((None, 5), (1, 400), (2, 1)) for t in range(n)]
+    found = chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    assert len(found) == len(rows) and len(sizes) > 2 and max(sizes) <= 3
+    for conv in (None, 1, 2):
+        mine = sorted((r for r in found if r.conv_id == conv), key=lambda r: (r.part, r.idx))
+        codes = [(names.index(r.role_in) + 1) % 4 for r in mine]
+        states = [chat.STATES.index(r.role) for r in mine]
+        cost = chat.borders([chat.matrix(codes)])[1]
+        assert {r.conversation_cost for r in mine} == {cost}
+        assert sum(chat.COSTS[c][a][b] for c, a, b in zip(codes, (0, *states), states)) + chat.FINISH[states[-1]] == cost
+        assert sum(r.rendered.count(chat.CLOSE) for r in mine) == sum(r.rendered.count("<|im_start|>") for r in mine)
+
+
 def test_license_spans(spark):
     mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0-header"]
     changed = apache.replace("may not use", "must never use").replace("a copy of", "one copy of")
