@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import bpe, chat, decontaminate, jaccard, licenses, order, quality, sharding, toxicity, warc
+from holdfast.llm import align, audit, bpe, chat, decontaminate, jaccard, licenses, order, pii, quality, sharding, toxicity, warc
 from holdfast.llm.common import prepared, table
 
 
@@ -49,11 +49,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: (lambda spark, sf_dir, f=f: f(prepared(spark), sf_dir))
     for f in (
         op1_quality_rules, op2_byte_bpe, op3_chat_format, op4_toxicity, op5_ring_shards, op6_license_scan, op7_warc,
-        op8_decontamination, op9_training_order, op10_jaccard_join,
+        op8_decontamination, op9_training_order, op10_jaccard_join, op11_token_alignment, op12_personal_data, op13_filter_audit,
     )
 }
 
@@ -90,4 +102,6 @@ c AS (SELECT r.rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.c G
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (rid) JOIN c USING (rid)
 """
 
-ORACLES = {"op1_quality_rules": quality.oracle(), "op8_decontamination": DECONTAMINATION_SQL, "op10_jaccard_join": JACCARD_SQL}
+ORACLES = {
+    "op1_quality_rules": quality.oracle(), "op8_decontamination": DECONTAMINATION_SQL, "op10_jaccard_join": JACCARD_SQL, "op13_filter_audit": audit.ORACLE,
+}
