@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from holdfast.functions import values as v
 from holdfast.operators import audit, changes, filings, lineage, managers, merge, positions, securities
 from holdfast.operators.keys import duplicate_keys
-from holdfast.plans import compare, industries, institutions, pipeline, relationships
+from holdfast.plans import compare, industries, institutions, loading, pipeline, relationships
 from holdfast.plans import securities as security_queries
 from holdfast.plans.common import security_names, type_codes, zero_if_missing
 from holdfast.plans.institutions import RankFilter
@@ -53,15 +54,33 @@ def comparable(df: DataFrame) -> DataFrame:
 
 # ---- sources, sinks, lineage -----------------------------------------------
 def batch_accessions(w: Warehouse) -> DataFrame:
-    """Each report quarter is one data set; its name stands for the file content."""
+    """Each report quarter is one data set."""
     name = F.concat(v.quarter_year("quarter_id").cast("string"), F.lit("q"), (F.col("quarter_id") % 100).cast("string"),
                     F.lit("_form13f.zip"))
     return w.filings.select(
         "accession_number", F.col("quarter_id").cast("bigint").alias("etl_batch_id"), name.alias("file_name"),
-        F.sha2(name, 256).alias("sha256"), "submission_type", "is_amendment",
+        "submission_type", "is_amendment",
     )
 
 
+def deliveries(w: Warehouse, listed: DataFrame, listed_twice: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The seven tables of data sets that deliver the filings of ``listed`` (accession_number, dataset, suffix of the number)."""
+    out = {}
+    for name, df in raw(w).items():
+        wanted = listed if name != "submission" or listed_twice is None else listed.unionByName(listed_twice)
+        rows = df.join(wanted, "accession_number")
+        out[name] = rows.withColumn("accession_number", F.concat("accession_number", "suffix")).select("dataset", *df.columns)
+    return out
+
+
+def fingerprints(w: Warehouse) -> DataFrame:
+    """(etl_batch_id, file_name, sha256 of the content in all seven tables)."""
+    sets = batch_accessions(w).select("accession_number", F.col("file_name").alias("dataset"), F.lit("").alias("suffix"))
+    hashes = lineage.batch_fingerprints(lineage.table_fingerprints(deliveries(w, sets)))
+    ids = batch_accessions(w).select("etl_batch_id", "file_name").distinct()
+    return ids.join(hashes.withColumnRenamed("dataset", "file_name"), "file_name")
+
+
 @query
 def scan_tsv(w: Warehouse) -> DataFrame:
     path = new_folder(w.spark, "tsv") + "/INFOTABLE.tsv"
@@ -113,9 +132,8 @@ def sic_extract(w: Warehouse) -> DataFrame:
 
 @query
 def batch_manifest(w: Warehouse) -> DataFrame:
-    return batch_accessions(w).groupBy("etl_batch_id", "file_name", "sha256").agg(
-        F.count("*").alias("filing_count")
-    ).withColumn("dataset_quarter", lineage.dataset_quarter("file_name"))
+    filings_of = batch_accessions(w).groupBy("etl_batch_id").agg(F.count("*").alias("filing_count"))
+    return fingerprints(w).join(filings_of, "etl_batch_id").withColumn("dataset_quarter", lineage.dataset_quarter("file_name"))
 
 
 @query
@@ -123,9 +141,17 @@ def source_counts(w: Warehouse) -> DataFrame:
     return lineage.source_counts(raw(w), batch_accessions(w))
 
 
+def delivered(w: Warehouse) -> DataFrame:
+    """Filings as data sets list them; second quarters of odd years list some twice."""
+    source = batch_accessions(w)
+    quarter = F.col("etl_batch_id")
+    again = (quarter % 10 == 2) & (F.floor(quarter / 100) % 2 == 1) & (F.col("accession_number").cast("bigint") % 40 == 17)
+    return source.unionByName(source.filter(again))
+
+
 @query
 def dup_accessions(w: Warehouse) -> DataFrame:
-    return lineage.duplicate_accessions(w.othermanager2)
+    return lineage.duplicate_accessions(delivered(w))
 
 
 @query
@@ -148,16 +174,66 @@ def count_mismatch(w: Warehouse) -> DataFrame:
 
 @query
 def batch_admission(w: Warehouse) -> DataFrame:
-    """First quarters are loaded and registered, second new, third loaded only, fourth loaded in part."""
-    source = batch_accessions(w)
+    """First quarters are loaded and registered, second new, third loaded only, fourth loaded in part.
+
+    Second quarters of odd years list filings twice, third ones of even years have lost their signatures.
+    """
+    source = delivered(w).join(fingerprints(w).select("etl_batch_id", "sha256"), "etl_batch_id")
     quarter = F.col("etl_batch_id") % 10
     loaded = source.filter(quarter.isin(1, 3) | ((quarter == 4) & (F.col("is_amendment") == 0)))
-    return lineage.admit_batches(source, loaded, source.filter(quarter == 1))
+    lost = batch_accessions(w).filter((quarter == 3) & (F.floor(F.col("etl_batch_id") / 100) % 2 == 0))
+    kept = raw(w) | {"signature": w.signature.join(lost, "accession_number", "left_anti")}
+    batches = batch_accessions(w)
+    wrong = lineage.count_mismatches(lineage.source_counts(raw(w), batches), lineage.source_counts(kept, batches))
+    return lineage.admit_batches(source, loaded, source.filter(quarter == 1), wrong)
+
+
+@query
+def load_datasets(w: Warehouse) -> DataFrame:
+    """Two runs of the load driver: early quarters, then all of them again with four odd data sets.
+
+    ``a`` repeats stored filings, ``b`` mixes stored and new ones, ``c`` lists new ones twice, ``d`` is a known set under another name.
+    """
+    source = batch_accessions(w)
+
+    def sets(rows: DataFrame, name: str | None = None, suffix: str = "") -> DataFrame:
+        dataset = F.col("file_name") if name is None else F.lit(name)
+        return rows.select("accession_number", dataset.alias("dataset"), F.lit(suffix).alias("suffix"))
+
+    out = new_folder(w.spark, "loaded")
+    early = source.filter(F.col("etl_batch_id") < CUT)
+    first = loading.load_datasets(w.spark, deliveries(w, sets(early)), out)
+    amended = source.filter((F.col("etl_batch_id") == TO_QUARTER) & (F.col("is_amendment") == 1))
+    old = source.filter((F.col("etl_batch_id") == FROM_QUARTER) & (F.col("is_amendment") == 1))
+    odd = [
+        sets(old, "a_registered"), sets(amended, "b_overlap"), sets(amended, "b_overlap", "X"), sets(amended, "c_twice", "Y"),
+        sets(source.filter(F.col("etl_batch_id") == TO_QUARTER), "d_again"),
+    ]
+    every = reduce(DataFrame.unionByName, odd, sets(source))
+    second = loading.load_datasets(w.spark, deliveries(w, every, sets(amended, "c_twice", "Y")), out)
+    return first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2))).drop("etl_batch_id", "error")
+
+
+@query
+def loaded_tables(w: Warehouse) -> DataFrame:
+    """Rows of each raw table and batch that a load leaves visible, with their lineage."""
+    out = new_folder(w.spark, "loaded")
+    sets = batch_accessions(w).select("accession_number", F.col("file_name").alias("dataset"), F.lit("").alias("suffix"))
+    for part in (F.col("dataset") < "2022", F.lit(True)):
+        loading.load_datasets(w.spark, deliveries(w, sets.filter(part)), out)
+    owner = loading.filing_batches(w.spark, out)
+    names = loading.batches(w.spark, out).select("etl_batch_id", "dataset")
+    counted = [
+        df.groupBy("etl_batch_id", "accession_number").agg(F.count("*").alias("n")).join(owner, ["accession_number", "etl_batch_id"])
+        .groupBy("etl_batch_id").agg(F.sum("n").alias("row_count")).withColumn("table_name", F.lit(t))
+        for t, df in loading.raw_tables(w.spark, out).items()
+    ]
+    return reduce(DataFrame.unionByName, counted).join(names, "etl_batch_id").select("dataset", "table_name", "row_count")
 
 
 def _closed(w: Warehouse) -> DataFrame:
     """All batches appended; signatures of batches before the cut were lost on the way."""
-    source = batch_accessions(w)
+    source = batch_accessions(w).withColumn("sha256", F.col("file_name"))
     kept = source.filter(F.col("etl_batch_id") >= CUT).select("accession_number")
     stored_tables = raw(w) | {"signature": w.signature.join(kept, "accession_number", "left_semi")}
     nothing = source.filter(F.lit(False))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from holdfast.plans.catalog import CUT, FROM_QUARTER, TO_QUARTER
+from holdfast.schemas import RAW_SCHEMAS
+from holdfast.sources.sample import DUCKDB, mapping_sql
 from oracles.base import INSTRUMENT, KEY, NAME, QUALITY, SUMS, big, cik, div, label, prev, rounded, statement
 
 RAW = ("submission", "coverpage", "othermanager", "signature", "summarypage", "othermanager2", "infotable")
@@ -36,9 +40,28 @@ add("sic_scan", f"SELECT {cik('cik')} AS cik, sic, sicdescription, '2024-01-31'
 add("sic_extract", f"""
     SELECT {cik('k.cik')} AS cik, s.sic, s.sicdescription
     FROM (SELECT DISTINCT cik FROM r_listings) k LEFT JOIN r_sic s USING (cik)""")
+
+
+def row_text(table: str) -> str:
+    """Every documented column behind its length; columns that the sample has not are NULL."""
+    made = set(re.findall(r"AS\s+(\w+)", mapping_sql(DUCKDB)[table])) | {"accession_number"}
+    values = {c: f"CAST(x.{c} AS VARCHAR)" for c in RAW_SCHEMAS[table].names if c in made}
+    return " || ".join(f"COALESCE(LENGTH({values[c]}) || ':' || {values[c]}, '~')" if c in values else "'~'" for c in RAW_SCHEMAS[table].names)
+
+
+def hashes() -> str:
+    """SHA-256 of the content of each quarter."""
+    digests = " UNION ALL ".join(
+        f"SELECT quarter_id, '{t}' AS table_name, MD5({row_text(t)}) AS h FROM r_{t} x JOIN d_filings USING (accession_number)" for t in RAW
+    )
+    return f"""SELECT quarter_id, SHA256(STRING_AGG(table_name || ':' || n || ':' || a || ':' || b, ';' ORDER BY table_name)) AS sha256 FROM (
+        SELECT quarter_id, table_name, COUNT(*) AS n, SUM(CAST('0x' || SUBSTR(h, 1, 15) AS BIGINT)) AS a,
+          SUM(CAST('0x' || SUBSTR(h, 16, 15) AS BIGINT)) AS b FROM ({digests}) y GROUP BY ALL) z GROUP BY 1"""
+
+
 add("batch_manifest", f"""
-    SELECT {big('quarter_id')} AS etl_batch_id, {FILE} AS file_name, SHA256({FILE}) AS sha256,
-      COUNT(*) AS filing_count, {label('quarter_id')} AS dataset_quarter FROM d_filings GROUP BY ALL""")
+    SELECT {big('quarter_id')} AS etl_batch_id, {FILE} AS file_name, sha256,
+      COUNT(*) AS filing_count, {label('quarter_id')} AS dataset_quarter FROM d_filings JOIN ({hashes()}) s USING (quarter_id) GROUP BY ALL""")
 
 
 def counts(where: str = "") -> str:
@@ -48,8 +71,9 @@ def counts(where: str = "") -> str:
 
 
 add("source_counts", counts())
-add("dup_accessions", """
-    SELECT accession_number, COUNT(*) AS row_count FROM r_othermanager2 GROUP BY 1 HAVING COUNT(*) > 1""")
+TWICE = "(quarter_id % 10 = 2 AND quarter_id // 100 % 2 = 1 AND CAST(accession_number AS BIGINT) % 40 = 17)"
+add("dup_accessions", f"""
+    SELECT accession_number, {big('2')} AS row_count FROM d_filings WHERE {TWICE}""")
 add("stored_counts", " UNION ALL ".join(
     f"""SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM r_{t}
         WHERE accession_number IN (SELECT accession_number FROM d_filings WHERE is_amendment = 1)""" for t in RAW))
@@ -59,12 +83,37 @@ add("count_mismatch", f"""
       FROM ({counts()}) a LEFT JOIN ({counts("WHERE f.submission_type <> '13F-NT'")}) b
         USING (etl_batch_id, table_name)) x WHERE source_row_count <> stored_row_count""")
 add("batch_admission", f"""
-    SELECT {big('quarter_id')} AS etl_batch_id, SHA256({FILE}) AS sha256, COUNT(*) AS source_count,
+    SELECT {big('quarter_id')} AS etl_batch_id, sha256, COUNT(*) AS source_count,
       COUNT(*) FILTER (quarter_id % 10 IN (1, 3) OR (quarter_id % 10 = 4 AND is_amendment = 0)) AS stored_count,
-      CASE quarter_id % 10 WHEN 1 THEN 'SKIP' WHEN 2 THEN 'APPEND' WHEN 3 THEN 'REGISTER_EXISTING' ELSE
-        CASE SUM(is_amendment) WHEN 0 THEN 'REGISTER_EXISTING' WHEN COUNT(*) THEN 'APPEND' ELSE 'REJECT' END
+      CASE WHEN quarter_id % 10 = 1 THEN 'SKIP' WHEN BOOL_OR({TWICE}) THEN 'REJECT' WHEN quarter_id % 10 = 2 THEN 'APPEND'
+        WHEN quarter_id % 10 = 3 THEN CASE WHEN quarter_id // 100 % 2 = 0 THEN 'REJECT' ELSE 'REGISTER_EXISTING' END
+        ELSE CASE SUM(is_amendment) WHEN 0 THEN 'REGISTER_EXISTING' WHEN COUNT(*) THEN 'APPEND' ELSE 'REJECT' END
       END AS decision
-    FROM d_filings GROUP BY quarter_id""")
+    FROM d_filings JOIN ({hashes()}) s USING (quarter_id) GROUP BY quarter_id, sha256""")
+
+
+def delivered_rows() -> str:
+    """Rows per delivered data set, run and table, with the decision that is due."""
+    sets = f"""SELECT 1 AS run, {FILE} AS dataset, accession_number, 1 AS times, 'APPEND' AS decision FROM d_filings WHERE quarter_id < {CUT}
+        UNION ALL SELECT 2, {FILE}, accession_number, 1, CASE WHEN quarter_id < {CUT} THEN 'SKIP' ELSE 'APPEND' END FROM d_filings
+        UNION ALL SELECT 2, 'a_registered', accession_number, 1, 'REGISTER_EXISTING' FROM d_filings WHERE quarter_id = {FROM_QUARTER} AND is_amendment = 1
+        UNION ALL SELECT 2, 'b_overlap', accession_number, 2, 'REJECT' FROM d_filings WHERE quarter_id = {TO_QUARTER} AND is_amendment = 1
+        UNION ALL SELECT 2, 'c_twice', accession_number, 1, 'REJECT' FROM d_filings WHERE quarter_id = {TO_QUARTER} AND is_amendment = 1
+        UNION ALL SELECT 2, 'd_again', accession_number, 1, 'SKIP' FROM d_filings WHERE quarter_id = {TO_QUARTER}"""
+    every = ", ".join(f"('{t}')" for t in RAW)
+    rows = " UNION ALL ".join(
+        f"SELECT run, dataset, '{t}' AS table_name, SUM(times * CASE WHEN dataset = 'c_twice' AND '{t}' = 'submission' THEN 2 ELSE 1 END) AS n FROM s JOIN r_{t} USING (accession_number) GROUP BY 1, 2" for t in RAW
+    )
+    return f"""WITH s AS MATERIALIZED ({sets}), n AS ({rows})
+        SELECT run, dataset, decision, CASE decision WHEN 'REJECT' THEN 'FAILED' ELSE 'COMPLETED' END AS status, table_name,
+          {big('COALESCE(n, 0)')} AS source_row_count, CASE WHEN decision <> 'REJECT' THEN {big('COALESCE(n, 0)')} END AS stored_row_count
+        FROM (SELECT DISTINCT run, dataset, decision FROM s) d CROSS JOIN (VALUES {every}) t(table_name) LEFT JOIN n USING (run, dataset, table_name)"""
+
+
+add("load_datasets", f"SELECT * FROM ({delivered_rows()}) q")
+add("loaded_tables", " UNION ALL ".join(
+    f"""SELECT {FILE} AS dataset, '{t}' AS table_name, COUNT(*) AS row_count FROM r_{t} JOIN d_filings USING (accession_number)
+        GROUP BY ALL""" for t in RAW))
 add("batch_lineage", f"""
     SELECT {big('quarter_id')} AS etl_batch_id, accession_number FROM d_filings WHERE quarter_id >= {CUT}""")
 add("pending_batches", f"""

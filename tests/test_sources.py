@@ -96,17 +96,3 @@ def test_sic_documents(spark, folder):
     wanted = spark.createDataFrame([("7",), ("8",), ("9",)], "cik string")
     rows = {r["cik"][-1]: (r["sic"], r["sicdescription"]) for r in dicts(sj.extract_sic(spark, companies, wanted))}
     assert rows == {"7": ("6770", "Blank checks"), "8": (None, None), "9": (None, None)}
-
-
-def test_file_manifest_and_fingerprint(spark, folder):
-    import hashlib
-
-    put(folder, "2021Q3_form13f.zip", "abc")
-    put(folder, "01jan2024-29feb2024_form13f.zip", "abd")
-    rows = {r["file_name"]: r for r in dicts(lineage.file_manifest(spark, folder))}
-    assert rows["2021Q3_form13f.zip"]["sha256"] == hashlib.sha256(b"abc").hexdigest()
-    assert rows["2021Q3_form13f.zip"]["dataset_quarter"] == "2021Q3"
-    assert rows["01jan2024-29feb2024_form13f.zip"]["dataset_quarter"] is None
-    df = spark.range(100).withColumnRenamed("id", "x")
-    prints = [lineage.table_fingerprint(d).first().sha256 for d in (df, df.orderBy(df.x.desc()), df.filter("x < 99"))]
-    assert prints[0] == prints[1] != prints[2]
