@@ -67,6 +67,17 @@ REFERENCES = _refs(
     ("security_activity", "quarter_id", "calendar", "quarter_id"),
     ("security_action_activity", "cusip", "current_variant", "cusip"),
     ("security_action_activity", "quarter_id", "calendar", "quarter_id"),
+    ("variants", "cusip", "current_variant", "cusip"),
+    ("classification", "selected_rule_id", "class_rule", "rule_id"),
+    ("class_rule", "security_type_id", "security_type", "security_type_id"),
+    ("manager_summary", " ".join(f"largest_{c}" for c in INSTRUMENT_KEY), "instruments", _INSTRUMENT),
+    ("filing_override", "accession_number", "submission", "accession_number"),
+    ("type_override", "cusip", "current_variant", "cusip"),
+    ("type_override", "security_type_id", "security_type", "security_type_id"),
+    ("filings", "etl_batch_id", "batch", "etl_batch_id"),
+    ("batch_accession", "etl_batch_id", "batch", "etl_batch_id"),
+    ("batch_accession", "accession_number", "submission", "accession_number"),
+    ("batch_count", "etl_batch_id", "batch", "etl_batch_id"),
 )
 
 UNIQUE_KEYS: dict[str, list[str]] = {
@@ -150,23 +161,46 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def literal_rows(spark, rows: list[tuple], *names: str) -> DataFrame:
+    """A few integer rows as a literal relation."""
+    body = ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
+
+
+def _key(columns: tuple[str, ...]) -> Column:
+    """Values of a key as one text, each behind its length; NULL if any is NULL."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[x for t in texts for x in (F.length(t).cast("string"), F.lit(":"), t)])
+
+
 def reference_audit(table, references: list[Reference] = REFERENCES) -> DataFrame:
-    """Rows per foreign key whose non-NULL reference has no parent.  ``table`` maps a name to a DataFrame."""
-    checks = []
-    for r in references:
-        # keys repeat in the child, so they are counted before anything is exchanged
-        child = table(r.child).select(*r.columns).dropna().groupBy(*r.columns).agg(F.count("*").alias("n"))
-        parent = table(r.parent).select(*[F.col(p).alias(c) for c, p in zip(r.columns, r.parent_columns)])
-        orphans = child.join(parent, list(r.columns), "left_anti").agg(
-            F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("violations")
+    """Rows per foreign key whose non-NULL reference has no parent.  ``table`` maps a name to a DataFrame.
+
+    One scan of each child makes a row per reference, counted per key before anything is exchanged; one scan of each
+    parent key gives the keys that exist; one anti join compares all of them.
+    """
+    parents = list(dict.fromkeys((r.parent, r.parent_columns) for r in references))
+    found = [table(p).select(F.lit(i).alias("parent"), _key(columns).alias("key")) for i, (p, columns) in enumerate(parents)]
+    children: dict[str, list[Column]] = {}
+    for i, r in enumerate(references):
+        entry = F.struct(F.lit(i).alias("reference"), F.lit(parents.index((r.parent, r.parent_columns))).alias("parent"), _key(r.columns).alias("key"))
+        children.setdefault(r.child, []).append(entry)
+    given = [
+        table(child).select(F.inline(F.array(*entries))).filter("key IS NOT NULL").groupBy("reference", "parent", "key").agg(F.count("*").alias("n"))
+        for child, entries in children.items()
+    ]
+    orphans = _union(given).join(_union(found), ["parent", "key"], "left_anti").groupBy("reference").agg(F.sum("n").alias("n"))
+    names = [
+        F.struct(
+            F.lit(i).alias("reference"), F.lit(r.child).alias("child_table"), F.lit(",".join(r.columns)).alias("child_columns"),
+            F.lit(r.parent).alias("parent_table"),
         )
-        checks.append(
-            orphans.select(
-                F.lit(r.child).alias("child_table"), F.lit(",".join(r.columns)).alias("child_columns"),
-                F.lit(r.parent).alias("parent_table"), "violations",
-            )
-        )
-    return _union(checks)
+        for i, r in enumerate(references)
+    ]
+    every = orphans.sparkSession.range(1).select(F.inline(F.array(*names)))
+    return every.join(orphans, "reference", "left").select(
+        "child_table", "child_columns", "parent_table", F.coalesce("n", F.lit(0).cast("bigint")).alias("violations")
+    )
 
 
 def unique_audit(table, keys: dict[str, list[str]] | None = None) -> DataFrame:

@@ -268,21 +268,51 @@ def effective_filings(components: DataFrame, canonical: DataFrame, reconciliatio
     )
 
 
-def canonical_holdings(effective: DataFrame, infotable: DataFrame, ready_only: bool = False) -> DataFrame:
-    """Holding lines of effective filings in dollars; ``ready_only`` keeps resolved groups.
+def enriched_lines(
+    infotable: DataFrame, submission: DataFrame, coverpage: DataFrame, effective: DataFrame
+) -> DataFrame:
+    """Every as-filed line with all that it inherits from its filing: the only join that deals lines out by filing.
 
-    No broadcast hint: the filing side is one row per filing and grows with the
-    data, so the planner decides by its measured size.
+    Headers and resolution are put together per filing first.  The filing side has one row per number, so a join
+    partition of a filing with very many lines can be split.  A line whose filing has no submission or cover yet is
+    kept with NULL there; without a cover it has no quarter and waits in the partition of unknown quarters.
     """
-    filings = effective.filter("is_analytics_ready = 1") if ready_only else effective
-    return (
-        infotable.join(filings, "accession_number")
-        .withColumnRenamed("value", "raw_reported_value")
-        .withColumns(
-            {
-                "value_usd": F.col("raw_reported_value") * F.col("value_multiplier"),
-                "quarter_label": v.quarter_label("quarter_id"),
-                "quarter_end_date": v.quarter_end("quarter_id"),
-            }
-        )
+    cover = coverpage.select(
+        "accession_number", "reportcalendarorquarter", "reporttype", "form13ffilenumber", "filingmanager_name",
+        F.lit(1).alias("has_cover"),
+    )
+    sent = submission.select(
+        "accession_number", v.cik10("cik").alias("manager_cik"), "filing_date", "submissiontype", "periodofreport",
+        F.lit(1).alias("has_submission"),
+    )
+    resolved = effective.drop(*MANAGER_QUARTER).withColumn("is_effective", F.lit(1))
+    headers = (
+        sent.join(cover, "accession_number", "full_outer").join(resolved, "accession_number", "left")
+        .withColumn("quarter_id", v.quarter_key(v.filing_date("reportcalendarorquarter")))
+    )
+    return infotable.join(headers, "accession_number", "left")
+
+
+def with_late_headers(lines: DataFrame, submission: DataFrame, coverpage: DataFrame, effective: DataFrame) -> DataFrame:
+    """The lines of the unknown quarter again, with headers that have arrived meanwhile; the other partitions are not read."""
+    inherited = {"manager_cik", "filing_date", "submissiontype", "periodofreport", "reportcalendarorquarter", "reporttype",
+                 "form13ffilenumber", "filingmanager_name", "has_cover", "has_submission", "is_effective", "quarter_id", *effective.columns}
+    waiting = lines.filter("quarter_id IS NULL")
+    own = [c for c in lines.columns if c == "accession_number" or c not in inherited]
+    return enriched_lines(waiting.select(*own), submission, coverpage, effective).select(*lines.columns)
+
+
+def canonical_holdings(lines: DataFrame, ready_only: bool = False) -> DataFrame:
+    """Holding lines of effective filings in dollars; ``ready_only`` keeps resolved groups."""
+    rows = lines.filter("is_effective = 1")
+    if ready_only:
+        rows = rows.filter("is_analytics_ready = 1")
+    headers = ("filing_date", "submissiontype", "periodofreport", "reportcalendarorquarter", "reporttype", "form13ffilenumber",
+               "filingmanager_name", "has_cover", "has_submission", "is_effective")
+    return rows.drop(*headers).withColumnRenamed("value", "raw_reported_value").withColumns(
+        {
+            "value_usd": F.col("raw_reported_value") * F.col("value_multiplier"),
+            "quarter_label": v.quarter_label("quarter_id"),
+            "quarter_end_date": v.quarter_end("quarter_id"),
+        }
     )

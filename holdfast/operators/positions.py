@@ -26,23 +26,23 @@ def type_sums(value: str = "value_usd") -> list[Column]:
     return [v.sum_if(F.col("security_type_id") == t, value).alias(name) for name, t in TYPE_SUMS.items()]
 
 
-def aggregate_positions(infotable: DataFrame, effective: DataFrame, classification: DataFrame) -> DataFrame:
-    """Sum holding lines of resolved filings to (manager, instrument, quarter).
+FILING_COLUMNS = [
+    "accession_number", *MANAGER_QUARTER, "has_confidential_omission", "value_reconciliation_status", "value_multiplier",
+]
+
 
-    Lines are reduced to (filing, CUSIP, option, unit) right after the join with the
-    filings, still on the map side, so a filing or CUSIP that owns a large share of the
-    lines shrinks before anything is exchanged.  An instrument's filing count is then
-    a plain row count.  The class is looked up on the reduced rows.
+def aggregate_positions(lines: DataFrame, classification: DataFrame) -> DataFrame:
+    """Sum enriched lines of resolved filings to (manager, instrument, quarter).
+
+    Lines are reduced to (filing, CUSIP, option, unit) still on the map side, where lines of a filing stand together, so a
+    filing or CUSIP that owns a large share of the lines shrinks before anything is exchanged.  An instrument's filing count
+    is then a plain row count.  The class is looked up on the reduced rows.
     """
-    filings = effective.filter("is_analytics_ready = 1").select(
-        "accession_number", *MANAGER_QUARTER, "has_confidential_omission", "value_reconciliation_status",
-        "value_multiplier",
-    )
     shared = F.col("othermanager").isNotNull() | (
         F.upper(F.coalesce("investmentdiscretion", F.lit(""))) != "SOLE"
     )
-    lines = infotable.select(
-        "accession_number",
+    narrow = lines.filter("is_effective = 1 AND is_analytics_ready = 1").select(
+        *FILING_COLUMNS,
         "cusip",
         v.option_type("putcall").alias("option_type"),
         v.amount_type("sshprnamttype").alias("amount_type"),
@@ -51,8 +51,7 @@ def aggregate_positions(infotable: DataFrame, effective: DataFrame, classificati
         F.when(shared, 1).otherwise(0).alias("shared"),
         F.when(F.col("putcall").isNotNull(), 1).otherwise(0).alias("putcall_given"),
     )
-    filing_keys = [c for c in filings.columns]
-    per_filing = lines.join(filings, "accession_number").groupBy(*filing_keys, "cusip", "option_type", "amount_type").agg(
+    per_filing = narrow.groupBy(*FILING_COLUMNS, "cusip", "option_type", "amount_type").agg(
         F.sum("value").alias("raw_value"),
         F.sum("sshprnamt").alias("reported_amount"),
         F.count("*").alias("source_row_count"),

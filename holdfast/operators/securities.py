@@ -12,15 +12,12 @@ from holdfast.schemas import CLASS_RULES, UNCLASSIFIED
 VARIANT_KEY = ["cusip", "reportcalendarorquarter", "nameofissuer", "titleofclass", "figi"]
 
 
-def security_variants(infotable: DataFrame, coverpage: DataFrame) -> DataFrame:
-    """Occurrences of every (CUSIP, report quarter, issuer, class, FIGI) spelling.
+def security_variants(lines: DataFrame) -> DataFrame:
+    """Occurrences of every (CUSIP, report quarter, issuer, class, FIGI) spelling, from lines that know their cover.
 
-    The join comes first: filings of one quarter repeat each other's spellings far more
-    than a filing repeats its own, so counting after it shrinks most before the exchange.
+    Filings of one quarter stand together and repeat each other's spellings, so counting shrinks before the exchange.
     """
-    lines = infotable.select("accession_number", "cusip", "nameofissuer", "titleofclass", "figi")
-    report = coverpage.select("accession_number", "reportcalendarorquarter")
-    return lines.join(report, "accession_number").groupBy(*VARIANT_KEY).agg(F.count("*").alias("occurrence_count"))
+    return lines.filter("has_cover = 1").groupBy(*VARIANT_KEY).agg(F.count("*").alias("occurrence_count"))
 
 
 def current_variant(variants: DataFrame) -> DataFrame:
@@ -53,42 +50,29 @@ def current_variant(variants: DataFrame) -> DataFrame:
     )
 
 
-def holding_identity(
-    infotable: DataFrame, submission: DataFrame, coverpage: DataFrame, variants: DataFrame, managers: DataFrame
-) -> DataFrame:
-    """Every as-filed line with its manager and its exact variant (NULL-safe on FIGI).
+def holding_identity(lines: DataFrame, managers: DataFrame) -> DataFrame:
+    """Every as-filed line with its manager and the id of its variant.
 
-    The filing attributes are joined per filing first, so the line table is joined
-    twice only: once by filing number and once by spelling.
+    The id is a hash of the line's own columns, so no join finds it; managers are one row each.
     """
-    names = managers.select(F.col("cik").alias("filing_manager_cik"), "manager_name")
-    cover = coverpage.select(
-        "accession_number", "reportcalendarorquarter", "reporttype", "form13ffilenumber", "filingmanager_name"
-    )
-    filings = (
-        submission.withColumn("filing_manager_cik", v.cik10("cik"))
-        .join(cover, "accession_number", "left")
-        .join(names, "filing_manager_cik", "left")
+    names = managers.select(F.col("cik").alias("manager_cik"), "manager_name")
+    return (
+        lines.filter("has_submission = 1").join(names, "manager_cik", "left")
         .withColumn("filing_manager_name", F.coalesce("manager_name", "filingmanager_name"))
-        .drop("manager_name", "filingmanager_name", "cik")
+        .withColumn("cusip_variant_id", F.when(F.col("has_cover") == 1, variant_id()))
+        .withColumnRenamed("manager_cik", "filing_manager_cik")
+        .drop("manager_name", "filingmanager_name")
     )
+
+
+def with_variant_counts(rows: DataFrame, variants: DataFrame) -> DataFrame:
+    """How often each line's exact spelling occurs (NULL-safe on FIGI)."""
     known = variants.select(
-        *[F.col(c).alias(f"v_{c}") for c in VARIANT_KEY],
-        F.col("occurrence_count").alias("variant_occurrence_count"),
-        variant_id().alias("cusip_variant_id"),
-    )
-    match = (
-        (F.col("cusip") == F.col("v_cusip"))
-        & (F.col("reportcalendarorquarter") == F.col("v_reportcalendarorquarter"))
-        & (F.col("nameofissuer") == F.col("v_nameofissuer"))
-        & (F.col("titleofclass") == F.col("v_titleofclass"))
-        & F.col("figi").eqNullSafe(F.col("v_figi"))
-    )
-    return (
-        infotable.join(filings, "accession_number")
-        .join(known, match, "left")
-        .drop(*[f"v_{c}" for c in VARIANT_KEY])
+        *[F.col(c).alias(f"v_{c}") for c in VARIANT_KEY], F.col("occurrence_count").alias("variant_occurrence_count")
     )
+    match = [F.col(c) == F.col(f"v_{c}") for c in VARIANT_KEY if c != "figi"]
+    match.append(F.col("figi").eqNullSafe(F.col("v_figi")))
+    return rows.join(known, match, "left").drop(*[f"v_{c}" for c in VARIANT_KEY])
 
 
 def variant_id() -> Column:

@@ -18,7 +18,7 @@ from holdfast.plans.common import security_names, type_codes, zero_if_missing
 from holdfast.plans.institutions import RankFilter
 from holdfast.plans.warehouse import Warehouse
 from holdfast.schemas import (
-    INSTRUMENT_KEY, MANAGER_QUARTER, RAW_SCHEMAS, RAW_TABLES, RELATIONSHIP_KEY, SECURITY_QUARTER,
+    CLASS_RULES, INSTRUMENT_KEY, MANAGER_QUARTER, RAW_SCHEMAS, RAW_TABLES, RELATIONSHIP_KEY, SECURITY_QUARTER,
 )
 from holdfast.session import new_folder
 from holdfast.sources import filings_tsv, side_json, store
@@ -376,7 +376,7 @@ def component_kind(w: Warehouse) -> DataFrame:
 
 @query
 def value_usd(w: Warehouse) -> DataFrame:
-    return filings.canonical_holdings(w.effective, w.infotable).select(
+    return filings.canonical_holdings(w.lines).select(
         "accession_number", "infotable_sk", "raw_reported_value", "value_multiplier", "value_usd"
     )
 
@@ -447,7 +447,7 @@ def left_default(w: Warehouse) -> DataFrame:
 
 @query
 def holding_variant(w: Warehouse) -> DataFrame:
-    rows = securities.holding_identity(w.infotable, w.submission, w.coverpage, w.variants, w.manager_dim)
+    rows = securities.with_variant_counts(securities.holding_identity(w.lines, w.manager_dim), w.variants)
     return rows.select(
         "accession_number", "infotable_sk", "cusip", "filing_manager_cik", "filing_manager_name", "filing_date",
         "submissiontype", "reporttype", "nameofissuer", "titleofclass", "figi", "value", "variant_occurrence_count",
@@ -572,7 +572,15 @@ def distinct_instruments(w: Warehouse) -> DataFrame:
 # ---- data quality ----------------------------------------------------------
 @query
 def fk_audit(w: Warehouse) -> DataFrame:
-    return audit.reference_audit(lambda name: getattr(w, name))
+    """Every foreign key, with the overrides and the lineage of the sample."""
+    rules = audit.literal_rows(w.spark, [(r[0], r[5]) for r in CLASS_RULES], "rule_id", "security_type_id")
+    batches = batch_accessions(w)
+    given = {
+        "class_rule": rules, "filing_override": filing_overrides(w), "batch_accession": batches, "batch": batches.select("etl_batch_id").distinct(),
+        "batch_count": lineage.source_counts(raw(w), batches),
+        "type_override": w.current_variant.filter("cusip = 'BRD000005'").select("cusip", F.lit(3).alias("security_type_id")),
+    }
+    return audit.reference_audit(lambda name: given[name] if name in given else getattr(w, name))
 
 
 @query
@@ -641,7 +649,7 @@ def amendment_components(w: Warehouse) -> DataFrame:
 
 @query
 def analytics_holdings(w: Warehouse) -> DataFrame:
-    return filings.canonical_holdings(w.effective, w.infotable, ready_only=True)
+    return filings.canonical_holdings(w.lines, ready_only=True)
 
 
 # ---- stored tables under their own name ------------------------------------

@@ -21,7 +21,7 @@ from holdfast.operators import filings as f
 from holdfast.operators import managers as m
 from holdfast.operators import positions as p
 from holdfast.operators import securities as s
-from holdfast.schemas import CLASS_RULES, RAW_TABLES,SECURITY_TYPE_COLUMNS, SECURITY_TYPES
+from holdfast.schemas import CLASS_RULES, RAW_TABLES, SECURITY_TYPE_COLUMNS, SECURITY_TYPES
 from holdfast.session import new_folder, prepare, shared_dir
 from holdfast.sources.sample import sample_tables
 from holdfast.sources.store import write_table
@@ -47,7 +47,7 @@ TABLES: dict[str, Table] = {
         lambda w: m.manager_dimension(w.submission, w.coverpage, w.othermanager, w.othermanager2, w.listings),
     ),
     "listing_dim": Table("managers", lambda w: m.listing_dimension(w.listings, w.sic, w.sic_as_of)),
-    "variants": Table("securities", lambda w: s.security_variants(w.infotable, w.coverpage)),
+    "variants": Table("securities", lambda w: s.security_variants(w.lines)),
     "current_variant": Table("securities", lambda w: s.current_variant(w.variants)),
     "line_totals": Table("canonical", lambda w: f.line_totals(w.infotable)),
     "filings": Table(
@@ -65,6 +65,9 @@ TABLES: dict[str, Table] = {
     "effective": Table(
         "canonical", lambda w: f.effective_filings(w.components, w.canonical, w.reconciliation)
     ),
+    "lines": Table(
+        "canonical", lambda w: f.enriched_lines(w.infotable, w.submission, w.coverpage, w.effective), "quarter_id", "manager_cik"
+    ),
     "classification": Table(
         "instruments",
         lambda w: s.classify_securities(
@@ -72,7 +75,7 @@ TABLES: dict[str, Table] = {
         ),
     ),
     "position_base": Table(
-        "instruments", lambda w: p.aggregate_positions(w.infotable, w.effective, w.classification)
+        "instruments", lambda w: p.aggregate_positions(w.lines, w.classification)
     ),
     "context": Table("instruments", lambda w: p.manager_quarter_context(w.position_base)),
     "positions": Table(
@@ -98,7 +101,7 @@ def stage_tables(stage: str) -> list[str]:
 # plan is still evaluated once; lost blocks are computed again from the inputs.
 REUSED = {
     "variants", "line_totals", "filings", "components", "effective", "classification", "position_base", "positions",
-    "changes", "security_action_activity",
+    "changes", "security_action_activity", "lines",
 }
 
 
@@ -161,11 +164,13 @@ class Warehouse:
             self.build(["infotable"], ["summarypage", "signature"], ["submission", "coverpage"], small)
 
     def build_dimensions_and_filings(self) -> None:
-        """Three stages that need nothing but inputs."""
-        self.build(*[stage_tables(s) for s in STAGES[:3]])
+        """Managers beside filings; spellings are counted on the lines that resolved filings have enriched."""
+        self.build(stage_tables("managers"), ["line_totals", "filings", "components"])
+        self.build(["canonical"], ["reconciliation"], ["calendar"])
+        self.build(["effective", "lines", "variants"])
 
     def build_facts(self) -> None:
-        self.build(["classification", "position_base", "context", "positions"])
+        self.build(["current_variant"], ["classification", "position_base", "context", "positions"])
         self.build(["instruments", "relationships"], ["manager_summary"], ["security_summary"], ["changes"])
         self.build(
             ["manager_activity"], ["manager_action_activity"], ["security_action_activity", "security_activity"]

@@ -582,6 +582,13 @@ TABLE = {
     "relationships": f"(SELECT {KEY}, MIN(quarter_id) AS first_observed_quarter_id, "
                      f"MAX(quarter_id) AS latest_observed_quarter_id, 1 AS is_active FROM d_pos GROUP BY ALL)",
     "instruments": f"(SELECT DISTINCT {INSTRUMENT}, 1 AS is_active FROM d_pos)",
+    "filings": "(SELECT *, CAST(NULL AS BIGINT) AS etl_batch_id FROM d_filings)",
+    "class_rule": "(SELECT rule_id, type_id AS security_type_id FROM c_rule)",
+    "filing_override": "(SELECT accession_number FROM d_filings WHERE has_information_table = 0 OR amendment_type = 'OTHER')",
+    "type_override": "(SELECT cusip, 3 AS security_type_id FROM d_current WHERE cusip = 'BRD000005')",
+    "batch": "(SELECT DISTINCT quarter_id AS etl_batch_id FROM d_filings)",
+    "batch_accession": "(SELECT quarter_id AS etl_batch_id, accession_number FROM d_filings)",
+    "batch_count": f"({counts()})",
 }
 
 

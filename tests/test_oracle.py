@@ -86,7 +86,7 @@ def test_hot_filing_is_split_when_both_sides_are_shuffled(spark, skewed):
     from holdfast.plans.warehouse import INPUTS, TABLES, Warehouse, sample_warehouse
 
     w = sample_warehouse(spark, skewed)
-    expected = w.position_base
+    expected = w.lines
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -103,7 +103,7 @@ def test_hot_filing_is_split_when_both_sides_are_shuffled(spark, skewed):
         for name in TABLES:
             fresh.adopt(name, w.table(name))
         fresh.adopt("infotable", w.infotable.repartition(16))
-        built = TABLES["position_base"].build(fresh)
+        built = TABLES["lines"].build(fresh)
         rows = built.collect()
         plan = built._jdf.queryExecution().executedPlan().toString()
     finally:

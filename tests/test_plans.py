@@ -58,7 +58,7 @@ def test_ranked_rows_are_limited_before_the_exchange(warehouse):
 
 def test_scans_read_only_what_they_need(warehouse):
     w = warehouse
-    plan = plan_of(p.aggregate_positions(w.infotable, w.effective, w.classification))
+    plan = plan_of(p.aggregate_positions(w.lines, w.classification))
     scan = next(x for x in plan.splitlines() if "FileScan" in x and "sshprnamt" in x)
     assert "nameofissuer" not in scan and "voting_auth_sole" not in scan
     quarter = plan_of(w.positions.filter("quarter_id = 202301").select("cusip"))
@@ -70,3 +70,36 @@ def test_holdings_need_no_join_of_facts(warehouse):
 
     plan = plan_of(held_and_left(warehouse))
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_lines_are_dealt_out_by_filing_once(shuffled):
+    """One exchange of lines by filing number in the whole graph; every other one of that key has aggregated before."""
+    w = shuffled
+    fresh = Warehouse(w.spark, {n: w.table(n) for n in INPUTS}, None)
+    for other in TABLES:
+        fresh.adopt(other, w.table(other))
+    found = {}
+    consumers = {name: TABLES[name].build(fresh) for name in TABLES}
+    consumers |= {name: CATALOG[name](fresh) for name in ("holding_variant", "analytics_holdings", "value_usd")}
+    for name, df in consumers.items():
+        lines = plan_of(df).splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning(accession_number" in line:
+                depth = re.match(r"[\s:+*()\d-]*", line).end()
+                below = []
+                for other in lines[i + 1 :]:
+                    if re.match(r"[\s:+*()\d-]*", other).end() <= depth:
+                        break
+                    below.append(other)
+                reads_lines = any("FileScan" in x and "infotable_sk" in x.split("ReadSchema", 1)[-1] or "FileScan" in x and "cusip:string" in x for x in below)
+                if reads_lines and not any("HashAggregate" in x for x in below):
+                    found[name] = found.get(name, 0) + 1
+    assert found == {"lines": 1}
+
+
+def test_late_headers_read_the_waiting_lines_only(warehouse):
+    from holdfast.operators import filings as f
+
+    w = warehouse
+    late = f.with_late_headers(w.lines, w.submission, w.coverpage, w.effective)
+    assert re.search(r"PartitionFilters: \[isnull\(quarter_id", plan_of(late))

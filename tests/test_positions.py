@@ -21,7 +21,8 @@ def facts(spark, filings, lines, classes=None):
         [(x, (classes or {}).get(x, 1), "RULE_VOTE") for x in cusips],
         "cusip string, security_type_id int, classification_method string",
     )
-    base = p.aggregate_positions(infotable, effective, classification)
+    lines = infotable.join(effective, "accession_number").selectExpr("*", "1 AS is_effective")
+    base = p.aggregate_positions(lines, classification)
     context = p.manager_quarter_context(base)
     return p.weigh_positions(base, context).cache(), context, classification
 

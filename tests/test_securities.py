@@ -101,7 +101,9 @@ def test_exact_and_contains_rules(spark):
 
 def test_missing_figi_matches_only_missing_figi(spark, warehouse):
     w = warehouse
-    rows = s.holding_identity(w.infotable, w.submission, w.coverpage, w.variants, w.manager_dim)
+    rows = s.with_variant_counts(s.holding_identity(w.lines, w.manager_dim), w.variants)
     assert rows.count() == w.infotable.count()
     assert rows.filter("variant_occurrence_count IS NULL").count() == 0
     assert rows.filter("figi IS NULL").count() > 0
+    ids = rows.select("cusip_variant_id", *s.VARIANT_KEY).distinct()
+    assert ids.filter("cusip_variant_id IS NULL").count() == 0 and ids.count() == ids.select("cusip_variant_id").distinct().count()

@@ -25,9 +25,17 @@ def test_runs_are_versioned_repeatable_and_resumable(spark, warehouse, folder):
     inputs = {n: warehouse.table(n) for n in INPUTS}
     with pytest.raises(LookupError):
         pipeline.run_pipeline(spark, inputs, folder, "instruments")
-    pipeline.run_pipeline(spark, inputs, folder)
+    accepted = (("unique", "infotable"),)  # the sample repeats line numbers
+    with pytest.raises(pipeline.NotPublished, match="unique infotable accession_number,infotable_sk"):
+        pipeline.run_pipeline(spark, inputs, folder)
+    assert pipeline.current_paths(spark, folder) == {}  # nothing is served
+    pipeline.run_pipeline(spark, inputs, folder, accept=accepted)
     first = pipeline.current_paths(spark, folder)
-    pipeline.run_pipeline(spark, inputs, folder, "instruments")
+    broken = inputs | {"signature": inputs["signature"].union(inputs["signature"].limit(1).withColumn("accession_number", F.lit("no such filing")))}
+    with pytest.raises(pipeline.NotPublished, match="reference signature accession_number of submission: 1"):
+        pipeline.run_pipeline(spark, broken, folder, "instruments", accept=accepted)
+    assert pipeline.current_paths(spark, folder) == first
+    pipeline.run_pipeline(spark, inputs, folder, "instruments", accept=accepted)
     second = pipeline.current_paths(spark, folder)
     assert first["filings"] == second["filings"] and first["positions"] != second["positions"]
     for name in ("positions", "changes", "manager_summary", "security_activity", "instruments"):
