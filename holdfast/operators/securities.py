@@ -83,8 +83,8 @@ def variant_id() -> Column:
 def matching_rule(rules: list[tuple] = CLASS_RULES) -> Column:
     """First rule in (priority, id) order that fits a spelling, as (rule_id, security_type_id) or NULL.
 
-    Rules are a reviewed list of a handful of rows held in code, so they become one
-    CASE expression instead of a join.
+    For the reviewed list of a handful of rows held in code: one CASE expression instead of a join.  A rule table goes
+    through ``ruled_by_table``.
     """
     text = {name: v.normalized_text(name) for name in ("titleofclass", "nameofissuer")}
 
@@ -105,14 +105,78 @@ def matching_rule(rules: list[tuple] = CLASS_RULES) -> Column:
     return F.coalesce(*branches)
 
 
-def rules_from_table(rules: DataFrame) -> list[tuple]:
-    """Active rules of a table that is maintained by hand, for ``matching_rule``.  The table does not grow with the filings."""
-    columns = ["rule_id", "priority", "field_name", "match_type", "match_pattern", "security_type_id"]
-    return [tuple(r) for r in rules.filter("is_active = 1").select(*columns).collect()]
+#: Length of the pieces that CONTAINS patterns are found by, and copies of REGEX rules that texts are dealt out to.
+GRAM, SPREAD = 3, 32
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Distinct pieces of ``size`` characters."""
+    last = F.length(text) - size + 1
+    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def active_rules(rules: DataFrame) -> DataFrame:
+    """(rule_id, priority, field, match_type, pattern, type_id) of active rules; an unknown kind or field fails the job."""
+    kind, field = F.upper("match_type"), F.lower("field_name")
+    wrong = F.raise_error(F.concat(F.lit("unknown match type or field in rule "), F.col("rule_id").cast("string")))
+    known = kind.isin("EXACT", "CONTAINS", "REGEX") & field.isin("titleofclass", "nameofissuer")
+    return rules.filter("is_active = 1").select(
+        F.col("rule_id").cast("int").alias("rule_id"), F.col("priority").cast("int").alias("priority"), field.alias("field"),
+        F.when(F.coalesce(known, F.lit(False)), kind).otherwise(wrong).alias("match_type"),
+        F.when(kind == "REGEX", F.concat(F.lit("(?i)"), "match_pattern")).otherwise(v.normalized_text("match_pattern")).alias("pattern"),
+        F.col("security_type_id").cast("int").alias("type_id"),
+    )
+
+
+def matches_of_texts(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """First rule in (priority, id) order for each distinct (field, text), as ``rule``; texts without one are left out.
+
+    EXACT patterns are found by an equi join.  A CONTAINS pattern is looked up by its piece of ``GRAM`` characters (all of
+    a shorter pattern) that the fewest texts have, and then compared.  Only REGEX patterns are tried on every text of their
+    field; the texts are dealt out to ``SPREAD`` copies of those rules, so that no task gets all texts of a field.
+    """
+    exact = texts.join(
+        rules.filter("match_type = 'EXACT'").withColumnRenamed("pattern", "text"), ["field", "text"]
+    ).select("field", "text", "priority", "rule_id", "type_id")
+
+    sizes = F.concat(F.array(F.lit("")), *[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])
+    pieces = texts.select("field", "text", F.explode(sizes).alias("gram"))
+    wanted = rules.filter("match_type = 'CONTAINS'").drop("match_type")
+    own = F.when(F.length("pattern") >= GRAM, _grams(F.col("pattern"), GRAM)).otherwise(F.array("pattern"))
+    of_rules = wanted.select("rule_id", "field", F.explode(own).alias("gram"))
+    common = pieces.join(of_rules.select("field", "gram").distinct(), ["field", "gram"], "left_semi")
+    frequency = common.groupBy("field", "gram").agg(F.count("*").alias("texts"))
+    rarest = of_rules.join(frequency, ["field", "gram"], "left").groupBy("rule_id").agg(
+        F.min(F.struct(F.coalesce("texts", F.lit(0).cast("bigint")).alias("texts"), "gram")).alias("anchor")
+    )
+    anchored = wanted.join(rarest.filter("anchor.texts > 0"), "rule_id").withColumn("gram", F.col("anchor.gram"))
+    contained = pieces.join(anchored, ["field", "gram"]).filter(F.contains("text", "pattern")).select(*exact.columns)
+
+    copies = rules.filter("match_type = 'REGEX'").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    dealt = texts.withColumn("copy", F.pmod(F.xxhash64("text"), F.lit(SPREAD)).cast("int"))
+    tried = dealt.join(copies, ["field", "copy"]).filter(F.rlike("text", F.col("pattern"))).select(*exact.columns)
+
+    first = F.min(F.struct("priority", "rule_id", "type_id")).alias("rule")
+    return exact.unionByName(contained).unionByName(tried).groupBy("field", "text").agg(first)
+
+
+def ruled_by_table(spellings: DataFrame, rules: DataFrame) -> DataFrame:
+    """``spellings`` with ``rule`` as ``matching_rule`` gives it, from a rule table of any length that never leaves Spark."""
+    fields = ("titleofclass", "nameofissuer")
+    spelled = spellings.withColumns({f"_{f}": v.normalized_text(f) for f in fields})
+    texts = spelled.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("text")) for f in fields]))).distinct()
+    best = matches_of_texts(texts, active_rules(rules))
+    for f in fields:
+        mine = best.filter(F.col("field") == f).select(F.col("text").alias(f"_{f}"), F.col("rule").alias(f"_rule_{f}"))
+        spelled = spelled.join(mine, f"_{f}", "left")
+    won = F.least(*[F.col(f"_rule_{f}") for f in fields])
+    rule = F.when(won.isNotNull(), F.struct(won["rule_id"].alias("rule_id"), won["type_id"].alias("security_type_id")))
+    return spelled.select(*spellings.columns, rule.alias("rule"))
 
 
 def classify_securities(
-    variants: DataFrame, overrides: DataFrame | None = None, rules: list[tuple] = CLASS_RULES
+    variants: DataFrame, overrides: DataFrame | None = None, rules: list[tuple] | DataFrame = CLASS_RULES
 ) -> DataFrame:
     """Class of each CUSIP: manual override, else the type most lines vote for, else unknown.
 
@@ -122,7 +186,8 @@ def classify_securities(
     spellings = variants.groupBy("cusip", "nameofissuer", "titleofclass").agg(
         F.sum("occurrence_count").alias("votes")
     )
-    voted = spellings.withColumn("rule", matching_rule(rules)).groupBy("cusip", "rule").agg(
+    ruled = ruled_by_table(spellings, rules) if isinstance(rules, DataFrame) else spellings.withColumn("rule", matching_rule(rules))
+    voted = ruled.groupBy("cusip", "rule").agg(
         F.sum("votes").alias("votes")
     )
     by_type = voted.groupBy("cusip", F.col("rule.security_type_id").alias("type_id")).agg(

@@ -476,6 +476,31 @@ def period_changes(w: Warehouse) -> DataFrame:
     return changes.period_changes(w.positions, FROM_QUARTER, TO_QUARTER)
 
 
+def sample_rules(w: Warehouse) -> DataFrame:
+    """A rule table of over 1,000 rows from the issuers' names, every fifth inactive, behind it the built-in rules."""
+    place, size, number = F.col("i"), F.col("k"), F.col("rule_id")
+    issuers = w.variants.select("nameofissuer").distinct().withColumn("i", F.explode(F.sequence(F.lit(1), F.length("nameofissuer"))))
+    text = F.concat_ws(":", "nameofissuer", place, size)
+    made = (
+        issuers.withColumn("k", F.explode(F.array(F.lit(4), F.lit(6))))
+        .withColumn("rule_id", F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("int"))
+        .select(
+            "rule_id", (number % 97 + 10).alias("priority"), F.lit("NAMEOFISSUER").alias("field_name"),
+            F.when(number % 4 == 0, "EXACT").otherwise("CONTAINS").alias("match_type"),
+            F.when(number % 4 == 0, F.lower("nameofissuer")).otherwise(F.substring("nameofissuer", place, size)).alias("match_pattern"),
+            F.get(F.array(*map(F.lit, (1, 2, 3, 4, 8, 9))), F.floor(number / 4).cast("int") % 6).alias("security_type_id"),
+            F.when(number % 5 == 0, 0).otherwise(1).alias("is_active"),
+        )
+    )
+    builtin = w.spark.createDataFrame([(i, p + 100, f, m, x, t, 1) for i, p, f, m, x, t in CLASS_RULES], made.schema)
+    return made.unionByName(builtin)
+
+
+@query
+def classify_rules(w: Warehouse) -> DataFrame:
+    return securities.classify_securities(w.variants, None, sample_rules(w))
+
+
 @query
 def rule_match(w: Warehouse) -> DataFrame:
     spellings = w.variants.select("cusip", "nameofissuer", "titleofclass").distinct()

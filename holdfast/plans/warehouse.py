@@ -71,7 +71,7 @@ TABLES: dict[str, Table] = {
     "classification": Table(
         "instruments",
         lambda w: s.classify_securities(
-            w.variants, w.type_overrides, CLASS_RULES if w.class_rules is None else s.rules_from_table(w.class_rules)
+            w.variants, w.type_overrides, CLASS_RULES if w.class_rules is None else w.class_rules
         ),
     ),
     "position_base": Table(

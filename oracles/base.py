@@ -51,6 +51,24 @@ def big(e: str) -> str:
     return f"CAST({e} AS BIGINT)"
 
 
+def _votes(ruled: str) -> str:
+    """Classes by weighted votes over spellings with their rule."""
+    return f"""
+        SELECT t.cusip, CAST(COALESCE(b.type_id, 99) AS INTEGER) AS security_type_id,
+          CASE WHEN b.type_id IS NULL THEN 'UNKNOWN' ELSE 'RULE_VOTE' END AS classification_method,
+          CAST(b.rule_id AS INTEGER) AS selected_rule_id, {big('t.n')} AS total_occurrence_count,
+          {big('COALESCE(t.matched, 0)')} AS matched_occurrence_count,
+          {big('COALESCE(b.type_n, 0)')} AS winning_occurrence_count,
+          CAST(COALESCE(b.type_n, 0) AS DOUBLE) / t.n AS classification_confidence
+        FROM (SELECT cusip, SUM(n) AS n, SUM(n) FILTER (type_id IS NOT NULL) AS matched FROM {ruled} GROUP BY cusip) t
+        LEFT JOIN (
+          SELECT * FROM (
+            SELECT cusip, type_id, rule_id, rule_n, SUM(rule_n) OVER (PARTITION BY cusip, type_id) AS type_n
+            FROM (SELECT cusip, type_id, rule_id, SUM(n) AS rule_n FROM {ruled} WHERE type_id IS NOT NULL GROUP BY ALL) v
+          ) u
+          QUALIFY ROW_NUMBER() OVER (PARTITION BY cusip ORDER BY type_n DESC, type_id, rule_n DESC, rule_id) = 1) b USING (cusip)"""
+
+
 QUALITY = "CASE {0} WHEN 0 THEN 'OK' WHEN 1 THEN 'ROUNDING_DIFFERENCE' ELSE 'ISSUE' END"
 INSTRUMENT = "cusip, security_type_id, option_type, amount_type"
 KEY = f"manager_cik, {INSTRUMENT}"
@@ -165,20 +183,26 @@ CTES: dict[str, str] = {
         FROM d_spellings s LEFT JOIN c_rule r
           ON REGEXP_MATCHES(CASE r.field WHEN 'titleofclass' THEN s.class_text ELSE s.issuer_text END, r.pattern, 'i')
         QUALIFY ROW_NUMBER() OVER (PARTITION BY s.cusip, s.nameofissuer, s.titleofclass ORDER BY r.priority) = 1""",
-    "d_class": f"""
-        SELECT t.cusip, CAST(COALESCE(b.type_id, 99) AS INTEGER) AS security_type_id,
-          CASE WHEN b.type_id IS NULL THEN 'UNKNOWN' ELSE 'RULE_VOTE' END AS classification_method,
-          CAST(b.rule_id AS INTEGER) AS selected_rule_id, {big('t.n')} AS total_occurrence_count,
-          {big('COALESCE(t.matched, 0)')} AS matched_occurrence_count,
-          {big('COALESCE(b.type_n, 0)')} AS winning_occurrence_count,
-          CAST(COALESCE(b.type_n, 0) AS DOUBLE) / t.n AS classification_confidence
-        FROM (SELECT cusip, SUM(n) AS n, SUM(n) FILTER (type_id IS NOT NULL) AS matched FROM d_ruled GROUP BY cusip) t
-        LEFT JOIN (
-          SELECT * FROM (
-            SELECT cusip, type_id, rule_id, rule_n, SUM(rule_n) OVER (PARTITION BY cusip, type_id) AS type_n
-            FROM (SELECT cusip, type_id, rule_id, SUM(n) AS rule_n FROM d_ruled WHERE type_id IS NOT NULL GROUP BY ALL) v
-          ) u
-          QUALIFY ROW_NUMBER() OVER (PARTITION BY cusip ORDER BY type_n DESC, type_id, rule_n DESC, rule_id) = 1) b USING (cusip)""",
+    "d_class": _votes("d_ruled"),
+    "d_rulebook": """
+        SELECT id AS rule_id, 10 + id % 97 AS priority, CASE WHEN id % 4 = 0 THEN 'EXACT' ELSE 'CONTAINS' END AS match_type,
+          TRIM(UPPER(CASE WHEN id % 4 = 0 THEN nameofissuer ELSE SUBSTR(nameofissuer, i, k) END)) AS pattern,
+          [1, 2, 3, 4, 8, 9][id // 4 % 6 + 1] AS type_id
+        FROM (SELECT *, CAST('0x' || SUBSTR(MD5(nameofissuer || ':' || i || ':' || k), 1, 7) AS BIGINT) AS id FROM
+          (SELECT *, UNNEST([4, 6]) AS k FROM (SELECT *, UNNEST(RANGE(1, LENGTH(nameofissuer) + 1)) AS i FROM
+            (SELECT DISTINCT nameofissuer FROM d_variants) x) y) z) u
+        WHERE id % 5 <> 0""",
+    "d_booked": """
+        SELECT s.cusip, s.nameofissuer, s.titleofclass, s.n, r.rule_id, r.type_id
+        FROM d_spellings s LEFT JOIN (
+          SELECT t.issuer_text, t.class_text, b.rule_id, b.type_id, b.priority FROM (SELECT DISTINCT issuer_text, class_text FROM d_spellings) t
+          JOIN d_rulebook b ON CASE b.match_type WHEN 'EXACT' THEN t.issuer_text = b.pattern ELSE CONTAINS(t.issuer_text, b.pattern) END
+          UNION ALL
+          SELECT t.issuer_text, t.class_text, c.rule_id, c.type_id, c.priority + 100 FROM (SELECT DISTINCT issuer_text, class_text FROM d_spellings) t
+          JOIN c_rule c ON REGEXP_MATCHES(CASE c.field WHEN 'titleofclass' THEN t.class_text ELSE t.issuer_text END, c.pattern, 'i')) r
+          USING (issuer_text, class_text)
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY s.cusip, s.nameofissuer, s.titleofclass ORDER BY r.priority, r.rule_id) = 1""",
+    "d_bookclass": _votes("d_booked"),
     "d_typed": """
         SELECT l.*,
           CAST(CASE WHEN UPPER(l.putcall) = 'CALL' THEN 5 WHEN UPPER(l.putcall) = 'PUT' THEN 6

@@ -328,6 +328,7 @@ add("top10_weight", """
     SELECT manager_cik, quarter_id, SUM(portfolio_weight) AS top_10_weight FROM d_ranked WHERE place <= 10
     GROUP BY ALL""", "top_10_weight")
 add("classify", "SELECT * FROM d_class", "classification_confidence")
+add("classify_rules", "SELECT * FROM d_bookclass", "classification_confidence")
 add("classify_override", """
     SELECT cusip, CASE cusip WHEN 'BRD000005' THEN 3 ELSE security_type_id END AS security_type_id,
       CASE cusip WHEN 'BRD000005' THEN 'CUSIP_OVERRIDE' ELSE classification_method END AS classification_method,

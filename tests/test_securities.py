@@ -1,7 +1,11 @@
 """Variants, current spelling and classification."""
 
+import random
+
 import pytest
 
+from pyspark.sql import functions as F
+
 from holdfast.operators import securities as s
 from holdfast.schemas import CLASS_RULES
 from tests.conftest import dicts
@@ -73,23 +77,40 @@ def test_rule_patterns(spark, title, type_id):
     assert row.security_type_id == (type_id or 99)
 
 
-def test_rules_can_come_from_a_table(spark):
-    table = spark.createDataFrame(
-        [(*r, 1) for r in CLASS_RULES] + [(99, 0, "titleofclass", "CONTAINS", "COM", 4, 0)],
-        """rule_id int, priority int, field_name string, match_type string, match_pattern string,
-           security_type_id int, is_active int""",
-    )
-    assert sorted(s.rules_from_table(table)) == sorted(CLASS_RULES)
-
-
-def test_long_rule_tables_are_taken_whole(spark):
-    table = spark.range(1500).selectExpr(
-        "cast(id AS int) AS rule_id", "1 AS priority", "'TITLEOFCLASS' AS field_name", "'EXACT' AS match_type",
-        "concat('T', id) AS match_pattern", "2 AS security_type_id", "1 AS is_active",
-    )
-    rules = s.rules_from_table(table)
-    df = spark.createDataFrame([("t1499", "x")], "titleofclass string, nameofissuer string")
-    assert len(rules) == 1500 and df.select(s.matching_rule(rules).getField("rule_id")).first()[0] == 1499
+RULE = "rule_id int, priority int, field_name string, match_type string, match_pattern string, security_type_id int, is_active int"
+
+
+def test_rule_tables_match_as_the_expression_does(spark):
+    """Hundreds of random rules of all kinds against one CASE expression, with short, empty, blank and inactive patterns."""
+    rng = random.Random(4)
+    letters = "ABC "
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    rules = [
+        (i, rng.randrange(5), rng.choice(("titleofclass", "NAMEOFISSUER")), kind, text(rng.choice((0, 1, 2, 3, 4, 6))) if kind != "REGEX" else rf"\b{text(2).strip() or 'A'}+", rng.randrange(1, 9), int(rng.random() < 0.8))
+        for i in range(400) for kind in [("CONTAINS", "EXACT", "EXACT", "REGEX")[rng.randrange(4) if i % 10 else 3]] if kind != "CONTAINS" or i % 7 == 0
+    ]
+    rows = [(text(rng.randrange(9)) or None, text(rng.randrange(5)).lower()) for _ in range(300)] + [("x", "y"), (None, None)]
+    spellings = spark.createDataFrame(rows, "titleofclass string, nameofissuer string").repartition(3)
+    for some in (rules, rules[:40], [r for r in rules if r[3] != "CONTAINS" or r[4].strip()][:30], []):
+        expected = [(r[0], r[1], r[2].lower(), r[3], r[4], r[5]) for r in some if r[6]]
+        want = spellings.withColumn("rule", s.matching_rule(expected) if expected else F.lit(None).cast("struct<rule_id:int,security_type_id:int>"))
+        got = s.ruled_by_table(spellings, spark.createDataFrame(some, RULE))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_unknown_rule_kinds_fail(spark):
+    spellings = spark.createDataFrame([("A", "B")], "titleofclass string, nameofissuer string")
+    bad = spark.createDataFrame([(1, 1, "titleofclass", "LIKE", "A", 2, 1)], RULE)
+    with pytest.raises(Exception, match="unknown match type or field in rule 1"):
+        s.ruled_by_table(spellings, bad).collect()
+    off = spark.createDataFrame([(1, 1, "titleofclass", "LIKE", "A", 2, 0)], RULE)
+    assert s.ruled_by_table(spellings, off).first().rule is None
+
+
+def test_built_in_rules_as_a_table_classify_alike(spark, warehouse):
+    table = spark.createDataFrame([(*r, 1) for r in CLASS_RULES] + [(99, 0, "titleofclass", "CONTAINS", "COM", 4, 0)], RULE)
+    found = s.classify_securities(warehouse.variants, None, table)
+    assert sorted(map(str, found.collect())) == sorted(map(str, s.classify_securities(warehouse.variants).collect()))
 
 
 def test_exact_and_contains_rules(spark):
