@@ -40,12 +40,16 @@ def raw(w: Warehouse) -> dict[str, DataFrame]:
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """Doubles rounded and dates as ISO text, so that two engines print equal values."""
+    """Doubles with nine significant digits and dates as ISO text, so that two engines print equal values.
+
+    Sums of doubles depend on their order in the last digits; small weights and indexes keep all nine.  An average position
+    is one division of two whole numbers and stays as it is.
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
-        if isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, 2 if f.name.startswith("average_position") else 6)
+        if isinstance(f.dataType, T.DoubleType) and f.name != "average_position_value_usd":
+            c = F.when(c.isNotNull(), F.format_string("%.8e", c).cast("double"))
         elif isinstance(f.dataType, T.DateType):
             c = c.cast("string")
         out.append(c.alias(f.name))

@@ -411,7 +411,7 @@ def statement(query: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({CTES[name]})" for name in found) + "\n" + query
 
 
-def rounded(query: str, *columns: str, digits: int = 6) -> str:
-    """Doubles are compared after rounding."""
-    changes = ", ".join(f"ROUND({c}, {digits}) AS {c}" for c in columns)
+def significant(query: str, *columns: str) -> str:
+    """Doubles with nine significant digits, however small they are."""
+    changes = ", ".join(f"CAST(PRINTF('%.8e', {c}) AS DOUBLE) AS {c}" for c in columns)
     return f"SELECT * REPLACE ({changes}) FROM ({query}) q"

@@ -7,14 +7,14 @@ import re
 from holdfast.plans.catalog import CUT, FROM_QUARTER, TO_QUARTER
 from holdfast.schemas import RAW_SCHEMAS
 from holdfast.sources.sample import DUCKDB, mapping_sql
-from oracles.base import INSTRUMENT, KEY, NAME, QUALITY, SUMS, big, cik, div, label, prev, rounded, statement
+from oracles.base import INSTRUMENT, KEY, NAME, QUALITY, SUMS, big, cik, div, label, prev, significant, statement
 
 RAW = ("submission", "coverpage", "othermanager", "signature", "summarypage", "othermanager2", "infotable")
 ORACLES: dict[str, str] = {}
 
 
-def add(name: str, query: str, *doubles: str, digits: int = 6) -> None:
-    ORACLES[name] = statement(rounded(query, *doubles, digits=digits) if doubles else query)
+def add(name: str, query: str, *doubles: str) -> None:
+    ORACLES[name] = statement(significant(query, *doubles) if doubles else query)
 
 
 def text(c: str) -> str:
@@ -425,9 +425,8 @@ add("institution_identity", f"""
       {label('MIN(s.quarter_id)')} AS first_reportable_quarter, {label('MAX(s.quarter_id)')}
         AS latest_reportable_quarter
     FROM d_mgr m LEFT JOIN d_msum s ON s.manager_cik = m.cik GROUP BY ALL""")
-ROUND2 = "ROUND(average_position_value_usd, 2) AS average_position_value_usd"
 add("institution_snapshot", f"""
-    SELECT * REPLACE ({ROUND2}) FROM (
+    SELECT * FROM (
       SELECT s.* EXCLUDE (largest_cusip, largest_security_type_id, largest_option_type, largest_amount_type),
         {label('s.quarter_id')} AS quarter_label,
         {div('s.portfolio_value_usd', 's.instrument_count')} AS average_position_value_usd,
@@ -449,16 +448,16 @@ HISTORY = f"""
       COALESCE(a.net_value_change_usd, 0) AS net_value_change_usd,
       {div('COALESCE(a.gross_value_change_usd, 0)', '2 * s.portfolio_value_usd')} AS turnover_rate
     FROM d_msum s LEFT JOIN d_mact a USING (manager_cik, quarter_id)"""
-add("institution_history", f"SELECT * REPLACE ({ROUND2}) FROM ({HISTORY}) h", *WEIGHTS, "turnover_rate")
+add("institution_history", HISTORY, *WEIGHTS, "turnover_rate")
 add("behavior_metrics", f"""
-    SELECT manager_cik, average_turnover, ROUND(average_position, 2) AS average_position, buy_sell_ratio,
+    SELECT manager_cik, average_turnover, average_position, buy_sell_ratio,
       diversification FROM (
       SELECT manager_cik, AVG(COALESCE(turnover_rate, 0)) AS average_turnover,
         AVG(COALESCE(average_position_value_usd, 0)) AS average_position,
         {div('COALESCE(SUM(net_value_change_usd) FILTER (net_value_change_usd > 0), 0)',
              '-SUM(net_value_change_usd) FILTER (net_value_change_usd < 0)')} AS buy_sell_ratio,
         1 - COALESCE(LAST(top_10_weight ORDER BY quarter_id), 0) AS diversification
-      FROM ({HISTORY}) h GROUP BY manager_cik) b""", "average_turnover", "buy_sell_ratio", "diversification")
+      FROM ({HISTORY}) h GROUP BY manager_cik) b""", "average_turnover", "average_position", "buy_sell_ratio", "diversification")
 add("institution_holdings", """
     SELECT h.manager_cik, h.quarter_id, h.cusip, v.current_nameofissuer AS issuer,
       v.current_titleofclass AS title_of_class, t.security_type, h.option_type, h.market_value_usd, h.reported_amount,
@@ -485,14 +484,14 @@ add("security_identity", f"""
     LEFT JOIN c_type t ON t.security_type_id = k.security_type_id LEFT JOIN d_ssum s ON s.cusip = v.cusip
     GROUP BY ALL""", "classification_confidence")
 add("security_snapshot", f"""
-    SELECT * REPLACE ({ROUND2}) FROM (
+    SELECT * FROM (
       SELECT s.*, {label('s.quarter_id')} AS quarter_label,
         {div('s.total_value_usd', 's.manager_count')} AS average_position_value_usd,
         {NAME.format('s.largest_manager_cik')} AS largest_holder_name
       FROM d_ssum s LEFT JOIN d_mgr m ON m.cik = s.largest_manager_cik
       QUALIFY s.quarter_id = MAX(s.quarter_id) OVER (PARTITION BY s.cusip)) z""", "manager_concentration_hhi")
 add("security_history", f"""
-    SELECT * REPLACE ({ROUND2}) FROM (
+    SELECT * FROM (
       SELECT s.cusip, s.quarter_id, {label('s.quarter_id')} AS quarter_label, s.manager_count AS institution_count,
         s.total_value_usd AS institutional_value_usd, s.manager_concentration_hhi AS concentration_hhi,
         {div('s.total_value_usd', 's.manager_count')} AS average_position_value_usd,
