@@ -268,15 +268,8 @@ def effective_filings(components: DataFrame, canonical: DataFrame, reconciliatio
     )
 
 
-def enriched_lines(
-    infotable: DataFrame, submission: DataFrame, coverpage: DataFrame, effective: DataFrame
-) -> DataFrame:
-    """Every as-filed line with all that it inherits from its filing: the only join that deals lines out by filing.
-
-    Headers and resolution are put together per filing first.  The filing side has one row per number, so a join
-    partition of a filing with very many lines can be split.  A line whose filing has no submission or cover yet is
-    kept with NULL there; without a cover it has no quarter and waits in the partition of unknown quarters.
-    """
+def filing_headers(submission: DataFrame, coverpage: DataFrame, effective: DataFrame) -> DataFrame:
+    """One row per filing with all that its lines inherit: submission, cover, quarter and resolution."""
     cover = coverpage.select(
         "accession_number", "reportcalendarorquarter", "reporttype", "form13ffilenumber", "filingmanager_name",
         F.lit(1).alias("has_cover"),
@@ -286,20 +279,26 @@ def enriched_lines(
         F.lit(1).alias("has_submission"),
     )
     resolved = effective.drop(*MANAGER_QUARTER).withColumn("is_effective", F.lit(1))
-    headers = (
+    return (
         sent.join(cover, "accession_number", "full_outer").join(resolved, "accession_number", "left")
         .withColumn("quarter_id", v.quarter_key(v.filing_date("reportcalendarorquarter")))
     )
+
+
+def enriched_lines(infotable: DataFrame, headers: DataFrame) -> DataFrame:
+    """Every as-filed line with its filing's header: the only join that deals lines out by filing.
+
+    ``headers`` has one row per number and is a stored table, so both sides are exchanged for this join alone and a
+    partition of a filing with very many lines can be split.  A line whose filing has no submission or cover yet is
+    kept with NULL there; without a cover it has no quarter and waits in the partition of unknown quarters.
+    """
     return infotable.join(headers, "accession_number", "left")
 
 
-def with_late_headers(lines: DataFrame, submission: DataFrame, coverpage: DataFrame, effective: DataFrame) -> DataFrame:
+def with_late_headers(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """The lines of the unknown quarter again, with headers that have arrived meanwhile; the other partitions are not read."""
-    inherited = {"manager_cik", "filing_date", "submissiontype", "periodofreport", "reportcalendarorquarter", "reporttype",
-                 "form13ffilenumber", "filingmanager_name", "has_cover", "has_submission", "is_effective", "quarter_id", *effective.columns}
-    waiting = lines.filter("quarter_id IS NULL")
-    own = [c for c in lines.columns if c == "accession_number" or c not in inherited]
-    return enriched_lines(waiting.select(*own), submission, coverpage, effective).select(*lines.columns)
+    own = [c for c in lines.columns if c == "accession_number" or c not in headers.columns]
+    return enriched_lines(lines.filter("quarter_id IS NULL").select(*own), headers).select(*lines.columns)
 
 
 def canonical_holdings(lines: DataFrame, ready_only: bool = False) -> DataFrame:

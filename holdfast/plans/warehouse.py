@@ -65,9 +65,8 @@ TABLES: dict[str, Table] = {
     "effective": Table(
         "canonical", lambda w: f.effective_filings(w.components, w.canonical, w.reconciliation)
     ),
-    "lines": Table(
-        "canonical", lambda w: f.enriched_lines(w.infotable, w.submission, w.coverpage, w.effective), "quarter_id", "manager_cik"
-    ),
+    "headers": Table("canonical", lambda w: f.filing_headers(w.submission, w.coverpage, w.effective)),
+    "lines": Table("canonical", lambda w: f.enriched_lines(w.infotable, w.headers), "quarter_id", "manager_cik"),
     "classification": Table(
         "instruments",
         lambda w: s.classify_securities(
@@ -167,7 +166,7 @@ class Warehouse:
         """Managers beside filings; spellings are counted on the lines that resolved filings have enriched."""
         self.build(stage_tables("managers"), ["line_totals", "filings", "components"])
         self.build(["canonical"], ["reconciliation"], ["calendar"])
-        self.build(["effective", "lines", "variants"])
+        self.build(["effective", "headers", "lines", "variants"])
 
     def build_facts(self) -> None:
         self.build(["current_variant"], ["classification", "position_base", "context", "positions"])

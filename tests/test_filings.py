@@ -97,8 +97,8 @@ def test_lines_wait_for_late_headers(spark):
     sent = spark.createDataFrame([("a", "7", "03-JAN-2023", "13F-HR", "31-DEC-2022"), ("b", "8", "04-JAN-2023", "13F-HR", "31-DEC-2022")], "accession_number string, cik string, filing_date string, submissiontype string, periodofreport string")
     cover = spark.createDataFrame([("a", "31-DEC-2022", "R", None, "M"), ("b", "31-DEC-2022", "R", None, "M")], "accession_number string, reportcalendarorquarter string, reporttype string, form13ffilenumber string, filingmanager_name string")
     effective = spark.createDataFrame([("a", "0000000007", 202204, 1, 0, "MATCH", 1), ("b", "0000000008", 202204, 1, 0, "MATCH", 1)], "accession_number string, manager_cik string, quarter_id int, is_analytics_ready int, has_confidential_omission int, value_reconciliation_status string, value_multiplier bigint")
-    early = f.enriched_lines(lines, sent, cover.filter("accession_number = 'a'"), effective.filter("accession_number = 'a'"))
+    early = f.enriched_lines(lines, f.filing_headers(sent, cover.filter("accession_number = 'a'"), effective.filter("accession_number = 'a'")))
     assert {(r.accession_number, r.quarter_id, r.is_effective, r.has_submission) for r in early.collect()} == {("a", 202204, 1, 1), ("b", None, None, 1), ("c", None, None, None)}
-    late = f.with_late_headers(early, sent, cover, effective)
+    late = f.with_late_headers(early, f.filing_headers(sent, cover, effective))
     assert {(r.accession_number, r.quarter_id, r.is_effective, r.value) for r in late.collect()} == {("b", 202204, 1, 30), ("c", None, None, 40)}
     assert late.columns == early.columns

@@ -101,5 +101,5 @@ def test_late_headers_read_the_waiting_lines_only(warehouse):
     from holdfast.operators import filings as f
 
     w = warehouse
-    late = f.with_late_headers(w.lines, w.submission, w.coverpage, w.effective)
+    late = f.with_late_headers(w.lines, w.headers)
     assert re.search(r"PartitionFilters: \[isnull\(quarter_id", plan_of(late))
