@@ -17,13 +17,14 @@ from holdfast.session import new_folder
 #: Separators of ``[^\x20\x09-\x0D]+``: ASCII white space only, whatever Unicode calls a space.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: Rows per Arrow batch, so that a batch of very long texts still fits in a Python worker.
-BATCH_ROWS = 1000
+#: Rows and bytes per Arrow batch, so that a batch of very long texts still fits in a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Settings that every operator with Python workers relies on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
@@ -214,13 +215,8 @@ def numbered(df: DataFrame, label: str) -> DataFrame:
 
     Both are written with the rows, so they never change afterwards, also if executors are lost.
     """
-    step = F.lit(1 << 33)
-    return stored(
-        df.withColumn("_id", F.monotonically_increasing_id()).select(
-            *df.columns, (F.col("_id") / step).cast("long").alias("part"), (F.col("_id") % step).alias("idx")
-        ),
-        label,
-    )
+    ids = df.withColumn("_id", F.monotonically_increasing_id())  # the task above bit 33, its rows below
+    return stored(ids.select(*df.columns, F.shiftright("_id", 33).alias("part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("idx")), label)
 
 
 def salt() -> Column:

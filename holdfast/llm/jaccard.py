@@ -16,7 +16,7 @@ A document's set is its distinct shingles of ``N`` words (all its words if there
 
 Documents without words have an empty set and link with nothing.  Null ids are allowed: a component's id is the smallest
 id that is not null.  Repeated rows and ids are rows of their own and share a component.  Empty tables give empty results.
-Shingles are 64-bit hashes, compared by ``PACKED`` bytes of them; equal hashes of different shingles in one pair of documents,
+Shingles are 64-bit hashes; equal hashes of different shingles in one pair of documents,
 less than one pair in ten million at a thousand words, may shift its count by one.
 """
 
@@ -38,16 +38,15 @@ from holdfast.llm import common
 N, PERCENT = 5, 75
 #: Counters of the sketch: 4 MB whatever the corpus.  Counts beyond its noise are told apart; see ``_order``.
 SKETCH_BITS = 20
-#: Bits of Bloom filters (2 MB); a fuller one lets more rows through to the joins behind it, which are exact.
-BLOOM_BITS = 24
+#: Bits of Bloom filters as powers of two: 16 bits for each hash, 2 MB at least and 32 MB at most (beyond 16 million hashes a fuller
+#: filter lets more rows through to the joins behind it, which are exact).
+BLOOM_BITS, BLOOM_MOST = 24, 28
 
 #: Cells of the coarsest parity, as a power of two; every parity can be folded to these.
 PARITY_BITS = 10
 
-#: Bytes of each hash that sets are sent with.
-PACKED = 5
-#: Hashes that one task of the search for shared hashes holds, about.
-HELD = 4_000_000
+#: Hashes that one task of the search for shared hashes holds, about, and ranges of hashes that it is dealt out over.
+HELD, RANGES = 4_000_000, 4096
 _LONGS = T.ArrayType(T.LongType(), False)
 
 
@@ -176,7 +175,8 @@ def shared_postings(rows: DataFrame, reps: DataFrame) -> DataFrame:
     ``share`` is about the part of the whole prefix that is shared, and ranks centres only.
 
     Most prefix shingles stand in one document only.  To leave them out, tasks send their distinct hashes, packed, to one task for
-    each range of hashes, which knows those that came twice; a Bloom filter of these keeps the rest out of the join.
+    each range of hashes, which knows those that came twice; a Bloom filter of these keeps the rest out of the join.  A task makes a
+    packed row for each range, so beyond ``RANGES`` ranges the hashes are counted as rows of their own.
     """
     spark = rows.sparkSession
     total = rows.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
@@ -209,9 +209,12 @@ def shared_postings(rows: DataFrame, reps: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(values[times > 1].view(np.int64), pa.int64())], names=["gram"])
 
     prefixes = rows.where("prefix is not null").select("prefix")
-    grams = prefixes.mapInArrow(send, "range int, grams binary").groupBy("range").applyInArrow(twice, "gram long")
+    if ranges <= RANGES:
+        grams = prefixes.mapInArrow(send, "range int, grams binary").groupBy("range").applyInArrow(twice, "gram long")
+    else:
+        grams = prefixes.select(F.explode("prefix").alias("gram")).groupBy("gram").count().where("count > 1").select("gram")
     grams = common.stored(grams, "shared")
-    seen = spark.sparkContext.broadcast(_bloom(grams.select(F.col("gram").alias("h"))))
+    seen = spark.sparkContext.broadcast(_bloom(grams.select(F.col("gram").alias("h")), grams.count()))
 
     def keep(batches):
         for batch in batches:
@@ -235,20 +238,20 @@ def shared_postings(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return out
 
 
-def _bloom(hashes: DataFrame) -> np.ndarray:
-    """Bit table of the top bits of the hashes ``h``; at most ``2 ** BLOOM_BITS / 64`` rows reach the driver, one by one."""
-    bit = F.shiftrightunsigned("h", 64 - BLOOM_BITS)
+def _bloom(hashes: DataFrame, n: int) -> np.ndarray:
+    """Bit table of the top bits of the hashes ``h``, at most ``n`` ones; words of the table that have bits reach the driver, in Arrow."""
+    bits = min(max(BLOOM_BITS, (16 * n).bit_length()), BLOOM_MOST)
+    bit = F.shiftrightunsigned("h", 64 - bits)
     cells = hashes.groupBy((bit / 64).cast("int").alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("b")
     )
-    bits = np.zeros((1 << BLOOM_BITS) // 64, np.uint64)
-    for w, b in cells.toLocalIterator():
-        bits[w] = np.uint64(b & 0xFFFFFFFFFFFFFFFF)
-    return bits
+    out, found = np.zeros((1 << bits) // 64, np.uint64), cells.toArrow()
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return out
 
 
 def _in_bloom(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes >> np.uint64(64 - BLOOM_BITS)
+    bit = hashes >> np.uint64(64 - (64 * len(bits)).bit_length() + 1)
     return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -284,9 +287,9 @@ def _filtered(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def _sets(docs: DataFrame, uids: DataFrame) -> DataFrame:
-    """(uid, set): packed sets of the texts whose uid a Bloom filter of ``uids`` lets through, once in each task."""
-    seen = docs.sparkSession.sparkContext.broadcast(_bloom(uids.select(_uid_hash().alias("h"))))
+def _sets(docs: DataFrame, uids: DataFrame, n: int) -> DataFrame:
+    """(uid, set): packed sets of the texts whose uid a Bloom filter of the ``uids`` (``n`` at most) lets through, once in each task."""
+    seen = docs.sparkSession.sparkContext.broadcast(_bloom(uids.select(_uid_hash().alias("h")), n))
 
     def run(batches):
         bits, done = seen.value, set()
@@ -299,31 +302,19 @@ def _sets(docs: DataFrame, uids: DataFrame) -> DataFrame:
                     if len(done) < 200_000:
                         done.add(key)
                     uid.append(key)
-                    sets.append(_packed(shingles(words)))
+                    sets.append(shingles(words).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(uid, pa.binary()), pa.array(sets, pa.binary())], names=["uid", "set"])
 
     rows = docs.select(F.col("text").cast("binary").alias("data")).mapInArrow(run, "uid binary, set binary")
     return rows.groupBy("uid").agg(F.first("set").alias("set"))
 
 
-def _packed(sets: np.ndarray) -> bytes:
-    return sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // PACKED, 8), np.uint8)
-    out[:, :PACKED] = np.frombuffer(data, np.uint8).reshape(-1, PACKED)
-    return out.view("<u8").ravel()
-
-
 def _similar(batches):
     for batch in batches:
         rows = {n: batch.column(n).to_pylist() for n in ("s_a", "s_b", "n_a", "n_b")}
-        keep, apart, last, b = [], [], None, None
+        keep, apart = [], []
         for s_a, s_b, n, m in zip(*(rows[k] for k in ("s_a", "s_b", "n_a", "n_b")), strict=True):
-            if s_b is not last and s_b != last:
-                last, b = s_b, _unpacked(s_b)
-            both = len(np.intersect1d(_unpacked(s_a), b))
+            both = len(np.intersect1d(np.frombuffer(s_a, np.uint64), np.frombuffer(s_b, np.uint64), assume_unique=True))
             keep.append(100 * both >= PERCENT * (n + m - both))
             apart.append(n + m - 2 * both)
         columns = [batch.column("a"), batch.column("b"), pa.array(apart, pa.int64())]
@@ -339,10 +330,11 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     row, the other side is split like any skewed key.
     """
     pairs = common.stored(pairs, "pairs")
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return pairs.select("a", "b", F.lit(0).cast("long").alias("apart"))
-    hubs = common.stored(_sets(docs, pairs.select(F.col("u_b").alias("uid")).distinct()), "hubs")
-    members = _sets(docs, pairs.select(F.col("u_a").alias("uid")).distinct())
+    hubs = common.stored(_sets(docs, pairs.select(F.col("u_b").alias("uid")).distinct(), n), "hubs")
+    members = _sets(docs, pairs.select(F.col("u_a").alias("uid")).distinct(), n)
     left = pairs.join(members.select(F.col("uid").alias("u_a"), F.col("set").alias("s_a")), "u_a").drop("u_a")
     both = left.join(hubs.select(F.col("uid").alias("u_b"), F.col("set").alias("s_b")), "u_b").drop("u_b")
     links = common.stored(both.mapInArrow(_similar, "a long, b long, apart long"), "links")
@@ -371,12 +363,15 @@ def components(links: DataFrame) -> DataFrame:
         return moved.where("a <> b").distinct()
 
     edges, before = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), None
+    last = None
     while True:
         edges = common.stored(star(star(edges, True), False), "star")
+        if last is not None:
+            common.dropped(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, last = now, edges
     low = edges.groupBy("a").agg(F.min("b").alias("m"))
     found = low.select(F.col("a").alias("rid"), F.col("m").alias("comp"))
     return found.union(low.select("m", "m").distinct())
@@ -393,11 +388,16 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = postings.join(lists, "gram").select("rid", F.explode(F.array_distinct("hubs")).alias("hub")).where("rid <> hub")
     # Of the hubs that a row meets the one that it shares most with; whatever that misses is found across components.
     star = star.groupBy("rid", "hub").count().groupBy("rid").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-    star = star.select(F.col("rid").alias("a"), F.col("hub").alias("b"))
+    star = common.stored(star.select(F.col("rid").alias("a"), F.col("hub").alias("b")), "stars")
     links = _verified(docs, _filtered(star, rows))
     found = common.stored(components(links), "found")
-    more = _verified(docs, _filtered(_across(postings, found, links, rows), rows))
+    # What the star has judged is not judged again.
+    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _across(postings, found, links, rows).join(done, ["a", "b"], "left_anti")
+    more = _verified(docs, _filtered(more, rows))
+    common.dropped(postings, star)
     whole = common.stored(components(links.union(more)), "whole")
+    common.dropped(found)
     return rows, reps.select("rid", "uid").join(whole, "rid").select("uid", "comp")
 
 
@@ -421,31 +421,41 @@ def _anchored(postings: DataFrame, found: DataFrame, links: DataFrame) -> DataFr
 
 
 def _anchor_pairs(sides: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (g, h, between) of anchors some of whose rows may link; ``between`` is a lower bound of their distance.
+    """Stored (gram, g, h, between, and bounds of h's rows) of anchors some of whose rows may link and have ``gram`` first in common.
+
+    A pair has to be found only in the list of the first shingle, in the order of all prefixes, that its sets share.  All that
+    they share stands there or behind, so the shorter rest of both has to reach the overlap that a link needs: texts that share a
+    frequent passage, which stands last, never meet in its lists unless the passage alone could link them.
 
-    By the triangle inequality rows of two anchors can link only if the anchors, whose parities bound their distance from below, are
-    no further apart than a link and the way from each row to its anchor.
+    ``between`` is a lower bound of the anchors' distance.  By the triangle inequality rows of two anchors can link only if the anchors,
+    whose parities bound their distance from below, are no further apart than a link and the way from each row to its anchor.
     """
     groups = sides.groupBy("gram", "comp", "anchor", "minor").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max("at").alias("at"),
-        F.max(F.col("n") - F.col("at")).alias("rest"), F.min("rid").alias("low"), F.max("rid").alias("high"),
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("rest"),
+        F.min("rid").alias("low"), F.max("rid").alias("high"),
     )
     a, b = groups.where("minor").alias("x"), groups.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    possible = F.least(x("at"), y("at")) + F.least(x("rest"), y("rest"))
     on = (
         (x("gram") == y("gram")) & (x("comp") != y("comp")) & (~y("minor") | (x("low") < y("high")))
         & (100 * x("most") >= PERCENT * y("least")) & (100 * y("most") >= PERCENT * x("least"))
-        & (possible >= _overlap_needed(x("least"), y("least")))
+        & (F.least(x("rest"), y("rest")) >= _overlap_needed(x("least"), y("least")))
     )
-    met = a.join(b, on).select(x("anchor").alias("g"), y("anchor").alias("h"))
-    met = met.distinct()
+    met = a.join(b, on).select(
+        x("gram").alias("gram"), x("anchor").alias("g"), y("anchor").alias("h"),
+        y("least").alias("h_least"), y("most").alias("h_most"), y("rest").alias("h_rest"),
+    )
+    met = common.stored(met, "met")
     # How far an anchor's rows reach, times 100 + PERCENT: linked sets are at most 100 - PERCENT apart for each shingle of both.
     reach = sides.groupBy("anchor").agg(F.max((100 - PERCENT) * F.col("n") + (100 + PERCENT) * F.col("apart")).alias("step"))
     reach = reach.join(rows.select(F.col("rid").alias("anchor"), "bits"), "anchor")
+    near = met.select("g", "h").distinct()
     for side in "gh":
-        met = met.join(reach.select(F.col("anchor").alias(side), F.col("step").alias(f"s_{side}"), F.col("bits").alias(f"p_{side}")), side)
-    return met.select("g", "h", "s_g", "s_h", "p_g", "p_h").mapInArrow(_within_reach, "g long, h long, between long")
+        near = near.join(reach.select(F.col("anchor").alias(side), F.col("step").alias(f"s_{side}"), F.col("bits").alias(f"p_{side}")), side)
+    near = near.select("g", "h", "s_g", "s_h", "p_g", "p_h").mapInArrow(_within_reach, "g long, h long, between long")
+    out = common.stored(met.join(near, ["g", "h"]), "anchors")
+    common.dropped(met)
+    return out
 
 
 def _within_reach(batches):
@@ -471,17 +481,21 @@ def _with_parity(side: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _across(postings: DataFrame, found: DataFrame, links: DataFrame, rows: DataFrame) -> DataFrame:
-    """Distinct pairs of a list's members in different components that pass the length, positional and suffix filters.
+    """Stored distinct pairs of a list's members in different components that pass the length, positional and suffix filters.
 
     All filters are conditions of the join, so what they drop is never written.  Anchors meet first, so a group of near copies meets a text that shares a passage with all of them once.
     """
     sides = _anchored(postings, found, links)
-    near = common.stored(_anchor_pairs(sides, rows), "anchors")
-    one = sides.where("minor").join(near.withColumnRenamed("g", "anchor"), "anchor")
-    other = sides.join(one.select("gram", F.col("h").alias("anchor")).distinct(), ["gram", "anchor"])
+    near = _anchor_pairs(sides, rows)
+    n, rest = F.col("n"), F.col("n") - F.col("at")
+    one = sides.where("minor").join(near.withColumnRenamed("g", "anchor"), ["gram", "anchor"]).where(
+        (100 * n >= PERCENT * F.col("h_least")) & (100 * F.col("h_most") >= PERCENT * n)
+        & (F.least(rest, F.col("h_rest")) >= _overlap_needed(n, F.col("h_least")))
+    ).drop("h_least", "h_most", "h_rest")
+    other = sides.join(near.select("gram", F.col("h").alias("anchor")).distinct(), ["gram", "anchor"])
     a, b = (_with_parity(side, rows).alias(name) for side, name in ((one, "x"), (other, "y")))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    possible = F.least(x("at"), y("at")) + F.least(x("n") - x("at"), y("n") - y("at"))
+    possible = F.least(x("n") - x("at"), y("n") - y("at"))  # in the list of the first shingle that both have
     differ = sum(F.bit_count(x("folded")[i].bitwiseXOR(y("folded")[i])) for i in range((1 << PARITY_BITS) // 64))
     on = (
         (x("gram") == y("gram")) & (x("h") == y("anchor")) & (x("comp") != y("comp")) & (~y("minor") | (x("rid") < y("rid")))
@@ -489,7 +503,10 @@ def _across(postings: DataFrame, found: DataFrame, links: DataFrame, rows: DataF
         & ((100 + PERCENT) * (x("between") - x("apart") - y("apart")) <= (100 - PERCENT) * (x("n") + y("n")))
         & ((100 + PERCENT) * differ <= (100 - PERCENT) * (x("n") + y("n")))
     )
-    return a.join(b, on).select(x("rid").alias("a"), y("rid").alias("b")).distinct()
+    pairs = a.join(b, on).select(F.least(x("rid"), y("rid")).alias("a"), F.greatest(x("rid"), y("rid")).alias("b")).distinct()
+    pairs = common.stored(pairs, "across")
+    common.dropped(sides, near)
+    return pairs
 
 
 def clusters(docs: DataFrame) -> DataFrame:
@@ -525,7 +542,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Texts of components of one row pass without a shuffle, by a Bloom filter of the others.
     """
     result = common.stored(clusters(docs).where("several").select("rid", "doc_id", "uid", "kept"), "several")
-    seen = docs.sparkSession.sparkContext.broadcast(_bloom(result.select(_uid_hash().alias("h"))))
+    seen = docs.sparkSession.sparkContext.broadcast(_bloom(result.select(_uid_hash().alias("h")), result.count()))
     doc = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").cast("binary").alias("data"))
 
     def marks(batch: pa.RecordBatch) -> list[pa.Array]:

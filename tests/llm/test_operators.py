@@ -442,3 +442,37 @@ def test_word_hashes_follow_the_words():
             assert {w: h for w, h in zip(words, hashes)} == {w: kind.hashes(w)[0] for w in words}
     far = b"ab " * 200_000 + b"q" * 600_000 + b" ab"
     assert len(set(common.SPACED.hashes(far).tolist())) == 2
+
+
+def _families(spark, families):
+    """Families of four near copies of 40 own words, all around one passage of 200 words: 0.7 similar from family to family."""
+    passage, rows = [f"p{i}" for i in range(200)], []
+    for f in range(families):
+        own = [f"f{f}w{i}" for i in range(40)]
+        for c in range(4):
+            words = [*own[:20], *passage, *own[20:]]
+            words[3] = f"f{f}c{c}"
+            rows.append((4 * f + c, " ".join(words)))
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_jaccard_families_around_a_passage_do_not_meet_each_other(spark, monkeypatch):
+    made, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, label: made.append((label, out := stored(df, label))) or out)
+    counts, dropped = [], common.dropped
+    monkeypatch.setattr(common, "dropped", lambda *dfs: [counts.append((label, df.count())) for label, df in made if any(df is d for d in dfs)] or dropped(*dfs))
+    seen = {}
+    for families in (15, 30, 60):
+        made.clear(), counts.clear()
+        found = jaccard.components_of(_families(spark, families)).collect()
+        assert {(r.doc_id, r.component_id) for r in found} == {(i, i // 4 * 4) for i in range(4 * families)}
+        for label, n in counts:
+            seen.setdefault(label, []).append(n)
+    for label in ("met", "anchors"):
+        assert seen[label][2] <= 5 * max(seen[label][0], 15), seen
+
+
+def test_jaccard_counts_hashes_as_rows_beyond_the_ranges(docs, monkeypatch):
+    expected = sorted(map(tuple, jaccard.components_of(docs).collect()), key=str)
+    monkeypatch.setattr(jaccard, "RANGES", 1)
+    assert sorted(map(tuple, jaccard.components_of(docs).collect()), key=str) == expected
