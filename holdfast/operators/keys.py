@@ -25,6 +25,39 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("row_count")).filter("row_count > 1")
 
 
+def after(order: list[tuple[str, bool]], last: dict) -> Column:
+    """Whether a row comes after ``last`` in a total order of (column, descending), nulls first upwards and last downwards.
+
+    Its first part speaks of the leading column alone, so the scan can skip what lies before it.
+    """
+
+    def beyond(name: str, descending: bool, or_same: bool = False) -> Column:
+        c, value = F.col(name), F.lit(last[name])
+        if last[name] is None:
+            found = F.lit(False) if descending else c.isNotNull()
+            return found | c.isNull() if or_same else found
+        if descending:
+            return (c <= value if or_same else c < value) | c.isNull()
+        return c >= value if or_same else c > value
+
+    out, same = F.lit(False), F.lit(True)
+    for name, descending in order:
+        out = out | (same & beyond(name, descending))
+        same = same & F.col(name).eqNullSafe(F.lit(last[name]))
+    return beyond(*order[0], or_same=True) & out
+
+
+def page_after(df: DataFrame, order: list[tuple[str, bool]], last: dict | None, size: int) -> DataFrame:
+    """The ``size`` rows that follow ``last``, the last row of the page before (none: the first page).
+
+    Each task and the driver keep ``size`` rows however far the page is from the start.
+    """
+    if size < 1:
+        raise ValueError("page size starts at 1")
+    rows = df if last is None else df.filter(after(order, last))
+    return rows.orderBy(*(F.col(n).desc() if descending else F.col(n).asc() for n, descending in order)).limit(size)
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page of a total order."""
     if number < 1 or size < 1:

@@ -588,6 +588,14 @@ def page(w: Warehouse) -> DataFrame:
     return institutions.rank_institutions(w, w.latest_quarter(), RankFilter(sort_by="holdings"), 2, 10)
 
 
+@query
+def page_after(w: Warehouse) -> DataFrame:
+    """The second page, found by the last row of the first one."""
+    f, quarter = RankFilter(sort_by="holdings"), w.latest_quarter()
+    first = institutions.institutions_after(w, None, quarter, f, 10).collect()  # ten rows
+    return institutions.institutions_after(w, first[-1].asDict(), quarter, f, 10) if first else page(w)
+
+
 @query
 def relationship_roles(w: Warehouse) -> DataFrame:
     return managers.relationship_roles(w.submission, w.othermanager, w.othermanager2)

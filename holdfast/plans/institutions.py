@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import values as v
 from holdfast.operators.changes import exited_positions
-from holdfast.operators.keys import first_n_per_key, page
+from holdfast.operators.keys import first_n_per_key, page, page_after
 from holdfast.plans.common import (
     equals, in_order, in_range, institution_name, manager_names, millions, percent, security_names, type_codes,
     valid_action, zero_if_missing,
@@ -194,6 +194,20 @@ def rank_institutions(
     return ranked.select(*INSTITUTION_COLUMNS)
 
 
+def institutions_after(
+    w: Warehouse, last: dict | None, quarter_id: int | None = None, f: RankFilter = RankFilter(), page_size: int = 25
+) -> DataFrame:
+    """The page of the ranking that follows the row ``last``, the last one shown (none: the first page)."""
+    key = f.sort_by or "portfolio"
+    if key not in INSTITUTION_ORDERS:
+        raise ValueError(f"unknown sort key {key!r}")
+    order = [("quarter_id", True), (INSTITUTION_ORDERS[key], f.descending), ("institution_name", False), ("cik", False)]
+    if last is not None:
+        weight = last["top_10_weight"]
+        last = last | {"weight_or_zero": 0.0 if weight is None else weight, "new_and_exited": last["new_count"] + last["exited_count"]}
+    return page_after(institution_rows(w, quarter_id, f), order, last, page_size).select(*INSTITUTION_COLUMNS)
+
+
 # ---- profile ---------------------------------------------------------------
 def institution_identity(w: Warehouse, cik: str | None = None) -> DataFrame:
     span = w.manager_summary.groupBy(F.col("manager_cik").alias("cik")).agg(

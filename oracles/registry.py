@@ -216,7 +216,8 @@ add("range_filters", f"""SELECT * FROM ({RANK}) r WHERE portfolio_value_usd BETW
     AND COALESCE(top_10_weight, 0) BETWEEN 0.2 AND 0.995""", *WEIGHTS)
 add("search_filter", f"""{RANK} WHERE LOWER(CONCAT_WS('|', s.manager_cik, m.manager_name, m.sec_company_name))
     LIKE '%manager 1%'""", *WEIGHTS)
-add("page", f"""SELECT * FROM ({RANK}) r WHERE quarter_id = (SELECT MAX(quarter_id) FROM d_msum)
+for _page in ("page", "page_after"):
+    add(_page, f"""SELECT * FROM ({RANK}) r WHERE quarter_id = (SELECT MAX(quarter_id) FROM d_msum)
     ORDER BY holding_count DESC, institution_name, cik LIMIT 10 OFFSET 10""", *WEIGHTS)
 add("sic_division", """
     SELECT s.cik, s.sic, v.division FROM r_sic s LEFT JOIN c_division v
