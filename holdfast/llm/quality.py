@@ -180,12 +180,13 @@ def judged(docs: DataFrame, labels: DataFrame, keep_row: bool = False) -> DataFr
     Texts are measured once, into a stored table; learning and judging read its narrow columns.
     """
     doc = F.struct(*(docs.columns if keep_row else ["doc_id"])).alias("doc")
-    rows = docs.select(doc, F.col("doc_id").alias("id"), stratum().alias("stratum"), "text")
+    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("text_key")
+    rows = docs.select(doc, F.col("doc_id").alias("id"), stratum().alias("stratum"), key, "text")
     rows = common.stored(measured(rows).drop("text").withColumn("base_failed", base_failed()), "measured")
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("id"))
     marks = marks.agg(F.max("quality").alias("quality")).where("quality = 1").select("id")
-    # What the base rules reject is out of the learned rules' reach.
-    good = rows.drop("doc").where(~F.col("base_failed")).join(marks, "id", "left_semi")
+    # What the base rules reject is out of the learned rules' reach.  Repeated rows and copies of a text are one trial, not several.
+    good = rows.drop("doc").where(~F.col("base_failed")).join(marks, "id", "left_semi").dropDuplicates(["stratum", "text_key"])
     cutoffs = certified(good).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))
     rows = rows.join(F.broadcast(cutoffs), "stratum", "left")  # at most len(STRATA) + 1 rows
     rejected = reduce(lambda a, b: a | b, [F.coalesce(exceeds(r, F.col("cut")[r]), F.lit(False)) for r in CHAINS])
@@ -232,7 +233,7 @@ m AS (SELECT d.rid, doc_id, stratum, len(w) AS n_words, CAST(length(array_to_str
     coalesce(tops.n, 0) AS n_frequent
     FROM d LEFT JOIN lines USING (rid) LEFT JOIN hit USING (rid) LEFT JOIN tops USING (rid)),
 v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-good AS (SELECT * FROM v WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+good AS (SELECT DISTINCT ON (stratum, t) * FROM v JOIN d USING (rid, doc_id, stratum) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
 tests AS ({tests}),
 tail AS (SELECT *, CASE WHEN k > n * {p!r} THEN 1.0 ELSE list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
     + i * ln({p!r}) + (n - i) * ln(1 - {p!r})) for i in range(0, k + 1)]) END AS prob FROM tests),
