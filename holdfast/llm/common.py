@@ -54,6 +54,11 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Rows that each name a file to be read, dealt out one by one: a count of partitions that is given is never merged."""
+    return files.repartition(max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

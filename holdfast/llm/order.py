@@ -2,8 +2,8 @@
 
 Documents become ids with a separator after each, packed into sequences of ``length`` ids (the last one of a task is
 filled up with separators).  Sequence ``g`` of ``n`` gets the slot that a keyed Feistel network assigns to it: a permutation of
-a power of four, walked until it falls below ``n``.  So the order is fixed by the key alone, needs no sort keys or tables,
-and can be inverted.  Slots are range-partitioned by shard, and each shard is a file of slots in order, two bytes per id:
+a power of four, walked until it falls below ``n``.  So the order of the sequences is fixed by the key, needs no sort keys or tables,
+and can be inverted; which documents a sequence holds depends on how the tasks divide the table.  Slots are range-partitioned by shard, and each shard is a file of slots in order, two bytes per id:
 slot ``s`` starts at byte ``(s % per_shard) * 2 * length`` of file ``s // per_shard``, so reading can resume anywhere.
 
 Null and empty texts are a separator only.  Texts of any length are cut over as many sequences as they need.  Repeated rows are
@@ -17,12 +17,12 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from holdfast.llm import common, files
 from holdfast.session import new_folder
@@ -31,6 +31,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The free id of the vocabulary.
 SEPARATOR = 50256
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 4096, 20240229, 6
+#: Rounds in which shards are written, so that only a part of all sequences is shuffled, and lies on the disks twice, at a time.
+WAVES = 3
 
 
 @lru_cache(maxsize=2)
@@ -136,17 +138,17 @@ def materialise(
     folder = folder or new_folder(spark, "shards")
     rows = packed(docs, length, path)
     counts = sorted(tuple(r) for r in rows.groupBy("part").count().collect())  # one row for each task of the packing
-    total, starts = 0, []
+    total, starts = 0, np.zeros(max((part for part, _ in counts), default=0) + 1, np.int64)  # eight bytes for each of these tasks
     for part, n in counts:
-        starts.append((part, total))
+        starts[part] = total
         total += n
-    starts = spark.createDataFrame(starts, "part long, start long")
 
-    def placed(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array(slots(batch.column("g").to_numpy(), total, key), pa.int64())]
+    def placed(part: pd.Series, idx: pd.Series) -> pd.Series:
+        return pd.Series(slots(starts[part.to_numpy()] + idx.to_numpy(), total, key))
 
-    rows = rows.join(F.broadcast(starts), "part").select((F.col("start") + F.col("idx")).alias("g"), "ids", "docs")
-    rows = rows.mapInArrow(common.by_batch(placed, ["slot"], ("g",)), common.extend(T.StructType(rows.schema.fields[1:]), ("slot", T.LongType())))
+    sequences = rows
+    # Only the numbers travel to the workers, and no sequence is shuffled before its shard is written.
+    rows = rows.select(F.pandas_udf(placed, "long")("part", "idx").alias("slot"), "ids", "docs")
     rows = rows.withColumn("shard", (F.col("slot") / per_shard).cast("long"))
 
     def write(batches):
@@ -170,8 +172,16 @@ def materialise(
         if out is not None:
             out.close()
 
-    dealt = rows.repartitionByRange("shard").sortWithinPartitions("slot").select("slot", "shard", "ids", "docs")
-    return common.stored(dealt.mapInArrow(write, f"slot long, shard long, offset long, crc32 long, docs {_DOCS}, uri string"), "index")
+    shards, index = -(-total // per_shard), None
+    for wave in range(min(WAVES, max(shards, 1))):
+        some = rows.where((F.col("shard") >= wave * shards // WAVES) & (F.col("shard") < (wave + 1) * shards // WAVES))
+        if shards < WAVES:
+            some = rows.where(F.col("shard") == wave)
+        dealt = some.repartitionByRange("shard").sortWithinPartitions("slot").select("slot", "shard", "ids", "docs")
+        written = common.stored(dealt.mapInArrow(write, f"slot long, shard long, offset long, crc32 long, docs {_DOCS}, uri string"), "index")
+        index = written if index is None else index.unionAll(written)
+    common.dropped(sequences)
+    return index
 
 
 def read(spark: SparkSession, index: DataFrame, first: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
@@ -195,7 +205,7 @@ def read(spark: SparkSession, index: DataFrame, first: int = 0, length: int = LE
                         begin += take
 
     shards = index.groupBy("uri", "shard").agg(F.count("*").alias("n")).where((F.col("shard") + 1) * per_shard > first)
-    return shards.mapInArrow(run, "slot long, ids binary")
+    return common.spread(spark, shards).mapInArrow(run, "slot long, ids binary")
 
 
 def ordered(docs: DataFrame) -> DataFrame:
