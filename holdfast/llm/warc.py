@@ -226,8 +226,7 @@ def read(spark: SparkSession, archives: DataFrame, payloads: bool = True) -> Dat
                         held, size = [], 0
                 yield rows(held)
 
-    spread = archives.select("uri").repartition(F.col("uri"))  # an archive is a row; their order does not matter
-    return spread.mapInArrow(run, ", ".join(f"{n} {_TYPES[t]}" for n, t in fields))
+    return common.spread(spark, archives.select("uri")).mapInArrow(run, ", ".join(f"{n} {_TYPES[t]}" for n, t in fields))
 
 
 def archived(pages: DataFrame) -> DataFrame:

@@ -135,6 +135,22 @@ def test_certified_cutoffs_reject_junk_and_keep_good(spark):
     assert all(kept[i] == bool(q) for i, q in marks)
 
 
+def test_quality_counts_a_repeated_label_once(spark):
+    text = "a good text of some words that nobody would ever want to reject at all"
+    one = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    others = [(i, " ".join(f"w{i}x{j}!" for j in range(30)), "en") for i in range(2, 22)]
+    docs = one.crossJoin(spark.range(5000)).drop("id").unionAll(one.withColumn("doc_id", F.lit(99).cast("long")))
+    docs = docs.unionAll(spark.createDataFrame(others, docs.schema))
+    found = quality.quality(docs, spark.createDataFrame([(1, 1), (99, 1)], "doc_id long, quality int"))
+    assert found.where("not kept").count() == 0 and found.count() == 5021
+
+
+def test_files_are_read_by_many_tasks(spark):
+    listed = spark.range(2000).select(F.col("id").cast("string").alias("uri"))
+    tasks = common.spread(spark, listed).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(tasks) > 4 and max(t["count"] for t in tasks) < 1000
+
+
 def brute_components(rows):
     sets = []
     for _, text in rows:
