@@ -395,14 +395,14 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _across(postings, found, links, rows).join(done, ["a", "b"], "left_anti")
     more = _verified(docs, _filtered(more, rows))
-    common.dropped(postings, star)
+    common.dropped(star)
     whole = common.stored(components(links.union(more)), "whole")
     common.dropped(found)
     return rows, reps.select("rid", "uid").join(whole, "rid").select("uid", "comp")
 
 
 def _anchored(postings: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
-    """Stored postings of the lists whose members are in several components, with ``comp``, ``minor``, ``anchor``, ``apart``.
+    """Stored postings of the lists whose members are in several components, with ``comp``, ``minor``, ``anchor``, ``apart``; drops ``postings``.
 
     ``minor`` marks rows outside of their list's main component; ``anchor`` is the hub that a row is linked to, else the row,
     and ``apart`` is how many shingles only one of both has.
@@ -412,10 +412,11 @@ def _anchored(postings: DataFrame, found: DataFrame, links: DataFrame) -> DataFr
     marked = postings.join(found.join(near, "rid", "left"), "rid", "left")
     marked = marked.withColumns({
         "comp": F.coalesce("comp", "rid"), "anchor": F.coalesce("anchor", "rid"), "apart": F.coalesce("apart", F.lit(0))})
-    mixed = marked.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
-    marked = common.stored(marked.join(mixed, "gram"), "mixed")
-    main = marked.groupBy("gram", "comp").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    sides = common.stored(marked.join(main, "gram").withColumn("minor", F.col("comp") != F.col("main")).drop("main"), "sides")
+    marked = common.stored(marked, "marked")
+    common.dropped(postings)
+    lists = marked.groupBy("gram", "comp").agg(F.count("*").alias("k")).groupBy("gram")
+    mixed = lists.agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1").drop("comps")
+    sides = common.stored(marked.join(mixed, "gram").withColumn("minor", F.col("comp") != F.col("main")).drop("main"), "sides")
     common.dropped(marked)
     return sides
 
@@ -434,6 +435,7 @@ def _anchor_pairs(sides: DataFrame, rows: DataFrame) -> DataFrame:
         F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("rest"),
         F.min("rid").alias("low"), F.max("rid").alias("high"),
     )
+    groups = common.stored(groups, "groups")
     a, b = groups.where("minor").alias("x"), groups.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     on = (
@@ -454,7 +456,7 @@ def _anchor_pairs(sides: DataFrame, rows: DataFrame) -> DataFrame:
         near = near.join(reach.select(F.col("anchor").alias(side), F.col("step").alias(f"s_{side}"), F.col("bits").alias(f"p_{side}")), side)
     near = near.select("g", "h", "s_g", "s_h", "p_g", "p_h").mapInArrow(_within_reach, "g long, h long, between long")
     out = common.stored(met.join(near, ["g", "h"]), "anchors")
-    common.dropped(met)
+    common.dropped(met, groups)
     return out
 
 
