@@ -173,14 +173,15 @@ def _key(columns: tuple[str, ...]) -> Column:
     return F.concat(*[x for t in texts for x in (F.length(t).cast("string"), F.lit(":"), t)])
 
 
-def reference_audit(table, references: list[Reference] = REFERENCES) -> DataFrame:
-    """Rows per foreign key whose non-NULL reference has no parent.  ``table`` maps a name to a DataFrame.
+def reference_audit(table, references: list[Reference] = REFERENCES, parent=None) -> DataFrame:
+    """Rows per foreign key whose non-NULL reference has no parent.  ``table`` maps a name to a DataFrame, ``parent`` the
+    name of a referenced table where the children are only parts of their tables.
 
     One scan of each child makes a row per reference, counted per key before anything is exchanged; one scan of each
     parent key gives the keys that exist; one anti join compares all of them.
     """
     parents = list(dict.fromkeys((r.parent, r.parent_columns) for r in references))
-    found = [table(p).select(F.lit(i).alias("parent"), _key(columns).alias("key")) for i, (p, columns) in enumerate(parents)]
+    found = [(parent or table)(p).select(F.lit(i).alias("parent"), _key(columns).alias("key")) for i, (p, columns) in enumerate(parents)]
     children: dict[str, list[Column]] = {}
     for i, r in enumerate(references):
         entry = F.struct(F.lit(i).alias("reference"), F.lit(parents.index((r.parent, r.parent_columns))).alias("parent"), _key(r.columns).alias("key"))

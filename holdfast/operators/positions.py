@@ -74,17 +74,24 @@ def aggregate_positions(lines: DataFrame, classification: DataFrame) -> DataFram
     )
 
 
+def portfolio_totals(base: DataFrame) -> DataFrame:
+    """Value and confidentiality of every manager-quarter that has positions."""
+    return base.groupBy(*MANAGER_QUARTER).agg(
+        F.sum("value_usd").alias("portfolio_value_usd"),
+        F.max("has_confidential_omission").alias("confidential"),
+    )
+
+
 def manager_quarter_context(base: DataFrame) -> DataFrame:
-    """What every position of a manager-quarter inherits: the portfolio total and its calendar neighbours.
+    """What every position of a manager-quarter inherits: the portfolio total and its calendar neighbours."""
+    return with_neighbours(portfolio_totals(base))
 
-    ``prior_pair_confidential`` is NULL without a portfolio in the previous calendar
+
+def with_neighbours(totals: DataFrame) -> DataFrame:
+    """Totals with ``prior_pair_confidential``: NULL without a portfolio in the previous calendar
     quarter, else 1 if either side left out confidential positions; likewise ``next_``.
     The window runs over the quarters of one manager, a handful per year.
     """
-    totals = base.groupBy(*MANAGER_QUARTER).agg(
-        F.sum("value_usd").alias("portfolio_value_usd"),
-        F.max("has_confidential_omission").alias("confidential"),
-    )
     w = Window.partitionBy("manager_cik").orderBy("quarter_id")
     q = F.col("quarter_id")
 

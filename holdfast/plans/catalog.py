@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 from holdfast.functions import values as v
 from holdfast.operators import audit, changes, filings, lineage, managers, merge, positions, securities
 from holdfast.operators.keys import duplicate_keys
-from holdfast.plans import compare, industries, institutions, loading, pipeline, relationships
+from holdfast.plans import compare, industries, institutions, loading, pipeline, refresh, relationships
 from holdfast.plans import securities as security_queries
 from holdfast.plans.common import security_names, type_codes, zero_if_missing
 from holdfast.plans.institutions import RankFilter
-from holdfast.plans.warehouse import Warehouse
+from holdfast.plans.warehouse import INPUTS, Warehouse
 from holdfast.schemas import (
     CLASS_RULES, INSTRUMENT_KEY, MANAGER_QUARTER, RAW_SCHEMAS, RAW_TABLES, RELATIONSHIP_KEY, SECURITY_QUARTER,
 )
@@ -267,6 +267,20 @@ def rebuild_quarter(w: Warehouse) -> DataFrame:
     return store.read_table(w.spark, path, w.manager_activity.schema)
 
 
+@query
+def refresh_quarters(w: Warehouse) -> DataFrame:
+    """All changes of a published version into which the amendments of two quarters were delivered late."""
+    out = new_folder(w.spark, "published")
+    late = w.filings.filter(F.col("quarter_id").isin(FROM_QUARTER, TO_QUARTER) & (F.col("is_amendment") == 1)).select("accession_number")
+    first = {t: df.join(late, "accession_number", "left_anti") for t, df in raw(w).items()}
+    delivered = {t: df.join(late, "accession_number", "left_semi") for t, df in raw(w).items()}
+    others = {n: w.table(n) for n in INPUTS if n not in RAW_TABLES}
+    accepted = (("unique", "infotable"),)  # the sample repeats line numbers
+    pipeline.run_pipeline(w.spark, first | others, out, accept=accepted)
+    refreshed = refresh.refresh_quarters(w.spark, raw(w) | others, delivered, out, accept=accepted)
+    return refreshed.changes.select(*changes.CHANGE_COLUMNS)
+
+
 @query
 def stage_counts(w: Warehouse) -> DataFrame:
     return pipeline.stage_counts(w)

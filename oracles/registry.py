@@ -278,6 +278,7 @@ add("exited_rows", f"""
     SELECT {KEY}, to_quarter_id, prior_value_usd, action FROM d_chg WHERE current_value_usd IS NULL""")
 add("manager_pairs", "SELECT * FROM d_pairs")
 add("quarter_changes", "SELECT * FROM d_chg", "amount_change_percent")
+add("refresh_quarters", "SELECT * FROM d_chg", "amount_change_percent")
 add("period_changes", f"""
     SELECT {KEY}, CAST({FROM_QUARTER} AS INTEGER) AS from_quarter_id, CAST({TO_QUARTER} AS INTEGER) AS to_quarter_id,
       prior_value_usd, current_value_usd,
