@@ -322,6 +322,16 @@ def sic_refresh(w: Warehouse) -> DataFrame:
     return managers.refresh_sic(w.listing_dim, w.sic.filter("sic IS NOT NULL"), "2024-01-31")
 
 
+@query
+def stable_ids(w: Warehouse) -> DataFrame:
+    """Gapless ids of spellings after two loads: those before the cut, then all of them."""
+    keys = ["cusip", "nameofissuer", "titleofclass", "figi"]
+    early = w.variants.filter(v.quarter_key(v.filing_date("reportcalendarorquarter")) < CUT)
+    nothing = early.select(*keys, F.lit(0).cast("bigint").alias("variant_id")).limit(0)
+    first = merge.number_new_keys(nothing, early, keys, "variant_id")
+    return merge.number_new_keys(first, w.variants, keys, "variant_id")
+
+
 @query
 def surrogate_keys(w: Warehouse) -> DataFrame:
     """Natural keys and distinct ids per dimension: equal counts mean no collision."""

@@ -162,6 +162,11 @@ add("sic_refresh", """
     SELECT * REPLACE (CASE WHEN sic IS NOT NULL THEN '2024-01-31' END AS sic_as_of_date,
       CASE WHEN sic IS NOT NULL THEN sic_source END AS sic_source,
       CASE WHEN sic IS NOT NULL THEN sic_description END AS sic_description) FROM d_listing""")
+add("stable_ids", f"""
+    SELECT cusip, nameofissuer, titleofclass, figi, ROW_NUMBER() OVER (
+      ORDER BY CASE WHEN early THEN 0 ELSE 1 END, cusip, nameofissuer, titleofclass, figi NULLS FIRST) AS variant_id
+    FROM (SELECT cusip, nameofissuer, titleofclass, figi, MIN(YEAR(d) * 100 + QUARTER(d)) < {CUT} AS early
+      FROM (SELECT *, STRPTIME(reportcalendarorquarter, '%d-%b-%Y') AS d FROM d_variants) v GROUP BY 1, 2, 3, 4) k""")
 add("surrogate_keys", " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, COUNT(*) AS key_count, COUNT(*) AS id_count FROM {COUNTED[n]} x"
     for n in ("instruments", "relationships", "manager_dim", "classification")))

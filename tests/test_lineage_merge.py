@@ -67,3 +67,26 @@ def test_insert_prune_deactivate_fill_and_evolve(spark):
     assert filled == {"a": "x", "b": "y"}
     wide = merge.add_columns(old, spark.createDataFrame([("d", 1)], "k string, extra int"))
     assert {r["k"]: (r["v"], r["extra"]) for r in dicts(wide)}["d"] == (None, 1)
+
+
+def test_new_keys_get_new_ids_and_old_ones_keep_theirs(spark):
+    def ids(df):
+        return {(r["a"], r["b"]): r["id"] for r in df.collect()}
+
+    def keys(rows, parts):
+        return spark.createDataFrame(rows, "a string, b int").repartition(parts)
+
+    first = [("k%03d" % i, i % 3) for i in range(200)] + [(None, 1), ("k000", None), (None, None)]
+    later = [("k%03d" % i, i % 3) for i in range(150, 400)] + [("", 0), (None, 1), (None, 2)]
+    empty = spark.createDataFrame([], "a string, b int, id bigint")
+    for parts in (1, 7):
+        one = ids(merge.number_new_keys(empty, keys(first + first, parts), ["a", "b"]))
+        ordered = sorted(first, key=lambda k: (k[0] is not None, k[0] or "", k[1] is not None, k[1] or 0))
+        assert one == {k: i + 1 for i, k in enumerate(ordered)}
+        stored = merge.number_new_keys(empty, keys(first, parts), ["a", "b"])
+        two = ids(merge.number_new_keys(stored, keys(later, parts), ["a", "b"]))
+        assert two.items() >= one.items() and len(set(two.values())) == len(two) == len(set(first) | set(later))
+        new = sorted(set(later) - set(first), key=lambda k: (k[0] is not None, k[0] or "", k[1] or 0))
+        assert [two[k] for k in new] == list(range(len(one) + 1, len(two) + 1))
+    assert ids(merge.number_new_keys(stored, keys([], 2), ["a", "b"])) == one
+    assert ids(merge.number_new_keys(empty, keys([], 1), ["a", "b"])) == {}
