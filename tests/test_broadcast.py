@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from holdfast.operators import managers
+from holdfast.operators import lineage, managers
 from holdfast.sources.store import write_table
 from tests.test_plans import plan_of
 
@@ -28,3 +28,14 @@ def test_cover_pages_are_not_broadcast(spark, folder):
         (f"{c:010d}", max(str(i) for i in range(c, FILINGS, 50)), FILINGS // 50) for c in range(50)
     }
     spark.conf.unset(THRESHOLD)
+
+def test_filings_of_batches_are_not_broadcast(spark, folder):
+    spark.conf.set(THRESHOLD, "10m")
+    submission, cover = stored_filings(spark, folder)
+    batches = write_table(
+        cover.withColumn("etl_batch_id", F.length("accession_number").cast("bigint")).select(*cover.columns, "etl_batch_id"), f"{folder}/filings"
+    )
+    counts = lineage.source_counts({"submission": submission}, batches)
+    assert "BroadcastExchange" not in plan_of(counts)
+    assert {r.etl_batch_id: r.row_count for r in counts.collect()} == {1: 10, 2: 90, 3: 900, 4: 9_000, 5: 90_000, 6: 500_000}
+    spark.conf.unset(THRESHOLD)
