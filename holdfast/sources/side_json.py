@@ -79,6 +79,18 @@ def extract_sic(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     return keys.join(found, "cik", "left")
 
 
+def write_companies(documents: DataFrame, path: str) -> None:
+    """One document per company, in the folder ``company=...``.
+
+    The work lies in the files, not in their few bytes, by which AQE would merge the tasks into one or two; a given
+    number of partitions it leaves alone.  Tasks move their own files into place, else the driver does it one by one.
+    """
+    spark = documents.sparkSession
+    tasks = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    writer = documents.repartition(tasks, "company").write.partitionBy("company")
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2).json(path)
+
+
 def write_sic_snapshot(sic: DataFrame, path: str, as_of_date: str) -> None:
     """One single-company document per line, so that writing and reading stay parallel."""
     entry = F.struct("sic", F.col("sicdescription").alias("sicDescription"))

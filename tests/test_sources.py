@@ -96,3 +96,17 @@ def test_sic_documents(spark, folder):
     wanted = spark.createDataFrame([("7",), ("8",), ("9",)], "cik string")
     rows = {r["cik"][-1]: (r["sic"], r["sicdescription"]) for r in dicts(sj.extract_sic(spark, companies, wanted))}
     assert rows == {"7": ("6770", "Blank checks"), "8": (None, None), "9": (None, None)}
+
+
+def test_company_documents_are_written_by_many_tasks(spark, folder):
+    from pyspark.sql import functions as F
+
+    documents = spark.range(300).select(
+        F.format_string("CIK%010d", "id").alias("company"), F.lit("2511").alias("sic"), F.col("id").cast("string").alias("sicDescription")
+    )
+    sj.write_companies(documents, folder)
+    files = spark.read.text(f"{folder}/company=*").select(F.col("_metadata.file_name").alias("f")).distinct()
+    writers = files.select(F.regexp_extract("f", r"part-(\d+)-", 1)).distinct().count()
+    assert files.count() >= writers > 32  # not the one or two tasks that the bytes would ask for
+    found = sj.extract_sic(spark, folder, spark.range(301).select(F.col("id").cast("string").alias("cik")))
+    assert {(r.cik, r.sicdescription) for r in found.collect()} == {(f"{i:010d}", str(i) if i < 300 else None) for i in range(301)}
