@@ -226,8 +226,5 @@ def load_datasets(
 
 def _counted(stored: dict[str, DataFrame], judged: DataFrame) -> DataFrame:
     """Stored rows of each data set's filings; tables are counted per filing first, reading that column only."""
-    per_filing = [df.groupBy("accession_number").agg(F.count("*").alias("n")).withColumn("table_name", F.lit(t)) for t, df in stored.items()]
-    return (
-        reduce(DataFrame.unionByName, per_filing).join(judged, "accession_number")
-        .groupBy("dataset", "table_name").agg(F.sum("n").alias("stored_row_count"))
-    )
+    joined = lineage.counts_per_filing(stored).join(judged, "accession_number")
+    return lineage.counts_by(joined, "dataset", stored, "stored_row_count")
