@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from holdfast.operators import filings as f
 from holdfast.operators import positions as p
 from holdfast.plans.catalog import CATALOG
 from holdfast.plans.warehouse import INPUTS, TABLES, Warehouse
@@ -103,3 +104,21 @@ def test_late_headers_read_the_waiting_lines_only(warehouse):
     w = warehouse
     late = f.with_late_headers(w.lines, w.headers)
     assert re.search(r"PartitionFilters: \[isnull\(quarter_id", plan_of(late))
+
+
+def test_headers_exchange_every_table_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text = lambda *names: ", ".join(f"{n} string" for n in names)
+    sent = spark.createDataFrame(
+        [("a", "7", "01-MAR-2021", "13F-HR", "31-DEC-2020")], text("accession_number", "cik", "filing_date", "submissiontype", "periodofreport")
+    )
+    cover = spark.createDataFrame(
+        [("a", "31-DEC-2020", "r", "f", "m"), ("b", "31-MAR-2021", "r", "f", "n")],
+        text("accession_number", "reportcalendarorquarter", "reporttype", "form13ffilenumber", "filingmanager_name"),
+    )
+    effective = spark.createDataFrame([("a", "0000000007", 202004, 1)], "accession_number string, manager_cik string, quarter_id int, value_multiplier int")
+    headers = f.filing_headers(sent, cover, effective)
+    assert plan_of(headers).count("Exchange hashpartitioning") == 3
+    rows = {r.accession_number: (r.manager_cik, r.quarter_id, r.value_multiplier, r.is_effective) for r in headers.collect()}
+    assert rows == {"a": ("0000000007", 202004, 1, 1), "b": (None, 202101, None, None)}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

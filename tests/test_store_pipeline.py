@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from holdfast.operators.filings import holdings_filings, resolve_amendments
 from holdfast.plans import pipeline
-from holdfast.plans.warehouse import INPUTS, Warehouse
+from holdfast.plans.warehouse import INPUTS, TABLES, Warehouse, sample_warehouse
 from holdfast.schemas import RAW_SCHEMAS
 from holdfast.sources import filings_tsv, store
+from holdfast.sources.sample import sample_tables
+from holdfast.sources.store import write_table
 from holdfast.streaming import ingest
 from tests.conftest import dicts
 
@@ -117,3 +119,21 @@ def test_late_amendment_reopens_only_its_group(spark, warehouse, folder):
     assert same(before, resolve_amendments(holdings_filings(filings.exceptAll(late))))
     late.write.mode("append").parquet(source)
     assert same(run(), resolve_amendments(holdings_filings(filings)))
+
+
+def test_joined_tables_are_written_where_their_rows_are(spark, folder):
+    """Rows that a join has just exchanged are not exchanged once more by quarter."""
+    assert not TABLES["lines"].exchange and not TABLES["positions"].exchange
+    rows = spark.range(600).repartition(3).selectExpr("id", "CAST(IF(id % 3 = 0, NULL, 202100 + id % 2 + 1) AS INT) AS quarter_id")
+    left = write_table(rows, f"{folder}/left", "quarter_id", "id", exchange=False)
+    assert sorted(map(str, left.collect())) == sorted(map(str, rows.collect()))
+    assert len(left.inputFiles()) == 9  # three tasks, two quarters and the unknown one
+    assert len(write_table(rows, f"{folder}/moved", "quarter_id", "id").inputFiles()) == 3
+
+
+def test_summary_pages_come_from_stored_lines(spark, sf):
+    w = sample_warehouse(spark, f"{sf}/.")
+    stated = w.summarypage.select("accession_number", "tableentrytotal", "tablevaluetotal", "isconfidentialomitted")
+    assert "infotable" in w._frames
+    plain = sample_tables(spark, sf)["summarypage"]
+    assert stated.exceptAll(plain).isEmpty() and plain.exceptAll(stated).isEmpty() and plain.count() > 0
