@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.llm import bpe, decontaminate, jaccard, quality, toxicity
-from holdfast.llm.common import prepared, table
+from holdfast.llm.common import prepared, release, table
 from holdfast.session import new_folder
 
 
@@ -52,10 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet and read again."""
+    """All stages, each written as Parquet and read again.
+
+    The driver lets go of a stage's plans before the next one, else they add up in its memory.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark)
         docs = spark.read.parquet(path)
     return docs

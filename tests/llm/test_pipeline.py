@@ -21,3 +21,13 @@ def test_stages_keep_what_their_operators_keep(spark, sf):
         docs = kept
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == docs.count() > 0
+
+
+def test_driver_lets_go_of_each_stage(spark, sf, monkeypatch):
+    stages = [("first", lambda s, docs, _: docs.where("doc_id % 2 = 0")), ("second", lambda s, docs, _: docs.where("doc_id % 3 = 0"))]
+    released = []
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    monkeypatch.setattr(corpus_pipeline, "release", released.append, raising=False)
+    out = corpus_pipeline.run(spark, sf)
+    assert released == [spark, spark]
+    assert out.count() == table(spark, sf, "documents").where("doc_id % 6 = 0").count() > 0
