@@ -63,21 +63,26 @@ def _append(rows: DataFrame, batch_id: int, out: str, schema: T.StructType) -> D
     """Store the unseen rows of a batch and then its lineage; returns the stored batch.
 
     Looking up known filings reads the lineage table, one row per filing, never the lines.
+    The batch is read twice: for its pairs, which are stored, and for its rows.  Pairs to leave out
+    are stored as well, so that rows are exchanged only if these are too many for a broadcast.
+    The folder of both belongs to one query and is reused by each batch.
     """
-    spark = rows.sparkSession
+    spark, pair, staging = rows.sparkSession, ["accession_number", "dataset"], f"{out}-staging"
     known = stored(spark, lineage_path(out), with_batch(LINEAGE)).filter(F.col("etl_batch_id") != batch_id)
     known = known.groupBy("accession_number").agg(F.min("dataset").alias("dataset"))
-    pairs = rows.select("accession_number", "dataset").distinct()
-    kept = rows.join(repeated_filings(pairs, known), ["accession_number", "dataset"], "left_anti")
+    pairs = write_table(rows.select(*pair).distinct(), f"{staging}/pairs")
+    repeated = write_table(repeated_filings(pairs, known), f"{staging}/repeated")
+    kept = rows.join(repeated, pair, "left_anti")
     append_batch(kept.select(*schema.names, "dataset"), data_path(out), batch_id)
     written = stored(spark, data_path(out), with_batch(schema)).filter(F.col("etl_batch_id") == batch_id)
-    append_batch(written.select("accession_number", "dataset").distinct(), lineage_path(out), batch_id)
+    append_batch(pairs.join(repeated, pair, "left_anti"), lineage_path(out), batch_id)
     return written
 
 
 def _dataset():
-    """Folder of the file a row came from."""
-    return F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("dataset")
+    """Folder of the file a row came from; cut without a pattern, as this runs for every line."""
+    path = F.col("_metadata.file_path")
+    return path.substr(F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1).alias("dataset")
 
 
 def stream_append(

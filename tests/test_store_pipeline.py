@@ -102,6 +102,23 @@ def test_a_replayed_batch_changes_nothing(spark, folder):
     assert sorted((r["accession_number"], r["etl_batch_id"]) for r in dicts(stored)) == [("a", 0), ("b", 0)]
 
 
+def test_rows_of_a_batch_are_read_twice(spark, folder):
+    """Once for the pairs of filing and data set, once for the rows; text is costly to parse."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        read.add(1)
+        return name
+
+    rows = lines(spark, ("a", 1, "x"), ("b", 1, "y"), ("b", 2, "z"), (None, 1, "n")).withColumn("dataset", F.lit("d"))
+    rows = rows.withColumn("dataset", F.udf(counted)("dataset").alias("dataset"))
+    ingest._append(rows, 0, folder, RAW_SCHEMAS["othermanager"])
+    assert read.value == 2 * 4
+    stored = store.read_table(spark, ingest.data_path(folder))
+    assert sorted(str(r["accession_number"]) for r in dicts(stored)) == ["None", "a", "b", "b"]
+    assert sorted(str(r["accession_number"]) for r in dicts(store.read_table(spark, ingest.lineage_path(folder)))) == ["None", "a", "b"]
+
+
 def test_late_amendment_reopens_only_its_group(spark, warehouse, folder):
     filings = warehouse.filings.drop("etl_batch_id")
     source = f"{folder}/in"
