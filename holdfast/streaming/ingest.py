@@ -109,8 +109,8 @@ def stream_reresolve(
 
     A batch names the (manager, quarter) groups it touches; only those are resolved
     again from all their filings.  The quarters they lie in are rewritten as untouched
-    groups plus new groups, first to a staging folder because a table must not be read
-    and overwritten in one job.  Staging belongs to one query and is reused by each batch.
+    groups plus new groups.  Untouched ones go to a staging folder first, because a table must
+    not be read and overwritten in one job.  Staging belongs to one query and is reused by each batch.
     """
     staging = f"{components_out}-staging"
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
@@ -130,8 +130,8 @@ def stream_reresolve(
         current = stored(session, components_out, fresh.schema)
         quarters = touched.select("quarter_id").distinct()
         kept = current.join(quarters, "quarter_id", "left_semi").join(touched, MANAGER_QUARTER, "left_anti")
-        staged = write_table(fresh.unionByName(kept), f"{staging}/components")
-        overwrite_partitions(staged, components_out, "quarter_id")
+        untouched = write_table(kept, f"{staging}/untouched")
+        overwrite_partitions(fresh.unionByName(untouched), components_out, "quarter_id")
 
     return (
         rows.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)

@@ -119,6 +119,22 @@ def test_rows_of_a_batch_are_read_twice(spark, folder):
     assert sorted(str(r["accession_number"]) for r in dicts(store.read_table(spark, ingest.lineage_path(folder)))) == ["None", "a", "b"]
 
 
+def test_only_untouched_groups_are_staged(spark, warehouse, folder):
+    filings = warehouse.filings.drop("etl_batch_id").filter("quarter_id = 202301")
+    late = filings.filter("is_amendment = 1").orderBy("accession_number").limit(1).localCheckpoint()  # one fixed filing
+    touched = late.select("manager_cik")
+    for part in (filings.exceptAll(late), late):
+        part.write.mode("append").parquet(f"{folder}/in")
+        ingest.stream_reresolve(
+            spark, f"{folder}/in", f"{folder}/raw", f"{folder}/resolved", f"{folder}/state", filings.schema
+        ).awaitTermination()
+    expected = resolve_amendments(holdings_filings(filings))
+    assert same(spark.read.parquet(f"{folder}/resolved"), expected)
+    staged = spark.read.parquet(f"{folder}/resolved-staging/untouched")
+    kept = expected.join(touched, "manager_cik", "left_anti")
+    assert same(staged, kept) and kept.count() > 0
+
+
 def test_late_amendment_reopens_only_its_group(spark, warehouse, folder):
     filings = warehouse.filings.drop("etl_batch_id")
     source = f"{folder}/in"
