@@ -6,7 +6,8 @@ what counts: a batch is part of the tables only once its COMPLETED record is in
 1. fingerprint and count every delivered table (one pass over each, combined before the exchange);
 2. decide: SKIP, APPEND, REGISTER_EXISTING or REJECT, from a few numbers per data set;
 3. log the batches as RUNNING, with ids that a later run finds by their fingerprint;
-4. write table by table, each batch into its own partition, replacing what an earlier attempt left there;
+4. write table by table, each batch into its own partition, replacing what an earlier attempt left there; each task writes
+   what it has read, as the delivered files hold one data set each;
 5. count what is stored, from the written files;
 6. write lineage, and then one log file that completes or fails all batches of the run.
 
@@ -135,6 +136,16 @@ def _decide(names: list[str], hashes: dict, twice: set, sets: list, known: list,
     return out
 
 
+def _of_sets(rows: DataFrame, ids: dict[str, int]) -> DataFrame:
+    """Rows of the given data sets, with the batch of each.
+
+    The driver holds the ids, a number for each data set, so they are sent to the rows: a join by data set would exchange
+    whole tables into as many partitions as there are data sets.
+    """
+    known = rows.sparkSession.createDataFrame([*ids.items()], "dataset string, etl_batch_id long")
+    return rows.filter(F.col("dataset").isin(*ids)).join(F.broadcast(known), "dataset")
+
+
 def _log(spark: SparkSession, out: str, seq: int, rows: list[tuple]) -> None:
     """One file: records of a run appear together or not at all."""
     frame = spark.createDataFrame([(seq, *r, None) for r in rows], LOG).withColumn("at", F.current_timestamp())
@@ -181,17 +192,17 @@ def load_datasets(
         _log(spark, out, seq, records(lambda n: ("RUNNING", None), new))
     after("log")
     ids = spark.createDataFrame([(n, p["etl_batch_id"], p["decision"]) for n, p in plan.items()], "dataset string, etl_batch_id long, decision string")
-    appended = ids.filter("decision = 'APPEND'").select("dataset", "etl_batch_id")
-    fresh = [p["etl_batch_id"] for p in plan.values() if p["decision"] == "APPEND"]
+    appended = {n: p["etl_batch_id"] for n, p in plan.items() if p["decision"] == "APPEND"}
+    fresh = [*appended.values()]
     if fresh:
         def write(t: str) -> str:
-            overwrite_partitions(deliveries[t].join(appended, "dataset").drop("dataset"), f"{out}/raw/{t}", "etl_batch_id")
+            overwrite_partitions(_of_sets(deliveries[t], appended).drop("dataset"), f"{out}/raw/{t}", "etl_batch_id", exchange=False)
             return t
 
         with ThreadPoolExecutor(max_workers=len(RAW_TABLES)) as pool:  # tables do not depend on each other
             for t in pool.map(write, RAW_TABLES):
                 after(t)
-    judged = store_once(listed.join(ids.filter("decision <> 'REJECT'"), "dataset").select("dataset", "accession_number"))
+    judged = store_once(_of_sets(listed, {n: p["etl_batch_id"] for n, p in plan.items() if p["decision"] != "REJECT"}).select("dataset", "accession_number"))
     stored = {t: _stored(spark, out, t, [*done, *fresh]) for t in RAW_TABLES}
     counted = _counted(stored, judged)
     expected = parts.select("dataset", "table_name", "row_count")
@@ -208,8 +219,8 @@ def load_datasets(
         plan[r.dataset] |= {"error": f"stored and delivered rows differ in {', '.join(r.t)}", "decision": "REJECT"}
     good = [n for n in new if plan[n]["decision"] != "REJECT"]
     if good:
-        kept = ids.filter(F.col("dataset").isin(good)).select("dataset", "etl_batch_id")
-        overwrite_partitions(judged.join(kept, "dataset").select("etl_batch_id", "accession_number"), f"{out}/lineage", "etl_batch_id")
+        kept = _of_sets(judged, {n: plan[n]["etl_batch_id"] for n in good})
+        overwrite_partitions(kept.select("etl_batch_id", "accession_number"), f"{out}/lineage", "etl_batch_id")
         after("lineage")
         overwrite_partitions(report.filter(F.col("dataset").isin(good)).select("etl_batch_id", "table_name", "source_row_count", "stored_row_count"), f"{out}/counts", "etl_batch_id")
         after("counts")

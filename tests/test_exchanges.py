@@ -15,6 +15,37 @@ from tests.test_plans import plan_of
 THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
 
 
+def test_rows_get_their_batch_without_an_exchange(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "dataset string, n int")
+    spark.conf.set(THRESHOLD, "-1")
+    found = loading._of_sets(rows, {"a": 7, "c": 8})
+    spark.conf.unset(THRESHOLD)
+    assert "hashpartitioning" not in plan_of(found)
+    assert {(r.dataset, r.n, r.etl_batch_id) for r in found.collect()} == {("a", 1, 7), ("c", 3, 8)}
+    assert loading._of_sets(rows, {}).count() == 0
+
+
+def test_batches_are_written_where_their_rows_are(spark, folder):
+    rows = spark.range(40).select(F.col("id").alias("n"), (F.col("id") % 2).alias("etl_batch_id")).repartition(4)
+    for _ in range(2):  # a replay replaces the batches
+        store.overwrite_partitions(rows, folder, "etl_batch_id", exchange=False)
+    back = spark.read.parquet(folder)
+    assert back.count() == 40 and len(back.inputFiles()) == 8
+    assert {(r.n, r.etl_batch_id) for r in back.collect()} == {(n, n % 2) for n in range(40)}
+
+
+def test_deliveries_are_stored_by_data_set(spark):
+    schemas = {t: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RAW_SCHEMAS[t].fields) for t in RAW_TABLES}
+    tables = {t: spark.createDataFrame([(a, *[None] * (len(RAW_SCHEMAS[t].fields) - 1)) for a in "ab"], schemas[t]) for t in RAW_TABLES}
+    w = SimpleNamespace(table=tables.get, spark=spark)
+    listed = spark.createDataFrame([("a", "2021q1", ""), ("b", "2021q2", ""), ("a", "2021q2", "X")], "accession_number string, dataset string, suffix string")
+    out = catalog.deliveries(w, listed)
+    for t, df in out.items():
+        assert {(r.dataset, r.accession_number) for r in df.collect()} == {("2021q1", "a"), ("2021q2", "b"), ("2021q2", "aX")}, t
+        assert df.columns == ["dataset", *RAW_SCHEMAS[t].names]
+        assert re.search(r"PartitionFilters: \[.*dataset.*2021q1", plan_of(df.filter("dataset = '2021q1'")))
+
+
 def test_late_filings_are_told_apart_once(spark):
     schemas = {t: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RAW_SCHEMAS[t].fields) for t in RAW_TABLES}
     tables = {
