@@ -72,3 +72,13 @@ def test_late_filings_are_told_apart_once(spark):
         assert sorted(str(r.accession_number) for r in first[t].collect()) == ["None", "a"]
         assert [r.accession_number for r in delivered[t].collect()] == ["b", "b"]
         assert "Join" not in plan_of(first[t]) + plan_of(delivered[t])  # read as stored
+
+
+def test_references_of_all_children_are_counted_in_one_exchange(spark):
+    parent = spark.createDataFrame([("a",), ("b",)], "id string")
+    tables = {"parent": parent, **{c: spark.createDataFrame([(x, y) for x in ("a", "z", "z", None) for y in ("b", c)], "x string, y string") for c in ("c1", "c2", "c3")}}
+    references = [audit.Reference(c, (column,), "parent", ("id",)) for c in ("c1", "c2", "c3") for column in "xy"]
+    report = audit.reference_audit(tables.get, references)
+    counted = [x for x in plan_of(report).splitlines() if "Exchange hashpartitioning(reference" in x and "key" in x]
+    assert len(counted) == 1
+    assert {(r.child_table, r.child_columns, r.violations) for r in report.collect()} == {(c, k, 4) for c in ("c1", "c2", "c3") for k in "xy"}
