@@ -82,3 +82,29 @@ def test_references_of_all_children_are_counted_in_one_exchange(spark):
     counted = [x for x in plan_of(report).splitlines() if "Exchange hashpartitioning(reference" in x and "key" in x]
     assert len(counted) == 1
     assert {(r.child_table, r.child_columns, r.violations) for r in report.collect()} == {(c, k, 4) for c in ("c1", "c2", "c3") for k in "xy"}
+
+
+def test_lines_are_exchanged_once_for_spellings_and_names(spark, folder):
+    """Managers whose estimate is too large to broadcast, but whose names are few: lines meet them where their spellings were counted."""
+    key = {"cusip": "C", "reportcalendarorquarter": "31-DEC-2020", "nameofissuer": "N", "titleofclass": "T", "figi": None}
+    n = F.col("id")
+    lines = spark.range(5_000).select(
+        F.format_string("%010d", n % 50).alias("manager_cik"), F.lit("cover").alias("filingmanager_name"), n.alias("infotable_sk"),
+        F.lit(1).alias("has_submission"), F.lit(1).alias("has_cover"), F.concat(F.lit("C"), (n % 100).cast("string")).alias("cusip"),
+        *[F.lit(v).cast("string").alias(c) for c, v in key.items() if c != "cusip"],
+    )
+    managers = spark.range(40).select(
+        F.format_string("%010d", n).alias("cik"), F.concat(F.lit("M"), n.cast("string")).alias("manager_name"),
+        *[F.sha2(F.concat(n.cast("string"), F.lit(f"{c}")), 512).alias(f"other_{c}") for c in range(20)],
+    )
+    lines, managers = store.write_table(lines, f"{folder}/lines"), store.write_table(managers, f"{folder}/managers")
+    variants = store.write_table(securities.security_variants(lines), f"{folder}/variants")
+    w = SimpleNamespace(spark=spark, manager_dim=managers, variants=variants)
+    w.lines = lines.withColumns({c: F.lit(None).cast("string") for c in ("accession_number", "filing_date", "submissiontype", "reporttype")}).withColumn("value", F.lit(1))
+    spark.conf.set(THRESHOLD, "4k")
+    rows = catalog.holding_variant(w)
+    found = {r.infotable_sk: (r.filing_manager_cik, r.filing_manager_name, r.variant_occurrence_count) for r in rows.collect()}
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    spark.conf.unset(THRESHOLD)
+    assert found == {i: (f"{i % 50:010d}", f"M{i % 50}" if i % 50 < 40 else "cover", 50) for i in range(5_000)}
+    assert len(re.findall(r"Exchange hashpartitioning\(manager_cik", plan)) == 1  # of the names
