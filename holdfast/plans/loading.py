@@ -31,7 +31,7 @@ from holdfast.operators import lineage
 from holdfast.schemas import RAW_SCHEMAS, RAW_TABLES
 from holdfast.session import prepare
 from holdfast.sources import filings_tsv
-from holdfast.sources.store import overwrite_partitions, store_once
+from holdfast.sources.store import gathered, overwrite_partitions, store_once
 
 LOG = "seq long, etl_batch_id long, dataset string, sha256 string, dataset_quarter string, import_mode string, status string, error string, at timestamp"
 COUNTS = "etl_batch_id long, table_name string, source_row_count long, stored_row_count long"
@@ -196,7 +196,7 @@ def load_datasets(
     fresh = [*appended.values()]
     if fresh:
         def write(t: str) -> str:
-            overwrite_partitions(_of_sets(deliveries[t], appended).drop("dataset"), f"{out}/raw/{t}", "etl_batch_id", exchange=False)
+            overwrite_partitions(_of_sets(deliveries[t], appended).drop("dataset"), f"{out}/raw/{t}", "etl_batch_id")
             return t
 
         with ThreadPoolExecutor(max_workers=len(RAW_TABLES)) as pool:  # tables do not depend on each other
@@ -220,9 +220,10 @@ def load_datasets(
     good = [n for n in new if plan[n]["decision"] != "REJECT"]
     if good:
         kept = _of_sets(judged, {n: plan[n]["etl_batch_id"] for n in good})
-        overwrite_partitions(kept.select("etl_batch_id", "accession_number"), f"{out}/lineage", "etl_batch_id")
+        overwrite_partitions(gathered(kept.select("etl_batch_id", "accession_number"), "etl_batch_id"), f"{out}/lineage", "etl_batch_id")
         after("lineage")
-        overwrite_partitions(report.filter(F.col("dataset").isin(good)).select("etl_batch_id", "table_name", "source_row_count", "stored_row_count"), f"{out}/counts", "etl_batch_id")
+        counts = report.filter(F.col("dataset").isin(good)).select("etl_batch_id", "table_name", "source_row_count", "stored_row_count")
+        overwrite_partitions(gathered(counts, "etl_batch_id"), f"{out}/counts", "etl_batch_id")
         after("counts")
 
     def ended(name: str) -> tuple[str, str | None]:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from holdfast.operators.filings import holdings_filings, resolve_amendments
 from holdfast.schemas import MANAGER_QUARTER, RAW_SCHEMAS
 from holdfast.sources.filings_tsv import clean_columns, with_options
-from holdfast.sources.store import append_batch, overwrite_partitions, write_table
+from holdfast.sources.store import append_batch, gathered, overwrite_partitions, write_table
 
 
 def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -131,7 +131,7 @@ def stream_reresolve(
         quarters = touched.select("quarter_id").distinct()
         kept = current.join(quarters, "quarter_id", "left_semi").join(touched, MANAGER_QUARTER, "left_anti")
         untouched = write_table(kept, f"{staging}/untouched")
-        overwrite_partitions(fresh.unionByName(untouched), components_out, "quarter_id")
+        overwrite_partitions(gathered(fresh.unionByName(untouched), "quarter_id"), components_out, "quarter_id")
 
     return (
         rows.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)

@@ -28,10 +28,13 @@ def test_rows_get_their_batch_without_an_exchange(spark):
 def test_batches_are_written_where_their_rows_are(spark, folder):
     rows = spark.range(40).select(F.col("id").alias("n"), (F.col("id") % 2).alias("etl_batch_id")).repartition(4)
     for _ in range(2):  # a replay replaces the batches
-        store.overwrite_partitions(rows, folder, "etl_batch_id", exchange=False)
+        store.overwrite_partitions(rows, folder, "etl_batch_id")
     back = spark.read.parquet(folder)
     assert back.count() == 40 and len(back.inputFiles()) == 8
     assert {(r.n, r.etl_batch_id) for r in back.collect()} == {(n, n % 2) for n in range(40)}
+    store.overwrite_partitions(store.gathered(rows, "etl_batch_id"), folder, "etl_batch_id")
+    few = spark.read.parquet(folder)
+    assert few.count() == 40 and len(few.inputFiles()) < 8
 
 
 def test_deliveries_are_stored_by_data_set(spark):
